@@ -113,8 +113,9 @@ def exact_quantiles(
     spark = df.sparkSession
     probabilities = [float(p) for p in probabilities]
     margin = 2.0 / accuracy
-    keys = list(group)
-    values = df.select(*keys, F.col(value).cast("double").alias("_value")).where(
+    keys = list(group) or ["_all"]
+    source = df if group else df.withColumn("_all", F.lit(0))
+    values = source.select(*keys, F.col(value).cast("double").alias("_value")).where(
         F.col("_value").isNotNull()
     )
     sketch = values.groupBy(*keys).agg(
@@ -145,9 +146,9 @@ def exact_quantiles(
         ]
     )
     positions = F.array(*[F.lit(p) for p in probabilities])
-    joined = values.join(sketch, keys) if keys else values.crossJoin(sketch)
     ranked = (
-        joined.select(*keys, "_rows", "_value", F.explode(brackets).alias("_b"))
+        values.join(sketch, keys)
+        .select(*keys, "_rows", "_value", F.explode(brackets).alias("_b"))
         .where(F.col("_value") <= F.col("_b.high"))
         .select(
             *keys,
@@ -189,7 +190,7 @@ def exact_quantiles(
     missed = (F.col("_below") > F.col("_lower")) | F.col("_x0").isNull() | F.col("_x1").isNull()
     exact = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_part")
     return picked.select(
-        *keys,
+        *group,
         F.get(positions, F.col("_slot")).alias("probability"),
         F.when(missed, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
         .otherwise(exact)
