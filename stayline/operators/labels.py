@@ -84,7 +84,11 @@ def expected_reviewers(assignments: DataFrame, task: str = "task_id") -> DataFra
 
 
 def normalized_annotations(
-    rows: DataFrame, *, prefix: str = "", status: str | None = "annotation_status"
+    rows: DataFrame,
+    *,
+    prefix: str = "",
+    status: str | None = "annotation_status",
+    reviewed: str | None = "reviewed_at",
 ) -> DataFrame:
     """Typed label fields, row status and rejection reason for raw label rows.
 
@@ -121,7 +125,15 @@ def normalized_annotations(
         .when(~positive & time.isNotNull(), F.lit("negative_with_time"))
         .when(~positive & source.isNotNull(), F.lit("negative_with_source"))
     )
-    kept = [c for c in rows.columns if c not in {prefix + name for name in LABEL_FIELDS}]
+    replaced = {prefix + name for name in LABEL_FIELDS}
+    seen_at = []
+    if reviewed:
+        at = F.col(reviewed)
+        unreadable = blank_to_null(at).isNotNull() & lenient_time(at).isNull()
+        reason = reason.when(unreadable, F.lit("unreadable_review_time"))
+        seen_at = [label_time_text(at).alias(reviewed)]
+        replaced.add(reviewed)
+    kept = [c for c in rows.columns if c not in replaced]
     return rows.select(
         *kept,
         row_status.alias("row_status"),
@@ -131,6 +143,7 @@ def normalized_annotations(
         source.alias("infection_source"),
         evidence.alias("evidence_span"),
         score.alias("confidence"),
+        *seen_at,
     )
 
 
