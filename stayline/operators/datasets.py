@@ -131,7 +131,7 @@ def analysis_datasets(
     carried = [
         c
         for c in DATASET_COLUMNS
-        if c in cohort.columns and c not in ("subject_id", "hadm_id", "death_time")
+        if c in cohort.columns and c not in ("task_id", "subject_id", "hadm_id", "death_time")
     ]
     rows = (
         predictions.where(F.col("prediction_status") == "ok")
