@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
@@ -101,101 +102,116 @@ def exact_quantiles(
     probabilities: Sequence[float],
     *,
     accuracy: int = 100_000,
+    buffer_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (group..., probability, quantile).
 
-    The built-in exact percentile holds all distinct values of a group in one buffer.
-    Here a quantile sketch only brackets each rank; values below a bracket are counted,
-    and just the few distinct values inside it (a share of about ``4 / accuracy``) are
-    ranked.  The sketch steers the work and never the result: a rank outside its bracket
-    stops the job.
+    The built-in exact percentile holds all distinct values of a group in one buffer, so
+    it is used only when a first pass has shown that no group has more than
+    ``buffer_rows`` rows.  Otherwise a quantile sketch from that pass brackets each rank;
+    values between brackets are counted, and just the distinct values inside a bracket (a
+    share of about ``4 / accuracy``) are ranked.  The sketch steers the work and never the
+    result: a rank outside its bracket stops the job.
     """
     spark = df.sparkSession
     probabilities = [float(p) for p in probabilities]
     margin = 2.0 / accuracy
+    size = len(probabilities)
     keys = list(group) or ["_all"]
     source = df if group else df.withColumn("_all", F.lit(0))
     values = source.select(*keys, F.col(value).cast("double").alias("_value")).where(
         F.col("_value").isNotNull()
     )
-    sketch = values.groupBy(*keys).agg(
-        F.count("_value").alias("_rows"),
-        F.min("_value").alias("_min"),
-        F.max("_value").alias("_max"),
-        F.percentile_approx(
-            "_value", [max(0.0, p - margin) for p in probabilities], accuracy
-        ).alias("_low"),
-        F.percentile_approx(
-            "_value", [min(1.0, p + margin) for p in probabilities], accuracy
-        ).alias("_high"),
+    ends = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
+    # The sketch is off by at most 1 / accuracy of the rows, half the margin.  In a group
+    # too small for that to span a few ranks the bracket is the whole value range.
+    narrow = F.col("_rows") * F.lit(margin) >= 4
+    sketch = (
+        values.groupBy(*keys)
+        .agg(
+            F.count("_value").alias("_rows"),
+            F.min("_value").alias("_min"),
+            F.max("_value").alias("_max"),
+            F.percentile_approx("_value", ends, accuracy).alias("_ends"),
+        )
+        .select(
+            *keys,
+            "_rows",
+            *[
+                F.when(narrow & F.lit(p > margin), F.col("_ends")[i]).otherwise(F.col("_min")).alias(f"_low{i}")
+                for i, p in enumerate(probabilities)
+            ],
+            *[
+                F.when(narrow & F.lit(p < 1 - margin), F.col("_ends")[size + i])
+                .otherwise(F.col("_max"))
+                .alias(f"_high{i}")
+                for i, p in enumerate(probabilities)
+            ],
+        )
     )
     # One row per group.  It is fetched to learn its size: small ones are broadcast as
     # literal rows, larger ones stay distributed and join by key.
     fetched = sketch.limit(_MAX_SKETCH_ROWS + 1).collect()
-    small = len(fetched) <= _MAX_SKETCH_ROWS
-    if small:
+    if len(fetched) <= _MAX_SKETCH_ROWS:
+        if all(row["_rows"] <= buffer_rows for row in fetched):
+            exact = F.percentile("_value", probabilities)
+            found = values.groupBy(*keys).agg(exact.alias("_q"))
+            pairs = [
+                F.struct(F.lit(p).alias("probability"), F.col("_q")[i].alias("quantile"))
+                for i, p in enumerate(probabilities)
+            ]
+            return found.select(*group, F.inline(F.array(*pairs)))
         sketch = F.broadcast(spark.createDataFrame(fetched, sketch.schema))
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("slot"),
-                (F.col("_low")[i] if p > margin else F.col("_min")).alias("low"),
-                (F.col("_high")[i] if p < 1 - margin else F.col("_max")).alias("high"),
-            )
-            for i, p in enumerate(probabilities)
-        ]
-    )
-    positions = F.array(*[F.lit(p) for p in probabilities])
-    ranked = (
+
+    v = F.col("_value")
+    slots = range(size)
+    inside = reduce(lambda a, b: a | b, [v.between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in slots])
+    next_low = _least([F.when(v < F.col(f"_low{i}"), F.col(f"_low{i}")) for i in slots])
+    # A value between brackets only matters as a count in front of the next bracket.
+    counted = (
         values.join(sketch, keys)
-        .select(*keys, "_rows", "_value", F.explode(brackets).alias("_b"))
-        .where(F.col("_value") <= F.col("_b.high"))
         .select(
             *keys,
             "_rows",
-            F.col("_b.slot").alias("_slot"),
-            F.when(F.col("_value") >= F.col("_b.low"), F.col("_value")).alias("_value"),
+            (~inside).alias("_gap"),
+            F.when(inside, v).otherwise(next_low).alias("_value"),
         )
-        .groupBy(*keys, "_rows", "_slot", "_value")
+        .where(v.isNotNull())
+        .groupBy(*keys, "_rows", "_value", "_gap")
         .agg(F.count(F.lit(1)).alias("_count"))
-        .withColumn(
-            "_seen",
-            F.sum("_count").over(
-                Window.partitionBy(*keys, "_slot")
-                .orderBy(F.col("_value").asc_nulls_first())
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-    )
-    spot = (F.col("_rows") - 1) * F.get(positions, F.col("_slot"))
-    lower = F.floor(spot)
-    upper = F.ceil(spot)
-    # Values inside the bracket, first one whose running count passes the wanted rank.
-    # A NULL value stands for everything below the bracket: reaching the rank there, or
-    # not at all, means the bracket missed it.
-    below = F.coalesce(F.max(F.when(F.col("_value").isNull(), F.col("_count"))), F.lit(0))
-    picked = (
-        ranked.withColumn("_lower", lower)
-        .withColumn("_upper", upper)
-        .withColumn("_part", spot - lower)
-        .groupBy(*keys, "_slot")
-        .agg(
-            F.min(F.when(F.col("_seen") > F.col("_lower"), F.col("_value"))).alias("_x0"),
-            F.min(F.when(F.col("_seen") > F.col("_upper"), F.col("_value"))).alias("_x1"),
-            F.first("_part").alias("_part"),
-            F.first("_lower").alias("_lower"),
-            below.alias("_below"),
-        )
     )
-    missed = (F.col("_below") > F.col("_lower")) | F.col("_x0").isNull() | F.col("_x1").isNull()
-    exact = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_part")
-    return picked.select(
-        *group,
-        F.get(positions, F.col("_slot")).alias("probability"),
-        F.when(missed, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
-        .otherwise(exact)
-        .alias("quantile"),
+    order = (
+        Window.partitionBy(*keys)
+        .orderBy("_value", F.col("_gap").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    ranked = counted.withColumn("_seen", F.sum("_count").over(order))
+    seen, gap = F.col("_seen"), F.col("_gap")
+    picks = []
+    for i, p in enumerate(probabilities):
+        spot = (F.col("_rows") - 1) * F.lit(p)
+        for name, rank in (("a", F.floor(spot)), ("b", F.ceil(spot))):
+            picks += [
+                F.min(F.when(~gap & (seen > rank), v)).alias(f"_{name}{i}"),
+                F.bool_or(gap & (seen > rank) & (seen - F.col("_count") <= rank)).alias(f"_miss_{name}{i}"),
+            ]
+    picked = ranked.groupBy(*keys, "_rows").agg(*picks)
+    rows = []
+    for i, p in enumerate(probabilities):
+        spot = (F.col("_rows") - 1) * F.lit(p)
+        missed = (
+            F.col(f"_miss_a{i}") | F.col(f"_miss_b{i}") | F.col(f"_a{i}").isNull() | F.col(f"_b{i}").isNull()
+        )
+        exact = F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (spot - F.floor(spot))
+        checked = F.when(
+            missed, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
+        ).otherwise(exact)
+        rows.append(F.struct(F.lit(p).alias("probability"), checked.alias("quantile")))
+    return picked.select(*group, F.inline(F.array(*rows)))
+
+
+def _least(columns: Sequence[Column]) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0]
 
 
 def quantile_columns(
