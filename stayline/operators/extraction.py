@@ -7,42 +7,38 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from stayline.functions.times import label_time_text, lenient_time
 from stayline.functions.typing import as_double, blank_to_null, lenient_bool
 
 ANSWER_KEYS = ("suspected_sepsis", "suspicion_time", "infection_source", "evidence_span", "confidence")
 
-_DECODER = json.JSONDecoder()
-
-
-def _first_object(text: str | None) -> str | None:
-    if text is None:
-        return None
-    at = text.find("{")
-    while at >= 0:
-        try:
-            value, _ = _DECODER.raw_decode(text, at)
-        except (ValueError, RecursionError):
-            value = None
-        if isinstance(value, dict):
-            return json.dumps(value, ensure_ascii=False)
-        at = text.find("{", at + 1)
-    return None
-
-
-@F.pandas_udf("string")
-def _first_json_object(texts: pd.Series) -> pd.Series:
-    return texts.map(_first_object).astype(object).where(lambda s: s.notna(), None)
-
 
 def first_json_object(text: Column) -> Column:
     """First JSON object found in free text, as JSON text; NULL when there is none.
 
     Scanning for a decodable object at every brace has no SQL form, so this one step runs
-    over Arrow batches.
+    over Arrow batches.  The helper is defined here so that it travels to the executors
+    with the plan.
     """
-    return _first_json_object(text)
+
+    def decoded(value: str | None) -> str | None:
+        at = value.find("{") if value is not None else -1
+        while at >= 0:
+            try:
+                found, _ = json.JSONDecoder().raw_decode(value, at)
+            except (ValueError, RecursionError):
+                found = None
+            if isinstance(found, dict):
+                return json.dumps(found, ensure_ascii=False)
+            at = value.find("{", at + 1)
+        return None
+
+    def over_batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([decoded(value) for value in texts], dtype=object)
+
+    return F.pandas_udf(over_batch, StringType())(text)
 
 
 def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataFrame:
