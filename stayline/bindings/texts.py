@@ -26,8 +26,8 @@ def _sql_case(text: str, rules) -> str:
 
 def text_source_classifier(spark, sf):
     """The study's text rules over whole documents."""
-    docs = table(spark, sf, "documents")
-    text = lowered(F.col("text"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", lowered(F.col("text")).alias("text"))
+    text = F.col("text")
     return docs.select(
         "doc_id",
         first_label(text, fv.NOTE_PHRASES).alias("phrase"),
