@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stayline.bindings import Bound, rounded, table
 from stayline.operators import causal as ca
+from stayline.session import cut_lineage
 
 HORIZON = 28.0
 
@@ -164,7 +165,7 @@ def scored(spark, sf) -> tuple[DataFrame, list[dict]]:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out, coefficients
+    return cut_lineage(out), coefficients
 
 
 def propensity_logit(spark, sf):

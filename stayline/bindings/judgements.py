@@ -276,13 +276,15 @@ def resolved(spark, sf) -> DataFrame:
     tasks = review_tasks(spark, sf)
     clean = normalized(spark, sf).where((F.col("row_status") == "completed") & F.col("reject_reason").isNull())
     docs = labelled(spark, sf)
-    expected = lb.expected_reviewers(
-        docs.select("task_id", F.lit("rev b").alias("reviewer_id")).unionByName(
-            docs.where(F.col("lang") == "fr").select("task_id", F.lit("rev a").alias("reviewer_id"))
-        ).unionByName(
-            docs.where(F.col("source") == "src3").select("task_id", F.lit("rev e").alias("reviewer_id"))
-        )
+    asked = F.filter(
+        F.array(
+            F.lit("rev b"),
+            F.when(F.col("lang") == "fr", F.lit("rev a")),
+            F.when(F.col("source") == "src3", F.lit("rev e")),
+        ),
+        lambda r: r.isNotNull(),
     )
+    expected = lb.expected_reviewers(docs.select("task_id", F.explode(asked).alias("reviewer_id")))
     judged = docs.where((F.col("toxic") == 1) & (F.col("lang") == "en")).select(
         "task_id",
         F.lit("judge").alias("adjudicator_id"),

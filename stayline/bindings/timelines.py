@@ -194,18 +194,22 @@ def order_codes(spark, sf) -> DataFrame:
     )
 
 
-def with_history(spark, sf, rows) -> DataFrame:
+HISTORY = ("prior_admission_count", "prior_diagnosis_root_count")
+
+
+def history(spark, sf, rows) -> DataFrame:
     admissions = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("subject_id"),
         F.col("o_orderkey").alias("hadm_id"),
         F.col("o_orderdate").alias("admittime"),
     )
-    counted = asof.prior_distinct_count(
-        rows, admissions, "subject_id", "hadm_id", "admittime", "admittime", "prior_admission_count"
-    )
-    return asof.prior_distinct_count(
-        counted, order_codes(spark, sf), "subject_id", "root", "admittime", "admittime",
-        "prior_diagnosis_root_count",
+    return asof.prior_distinct_counts(
+        rows,
+        {
+            HISTORY[0]: (admissions, "hadm_id", "admittime"),
+            HISTORY[1]: (order_codes(spark, sf), "root", "admittime"),
+        },
+        "subject_id", "admittime",
     )
 
 
@@ -215,9 +219,8 @@ def prior_history(spark, sf):
         F.col("o_custkey").alias("subject_id"),
         F.col("o_orderdate").alias("admittime"),
     )
-    return with_history(spark, sf, rows).select(
-        "task_id", "prior_admission_count", "prior_diagnosis_root_count"
-    )
+    out = asof.attach_counts(rows, history(spark, sf, rows), "subject_id", "admittime", HISTORY)
+    return out.select("task_id", *HISTORY)
 
 
 _SQL_CODES = """
@@ -250,7 +253,9 @@ def covariate_matrix(spark, sf):
         values={"pre_t0_careunit": (F.col("event_type") == "signup", F.col("props"))},
     )
     matrix = asof.attach_latest(lookups(spark, sf, rows), units, ["subject_id"], start=None)
-    matrix = with_history(spark, sf, matrix.join(people, "subject_id", "left"))
+    matrix = asof.attach_counts(
+        matrix.join(people, "subject_id", "left"), history(spark, sf, rows), "subject_id", "admittime", HISTORY
+    )
     matrix = matrix.select(
         "task_id", "age_years", "admission_type", "pre_t0_careunit",
         F.year("time_zero").alias("calendar_year"), F.month("time_zero").alias("calendar_month"),

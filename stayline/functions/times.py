@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from stayline.functions.typing import strip
 
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?([+-]\d{2}:?\d{2})?)?$"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
 _HUMAN = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}(:\d{1,2})?$"
 _OFFSET = r"^\d{4}-\d{2}-\d{2}[T ][\d:.,]+([+-])(\d{2}):?(\d{2})$"
 
@@ -53,27 +54,41 @@ def earliest(*times: Column) -> Column:
 def lenient_time(c: Column) -> Column:
     """Second-level time from ISO-like text; NULL when it cannot be read.
 
-    A trailing ``Z`` or offset is converted to UTC and the zone dropped.
+    A trailing ``Z`` or offset is converted to UTC and the zone dropped.  The plain form
+    is read directly; only other spellings pay for the closer look.
     """
-    text = F.replace(strip(c), F.lit("Z"), F.lit("+00:00"))
-    sign = F.when(F.regexp_extract(text, _OFFSET, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    hours = F.regexp_extract(text, _OFFSET, 2).try_cast("int")
-    minutes = F.regexp_extract(text, _OFFSET, 3).try_cast("int")
+    text = strip(c)
+    plain = text.rlike(_PLAIN)
+    zoned_text = _with_offset(text)
+    tail = F.right(F.replace(F.right(zoned_text, F.lit(6)), F.lit(":"), F.lit("")), F.lit(5))
+    sign = F.when(F.left(tail, F.lit(1)) == "-", F.lit(-1)).otherwise(F.lit(1))
     offset = F.make_dt_interval(
-        F.lit(0), sign * F.coalesce(hours, F.lit(0)), sign * F.coalesce(minutes, F.lit(0))
+        F.lit(0),
+        sign * F.substring(tail, 2, 2).try_cast("int"),
+        sign * F.substring(tail, 4, 2).try_cast("int"),
     )
-    naive = F.regexp_replace(text, r"([T ][\d:.,]+)[+-]\d{2}:?\d{2}$", "$1")
+    naive = F.regexp_replace(zoned_text, r"[+-]\d{2}:?\d{2}$", "")
+    return (
+        F.when(plain, text.try_cast("timestamp_ntz"))
+        .when(zoned_text.rlike(_OFFSET), F.when(zoned_text.rlike(_ISO), _whole_seconds(naive) - offset))
+        .when(text.rlike(_ISO) | text.rlike(_HUMAN), _whole_seconds(text))
+    )
+
+
+def _with_offset(text: Column) -> Column:
+    return F.replace(text, F.lit("Z"), F.lit("+00:00"))
+
+
+def _whole_seconds(naive: Column) -> Column:
+    """Cast without fractions; a bare hour gets its minutes."""
     seconds = F.regexp_replace(naive, r"[.,]\d+$", "")
-    complete = F.when(
-        seconds.rlike(r"[T ]\d{2}$"), F.concat(seconds, F.lit(":00"))
-    ).otherwise(seconds)
-    readable = text.rlike(_ISO) | text.rlike(_HUMAN)
-    return F.when(readable, complete.try_cast("timestamp_ntz") - offset)
+    complete = F.when(seconds.rlike(r"[T ]\d{2}$"), F.concat(seconds, F.lit(":00"))).otherwise(seconds)
+    return complete.try_cast("timestamp_ntz")
 
 
 def has_offset(c: Column) -> Column:
     """True when the time text carries a zone, which label artifacts keep as UTC."""
-    return F.replace(strip(c), F.lit("Z"), F.lit("+00:00")).rlike(_OFFSET)
+    return _with_offset(strip(c)).rlike(_OFFSET)
 
 
 def time_text(ts: Column) -> Column:

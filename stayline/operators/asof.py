@@ -96,38 +96,52 @@ def first_seen(facts: DataFrame, subject: str, item: str, time: str) -> DataFram
     )
 
 
-def prior_distinct_count(
+def prior_distinct_counts(
     rows: DataFrame,
-    facts: DataFrame,
+    facts: dict[str, tuple[DataFrame, str, str]],
     subject: str,
-    item: str,
-    fact_time: str,
     row_time: str,
-    name: str,
 ) -> DataFrame:
     """Distinct items of the same subject with a time strictly before the row's time.
 
+    ``facts`` maps an output name to (frame, item column, time column).  Result: one row
+    per distinct (subject, row time) of ``rows`` with one count per name.
+
     The self-history inequality join pairs every row with all earlier ones.  A distinct
     item counts from the first time it is seen, so the count is a running total over
     first-seen times: linear in the history, and in two bounded levels (day, then time
-    inside the day) for a subject with a huge one.
+    inside the day) for a subject with a huge one.  All counts share one pass.
     """
-    marks = (
-        first_seen(facts, subject, item, fact_time)
-        .groupBy(subject, F.col(fact_time).alias("_at"))
-        .agg(F.count(F.lit(1)).alias("_new"))
+    zero = F.lit(0).cast("bigint")
+    probes = rows.where(F.col(row_time).isNotNull()).select(
+        subject, F.col(row_time).alias("_at"), F.lit(True).alias("_asked"), *[zero.alias(n) for n in facts]
     )
-    probes = rows.select(subject, F.col(row_time).alias("_at"), F.lit(0).cast("bigint").alias("_new"))
+    marks = [
+        first_seen(frame, subject, item, time).select(
+            subject,
+            F.col(time).alias("_at"),
+            F.lit(False).alias("_asked"),
+            *[(F.lit(1).cast("bigint") if n == name else zero).alias(n) for n in facts],
+        )
+        for name, (frame, item, time) in facts.items()
+    ]
     line = (
-        marks.unionByName(probes.where(F.col("_at").isNotNull()))
+        reduce(DataFrame.unionByName, marks, probes)
         .groupBy(subject, "_at")
-        .agg(F.sum("_new").alias("_new"))
+        .agg(F.bool_or("_asked").alias("_asked"), *[F.sum(n).alias(f"_new_{n}") for n in facts])
         .withColumn("_day", F.to_date("_at"))
     )
-    counted = running_total(line, [subject], "_at", "_day", {name: "_new"}, inclusive=False)
-    return (
-        rows.join(
-            counted.select(subject, F.col("_at").alias(row_time), name), [subject, row_time], "left"
-        )
-        .withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
+    counted = running_total(
+        line, [subject], "_at", "_day", {n: f"_new_{n}" for n in facts}, inclusive=False
     )
+    return counted.where("_asked").select(
+        subject, F.col("_at").alias(row_time), *[F.col(n).cast("bigint").alias(n) for n in facts]
+    )
+
+
+def attach_counts(
+    rows: DataFrame, counts: DataFrame, subject: str, row_time: str, names: Sequence[str]
+) -> DataFrame:
+    """Join history counts back to the rows; rows without a time count nothing."""
+    joined = rows.join(counts, [subject, row_time], "left")
+    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(0).cast("bigint")) for n in names})

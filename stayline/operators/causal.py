@@ -29,6 +29,7 @@ SEVERE_OVERLAP_WIDTH = 0.10
 _MAX_LEVELS = 10_000
 _TIE_CHUNK = 1024
 _TIME_BUCKETS = 4096
+_SCORE_TOLERANCE = 1e-5
 _Z975 = 1.959963984540054
 
 
@@ -116,7 +117,8 @@ def fit_propensity(
     """L2 logistic regression with C = 1 and a free intercept; adds ``propensity_score``.
 
     C = 1 on the summed loss is ``regParam = 1 / n`` on Spark's mean loss, with internal
-    standardisation off.  A fit that uses up its iterations is an error.
+    standardisation off.  A fit that uses up its iterations, or whose score equations do
+    not hold at the result, is an error.
     """
     rows = design.count()
     assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(
@@ -132,7 +134,7 @@ def fit_propensity(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-10,
+        tol=1e-8,
     ).fit(assembled)
     iterations = model.summary.totalIterations
     if iterations >= max_iter:
@@ -140,10 +142,16 @@ def fit_propensity(
     fit = PropensityFit(
         tuple(float(v) for v in model.coefficients), float(model.intercept), iterations, rows
     )
-    scored = model.transform(assembled).withColumn(
-        "propensity_score", clipped(vector_to_array("_probability")[1])
-    )
-    return fit, scored.drop("_features", "_label", "_probability", "_raw", "_prediction")
+    scored = model.transform(assembled).withColumn("_p", vector_to_array("_probability")[1])
+    gap = F.col("_label") - F.col("_p")
+    scores = scored.agg(
+        F.sum(gap).alias("_intercept"), *[F.sum(gap * F.col(f)).alias(f) for f in features]
+    ).first()
+    slopes = [scores["_intercept"], *[scores[f] - c for f, c in zip(features, fit.coefficients)]]
+    if not max(abs(s) for s in slopes) <= _SCORE_TOLERANCE * rows:
+        raise ConvergenceError("the score equations of the propensity model do not hold")
+    scored = scored.withColumn("propensity_score", clipped(F.col("_p")))
+    return fit, scored.drop("_features", "_label", "_probability", "_raw", "_prediction", "_p")
 
 
 def clipped(score: Column) -> Column:
@@ -329,7 +337,8 @@ def weighted_survival(
     over time buckets.  When everyone left dies the curve is exactly 0: the logarithm
     there is undefined and is not summed.
     """
-    table = _time_table(rows, dataset, duration, event, treatment, {"w": weight})
+    # small and read several times below, so it is written once
+    table = cut_lineage(_time_table(rows, dataset, duration, event, treatment, {"w": weight}))
     arms = F.explode(
         F.array(
             *[
@@ -477,7 +486,7 @@ def weighted_hazard_ratios(
     Result: (dataset, weighting, coefficient, robust_se, hr, ci_lower, ci_upper).
     """
     spark = rows.sparkSession
-    table = _time_table(rows, dataset, duration, event, treatment, weights)
+    table = cut_lineage(_time_table(rows, dataset, duration, event, treatment, weights))
     keys = ["dataset", "weighting"]
     risk = running_total(
         _with_buckets(table, horizon), keys, "time", "_bucket",

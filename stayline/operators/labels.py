@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.text import evidence_lines, signature
-from stayline.functions.times import label_time_text, lenient_time
+from stayline.functions.times import label_time_text
 from stayline.functions.typing import blank_to_null, confidence, lenient_bool, strip
 from stayline.operators.scale import hash_positions
+from stayline.session import cut_lineage
 
 PENDING = ("", "pending", "in_progress")
 SKIPPED = ("skipped", "excluded")
@@ -99,51 +100,54 @@ def normalized_annotations(
     Adjudication files have no status column (``status=None``) and prefixed fields.
     """
     raw = {name: F.col(prefix + name) for name in LABEL_FIELDS}
-    has_content = F.lit(False)
-    for c in raw.values():
-        has_content = has_content | blank_to_null(c).isNotNull()
+    kept = [c for c in rows.columns if c not in {prefix + name for name in LABEL_FIELDS} | {reviewed}]
     word = F.lower(strip(F.coalesce(F.col(status), F.lit("")))) if status else F.lit("pending")
+    # text first, values next, verdict last: every field is parsed once
+    texts = rows.select(
+        *kept,
+        word.alias("_word"),
+        *[blank_to_null(c).alias(f"_{name}") for name, c in raw.items()],
+        *([blank_to_null(F.col(reviewed)).alias("_seen")] if reviewed else []),
+    )
+    values = texts.withColumns(
+        {
+            "suspected_sepsis": lenient_bool(F.col("_suspected_sepsis")),
+            "suspicion_time": label_time_text(F.col("_suspicion_time")),
+            "infection_source": F.col("_infection_source"),
+            "evidence_span": evidence_lines(F.col("_evidence_span")),
+            "confidence": confidence(F.col("_confidence")),
+            **({reviewed: label_time_text(F.col("_seen"))} if reviewed else {}),
+        }
+    )
+    has_content = F.coalesce(*[F.col(f"_{name}") for name in LABEL_FIELDS]).isNotNull()
     row_status = (
-        F.when(word.isin(*PENDING) & ~has_content, F.lit("pending"))
-        .when(word.isin(*SKIPPED) & ~has_content, F.lit("skipped"))
+        F.when(F.col("_word").isin(*PENDING) & ~has_content, F.lit("pending"))
+        .when(F.col("_word").isin(*SKIPPED) & ~has_content, F.lit("skipped"))
         .otherwise(F.lit("completed"))
     )
-    positive = lenient_bool(raw["suspected_sepsis"])
-    time = label_time_text(raw["suspicion_time"])
-    bad_time = blank_to_null(raw["suspicion_time"]).isNotNull() & lenient_time(raw["suspicion_time"]).isNull()
-    source = blank_to_null(raw["infection_source"])
-    evidence = evidence_lines(blank_to_null(raw["evidence_span"]))
-    score = confidence(raw["confidence"])
+    positive, time = F.col("suspected_sepsis"), F.col("suspicion_time")
+    source, evidence = F.col("infection_source"), F.col("evidence_span")
     reason = (
-        F.when(~word.isin(*PENDING, "completed"), F.lit("unsupported_status"))
+        F.when(~F.col("_word").isin(*PENDING, "completed"), F.lit("unsupported_status"))
         .when(positive.isNull(), F.lit("unreadable_boolean"))
-        .when(bad_time, F.lit("unreadable_time"))
-        .when(score.isNull(), F.lit("unreadable_confidence"))
+        .when(F.col("_suspicion_time").isNotNull() & time.isNull(), F.lit("unreadable_time"))
+        .when(F.col("confidence").isNull(), F.lit("unreadable_confidence"))
         .when(positive & time.isNull(), F.lit("positive_without_time"))
         .when(positive & source.isNull(), F.lit("positive_without_source"))
         .when(positive & evidence.isNull(), F.lit("positive_without_evidence"))
         .when(~positive & time.isNotNull(), F.lit("negative_with_time"))
         .when(~positive & source.isNotNull(), F.lit("negative_with_source"))
     )
-    replaced = {prefix + name for name in LABEL_FIELDS}
-    seen_at = []
     if reviewed:
-        at = F.col(reviewed)
-        unreadable = blank_to_null(at).isNotNull() & lenient_time(at).isNull()
-        reason = reason.when(unreadable, F.lit("unreadable_review_time"))
-        seen_at = [label_time_text(at).alias(reviewed)]
-        replaced.add(reviewed)
-    kept = [c for c in rows.columns if c not in replaced]
-    return rows.select(
+        reason = reason.when(
+            F.col("_seen").isNotNull() & F.col(reviewed).isNull(), F.lit("unreadable_review_time")
+        )
+    return values.select(
         *kept,
         row_status.alias("row_status"),
         F.when(row_status == "completed", reason).alias("reject_reason"),
-        positive.alias("suspected_sepsis"),
-        time.alias("suspicion_time"),
-        source.alias("infection_source"),
-        evidence.alias("evidence_span"),
-        score.alias("confidence"),
-        *seen_at,
+        *LABEL_FIELDS,
+        *([reviewed] if reviewed else []),
     )
 
 
@@ -157,31 +161,12 @@ def load_counts(normalized: DataFrame) -> DataFrame:
     )
 
 
-def _core() -> Column:
-    return F.struct("suspected_sepsis", "suspicion_time", signature(F.col("infection_source")).alias("s"))
-
-
-def _full() -> Column:
-    return F.struct(
-        "suspected_sepsis",
-        "suspicion_time",
-        signature(F.col("infection_source")).alias("s"),
-        signature(F.col("evidence_span")).alias("e"),
-    )
-
-
 def _distinct_spans(annotations: Column) -> Column:
     """Evidence spans in reviewer order, each comparison form kept once."""
-    spans = F.filter(
-        F.transform(annotations, lambda a: a["evidence_span"]), lambda s: s.isNotNull()
-    )
-    return F.aggregate(
-        spans,
-        F.array().cast("array<string>"),
-        lambda kept, span: F.when(
-            F.exists(kept, lambda k: signature(k) == signature(span)), kept
-        ).otherwise(F.array_append(kept, span)),
-    )
+    given = F.filter(annotations, lambda a: a["evidence_span"].isNotNull())
+    forms = F.transform(given, lambda a: a["evidence_form"])
+    first = F.filter(given, lambda a, i: F.array_position(forms, a["evidence_form"]) == i + 1)
+    return F.transform(first, lambda a: a["evidence_span"])
 
 
 def resolved_labels(
@@ -203,12 +188,20 @@ def resolved_labels(
     """
     entry = F.struct(
         "reviewer_id", "suspected_sepsis", "suspicion_time", "infection_source",
-        "evidence_span", "confidence", "reviewed_at",
+        "evidence_span", "confidence", "reviewed_at", "evidence_form",
     )
-    merged = annotations.groupBy(task).agg(
+    compared = annotations.withColumns(
+        {
+            "_source_form": signature(F.col("infection_source")),
+            "evidence_form": signature(F.col("evidence_span")),
+        }
+    )
+    core = F.struct("suspected_sepsis", "suspicion_time", "_source_form")
+    full = F.struct("suspected_sepsis", "suspicion_time", "_source_form", "evidence_form")
+    merged = compared.groupBy(task).agg(
         F.array_sort(F.collect_list(entry)).alias("annotations"),
-        F.size(F.collect_set(_core())).alias("core_signatures"),
-        F.size(F.collect_set(_full())).alias("full_signatures"),
+        F.size(F.collect_set(core)).alias("core_signatures"),
+        F.size(F.collect_set(full)).alias("full_signatures"),
         F.avg("confidence").alias("_mean_confidence"),
         F.max("reviewed_at").alias("_latest_review"),
     )
@@ -222,6 +215,7 @@ def resolved_labels(
             F.col("adjudicator_id").alias("reviewer_id"), "suspected_sepsis", "suspicion_time",
             "infection_source", "evidence_span", "confidence",
             F.col("adjudicated_at").alias("reviewed_at"),
+            F.lit(None).cast("string").alias("evidence_form"),
         )
         out = out.join(adjudications.select(task, final.alias("_final")), task, "left")
     else:
@@ -349,7 +343,10 @@ def adjudication_table(resolved: DataFrame, ids: Sequence[str]) -> DataFrame:
     ``k`` is the largest number of labels of any conflicting task; shorter rows are
     padded with blanks.
     """
-    conflicts = resolved.where(F.col("resolution_status") == "needs_adjudication")
+    # a small share of the tasks, read twice: for the width and for the rows
+    conflicts = cut_lineage(
+        resolved.where(F.col("resolution_status") == "needs_adjudication").select(*ids, "annotations")
+    )
     widest = conflicts.agg(F.max(F.size("annotations")).alias("k")).first()["k"] or 0
     fields = [
         ("id", "reviewer_id"), ("suspected_sepsis", "suspected_sepsis"),
