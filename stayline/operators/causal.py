@@ -440,28 +440,38 @@ def _slopes(ties: DataFrame, betas: dict[tuple[str, str], float]) -> dict[tuple[
     return {(r["dataset"], r["weighting"]): (r["score"], r["information"]) for r in found}
 
 
-def _newton(ties: DataFrame, fits: Sequence[tuple[str, str]], max_iter: int) -> dict[tuple[str, str], tuple[float, float]]:
-    """Newton steps for all fits at once: one small job per step for every open fit."""
+def _newton(
+    ties: DataFrame, fits: Sequence[tuple[str, str]], max_iter: int
+) -> tuple[dict[tuple[str, str], tuple[float, float]], dict[tuple[str, str], str]]:
+    """Newton steps for all fits at once: one small job per step for every open fit.
+
+    Returns (coefficient, information) of the solved fits and the reason of each failure.
+    """
     betas = {fit: 0.0 for fit in fits}
-    done: dict[tuple[str, str], tuple[float, float]] = {}
+    solved: dict[tuple[str, str], tuple[float, float]] = {}
+    failed: dict[tuple[str, str], str] = {}
     for _ in range(max_iter):
-        open_fits = {fit: beta for fit, beta in betas.items() if fit not in done}
+        open_fits = {f: b for f, b in betas.items() if f not in solved and f not in failed}
         if not open_fits:
-            return done
+            break
         slopes = _slopes(ties, open_fits)
         for fit, beta in open_fits.items():
             score, information = slopes.get(fit, (0.0, 0.0))
             if not information > 1e-12 or not math.isfinite(score):
-                raise ConvergenceError(f"hazard model of {fit}: no information about the effect")
+                failed[fit] = "no information about the effect"
+                continue
             step = score / information
             if abs(step) < 1e-9:
-                done[fit] = (beta, information)
+                solved[fit] = (beta, information)
                 continue
             # long steps are shortened; the likelihood is concave in one coefficient
             betas[fit] = beta + max(-2.0, min(2.0, step))
             if abs(betas[fit]) > 30:
-                raise ConvergenceError(f"hazard model of {fit}: the effect diverges")
-    raise ConvergenceError(f"hazard model did not converge in {max_iter} steps")
+                failed[fit] = "the effect diverges"
+    for fit in fits:
+        if fit not in solved and fit not in failed:
+            failed[fit] = f"no convergence in {max_iter} steps"
+    return solved, failed
 
 
 def weighted_hazard_ratios(
@@ -474,6 +484,7 @@ def weighted_hazard_ratios(
     treatment: str = "treatment",
     horizon: float = 28.0,
     max_iter: int = 50,
+    failures: dict[tuple[str, str], str] | None = None,
 ) -> DataFrame:
     """Weighted Cox hazard ratio of a binary treatment with robust 95 % limits.
 
@@ -483,7 +494,8 @@ def weighted_hazard_ratios(
     correction; the variance is the sandwich of weighted score residuals, whose risk sets
     at tied times are the full ones.
 
-    Result: (dataset, weighting, coefficient, robust_se, hr, ci_lower, ci_upper).
+    Result: (dataset, weighting, coefficient, robust_se, hr, ci_lower, ci_upper).  A fit
+    that fails raises, or is noted in ``failures`` and left out when that is given.
     """
     spark = rows.sparkSession
     table = cut_lineage(_time_table(rows, dataset, duration, event, treatment, weights))
@@ -495,7 +507,11 @@ def weighted_hazard_ratios(
     risk = cut_lineage(risk)
     fits = [(r["dataset"], r["weighting"]) for r in risk.select(*keys).distinct().collect()]
     ties = cut_lineage(_ties(risk))
-    solved = _newton(ties, fits, max_iter)
+    solved, failed = _newton(ties, fits, max_iter)
+    if failures is None and failed:
+        raise ConvergenceError("; ".join(f"hazard model of {fit}: {why}" for fit, why in failed.items()))
+    if failures is not None:
+        failures.update(failed)
 
     literal = spark.createDataFrame(
         [(d, w, beta, info) for (d, w), (beta, info) in solved.items()],

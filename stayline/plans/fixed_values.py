@@ -256,3 +256,60 @@ SUMMARY_COLUMNS = (
     "primary_weight_max", "primary_weight_mean", "primary_weight_std",
     "convergence_status", "detail_csv_path", "survival_curve_csv_path",
 )
+
+# --- raw tables: columns that are typed, everything else stays text -----------------
+
+_IDS = {"subject_id": "bigint", "hadm_id": "bigint", "stay_id": "bigint", "itemid": "bigint"}
+_TIMES = {
+    name: "timestamp_ntz"
+    for name in (
+        "admittime", "dischtime", "deathtime", "dod", "intime", "outtime", "starttime", "stoptime",
+        "endtime", "charttime", "chartdate", "storetime",
+    )
+}
+RAW_TYPES = {
+    **_IDS, **_TIMES,
+    "anchor_age": "int", "seq_num": "int", "transfer_id": "bigint", "valuenum": "double",
+}
+RAW_FILES = {
+    "patients": "hosp/patients.csv.gz",
+    "admissions": "hosp/admissions.csv.gz",
+    "prescriptions": "hosp/prescriptions.csv.gz",
+    "labevents": "hosp/labevents.csv.gz",
+    "d_labitems": "hosp/d_labitems.csv.gz",
+    "microbiologyevents": "hosp/microbiologyevents.csv.gz",
+    "emar": "hosp/emar.csv.gz",
+    "diagnoses_icd": "hosp/diagnoses_icd.csv.gz",
+    "d_icd_diagnoses": "hosp/d_icd_diagnoses.csv.gz",
+    "transfers": "hosp/transfers.csv.gz",
+    "icustays": "icu/icustays.csv.gz",
+    "chartevents": "icu/chartevents.csv.gz",
+    "d_items": "icu/d_items.csv.gz",
+    "inputevents": "icu/inputevents.csv.gz",
+    "procedureevents": "icu/procedureevents.csv.gz",
+}
+REQUIRED_COLUMNS = {
+    "patients": ("subject_id", "anchor_age"),
+    "admissions": ("subject_id", "hadm_id", "admittime", "dischtime"),
+    "icustays": ("subject_id", "hadm_id", "stay_id", "intime", "outtime"),
+    "prescriptions": ("subject_id", "hadm_id", "starttime", "stoptime", "drug", "route"),
+    "labevents": ("subject_id", "hadm_id", "itemid", "charttime", "storetime", "valuenum"),
+    "d_labitems": ("itemid", "label"),
+    "microbiologyevents": ("subject_id", "hadm_id", "charttime", "chartdate", "spec_type_desc", "test_name"),
+    "emar": ("subject_id", "hadm_id", "charttime", "event_txt", "medication"),
+    "diagnoses_icd": ("subject_id", "hadm_id", "seq_num", "icd_code", "icd_version"),
+    "d_icd_diagnoses": ("icd_code", "icd_version", "long_title"),
+    "transfers": ("subject_id", "hadm_id", "transfer_id", "careunit", "intime"),
+    "chartevents": ("subject_id", "hadm_id", "stay_id", "itemid", "charttime", "storetime", "valuenum"),
+    "d_items": ("itemid", "label"),
+    "inputevents": ("stay_id", "starttime", "itemid"),
+    "procedureevents": ("stay_id", "starttime", "itemid"),
+}
+NOTE_REQUIRED = ("subject_id", "hadm_id", "charttime", "text")
+# clustering of the silver files: join keys and sort columns
+SILVER_LAYOUT = {
+    "labevents": (("subject_id", "hadm_id"), ("itemid", "charttime")),
+    "chartevents": (("stay_id",), ("itemid", "charttime")),
+    "inputevents": (("stay_id",), ("itemid",)),
+    "procedureevents": (("stay_id",), ("itemid",)),
+}
