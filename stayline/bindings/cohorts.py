@@ -12,6 +12,7 @@ from stayline.bindings import Bound, table, with_micros
 from stayline.functions.text import contains_any, first_label, included, lowered
 from stayline.functions.times import add_hours
 from stayline.operators import cohort as co, signals as sg
+from stayline.session import cut_lineage
 
 WIDE_DAYS = 720
 
@@ -102,7 +103,7 @@ def signal_tables(spark, sf, cohort) -> list[DataFrame]:
 
 
 def candidates(spark, sf) -> DataFrame:
-    cohort = order_cohort(spark, sf, WIDE_DAYS)
+    cohort = cut_lineage(order_cohort(spark, sf, WIDE_DAYS))
     flagged = co.attach_signals(
         cohort,
         signal_tables(spark, sf, cohort),
@@ -217,7 +218,7 @@ def hash_sample(spark, sf):
 
 
 def cohort_summary(spark, sf):
-    found = candidates(spark, sf)
+    found = cut_lineage(candidates(spark, sf))
     flags = ["has_antibiotic_exposure", "has_lactate_measurement", "has_blood_culture"]
     sampled = co.hash_sample(found, ["subject_id", "hadm_id", "stay_id"], 200)
     return co.cohort_summary(stays(spark, sf), order_cohort(spark, sf, WIDE_DAYS), found, sampled, flags)
@@ -228,16 +229,19 @@ def first_match_payload(spark, sf):
     events = line_events(spark, sf).withColumn(
         "source", first_label(lowered(F.col("route"), F.col("drug")), CONTEXT_RULES)
     )
-    matched = sg.in_window(cohort, events.where(F.col("source").isNotNull()), ["hadm_id"], "time")
-    found = sg.first_match(
-        matched, ["time", "route", "drug"],
-        {
-            "first_culture_context_source": "source",
-            "first_culture_context_specimen": "route",
-            "first_culture_context_test": "drug",
-        },
-        time="time", time_name="first_culture_context_time",
-        count_name="culture_context_event_count",
+    found = sg.windowed_signals(
+        cohort, events, ["hadm_id"], "time", {},
+        [
+            sg.FirstMatch(
+                F.col("source").isNotNull(), ["route", "drug"],
+                {
+                    "first_culture_context_source": "source",
+                    "first_culture_context_specimen": "route",
+                    "first_culture_context_test": "drug",
+                },
+                "first_culture_context_time", "culture_context_event_count",
+            )
+        ],
     )
     return with_micros(found, "first_culture_context_time")
 

@@ -300,38 +300,38 @@ def rule_signals(spark, sf) -> DataFrame:
     cohort = user_cohort(spark, sf, 24, 96)
     events = user_events(spark, sf)
     kind, v = F.col("event_type"), F.col("value")
-    timed = sg.windowed_signals(
-        cohort, events, ["subject_id"], "ts",
-        {
-            "antibiotic_admin": (kind == "purchase") & (v > 80),
-            "blood_culture_order": (kind == "click") & (v > 80),
-            "lactate": (kind == "view") & (v > 60),
-            "abnormal_wbc": (kind == "signup") & ((v < 4) | (v > 120)),
-        },
-    )
-    inside = sg.in_window(cohort, events, ["subject_id"], "ts")
-    noted = inside.where((kind == "error") & (v > 60)).withColumns(
+    described = events.withColumns(
         {
             "phrase": F.when(v > 120, "sepsis").otherwise("suspected infection"),
             "note_source": F.when(v > 90, "pulmonary"),
             "note_id": F.col("event_id").cast("string"),
+            "culture_source": F.when(v > 100, "urinary").otherwise("abdominal"),
         }
     )
-    note = sg.first_match(
-        noted, ["ts", "note_id"],
+    found = sg.windowed_signals(
+        cohort, described, ["subject_id"], "ts",
         {
-            "first_note_evidence_id": "note_id",
-            "first_note_match_phrase": "phrase",
-            "first_note_source": "note_source",
+            "antibiotic_admin": (kind == "purchase") & (v > 80),
+            "blood_culture_order": (kind == "click") & (v > 80),
+            "lactate": (kind == "view") & (v > 60),
+            "abnormal_wbc": (kind == "signup") & ((v < 4) | (v > 120)),
         },
-        time="ts", time_name="first_note_evidence_time", count_name="note_evidence_count",
-    )
-    cultured = inside.where((kind == "click") & (v > 50)).withColumn(
-        "culture_source", F.when(v > 100, "urinary").otherwise("abdominal")
-    )
-    culture = sg.first_match(
-        cultured, ["ts", "event_id"], {"first_culture_context_source": "culture_source"},
-        count_name="culture_context_event_count",
+        [
+            sg.FirstMatch(
+                (kind == "error") & (v > 60), ["note_id"],
+                {
+                    "first_note_evidence_id": "note_id",
+                    "first_note_match_phrase": "phrase",
+                    "first_note_source": "note_source",
+                },
+                "first_note_evidence_time", "note_evidence_count",
+            ),
+            sg.FirstMatch(
+                (kind == "click") & (v > 50), ["event_id"],
+                {"first_culture_context_source": "culture_source"},
+                "first_culture_context_time", "culture_context_event_count",
+            ),
+        ],
     )
     segment = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("subject_id"),
@@ -339,7 +339,7 @@ def rule_signals(spark, sf) -> DataFrame:
         .when(F.col("c_mktsegment") == "MACHINERY", "line_device")
         .alias("first_diagnosis_source"),
     )
-    return co.attach_signals(cohort, [timed, note, culture]).join(segment, "subject_id", "left")
+    return co.attach_signals(cohort, [found]).join(segment, "subject_id", "left")
 
 
 EVIDENCE = (

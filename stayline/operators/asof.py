@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.operators.scale import running_total
+from stayline.session import cut_lineage
 
 
 def reduce_to_keys(events: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -131,6 +132,8 @@ def prior_distinct_counts(
         .agg(F.bool_or("_asked").alias("_asked"), *[F.sum(n).alias(f"_new_{n}") for n in facts])
         .withColumn("_day", F.to_date("_at"))
     )
+    # far fewer rows than the facts, and read twice below: the joins behind it run once
+    line = cut_lineage(line)
     counted = running_total(
         line, [subject], "_at", "_day", {n: f"_new_{n}" for n in facts}, inclusive=False
     )

@@ -352,37 +352,36 @@ def weighted_survival(
             ]
         )
     )
+    keys = ["dataset", "treatment_group"]
     long = (
         table.select("dataset", "time", arms.alias("a"))
         .select("dataset", "a.treatment_group", "time", "a.w", "a.d", "a.n")
         .where(F.col("n") > 0)
     )
-    keys = ["dataset", "treatment_group"]
+    # every curve starts at time 0, where an arm without a row there loses nothing
+    none = F.lit(0.0)
+    start = long.select(*keys, none.alias("time"), none.alias("w"), none.alias("d")).distinct()
+    timed = (
+        long.select(*keys, "time", "w", "d")
+        .unionByName(start)
+        .groupBy(*keys, "time")
+        .agg(F.sum("w").alias("w"), F.sum("d").alias("d"))
+    )
     at_risk = running_total(
-        _with_buckets(long, horizon), keys, "time", "_bucket", {"risk": "w"}, descending=True
+        _with_buckets(timed, horizon), keys, "time", "_bucket", {"risk": "w"}, descending=True
     )
     steps = at_risk.withColumns(
         {
-            "_all": (F.col("d") >= F.col("risk")).cast("int"),
+            "_all": ((F.col("d") > 0) & (F.col("d") >= F.col("risk"))).cast("int"),
             "_log": F.when(F.col("d") < F.col("risk"), F.log1p(-F.col("d") / F.col("risk"))).otherwise(0.0),
         }
     )
     summed = running_total(steps, keys, "time", "_bucket", {"_ended": "_all", "_total": "_log"})
-    curve = summed.select(
+    return summed.select(
         *keys,
         F.col("time").alias("timeline_days"),
         F.when(F.col("_ended") > 0, 0.0).otherwise(F.exp("_total")).alias("survival_probability"),
     )
-    start = long.select(*keys).distinct().select(
-        *keys, F.lit(0.0).alias("timeline_days"), F.lit(1.0).alias("survival_probability")
-    )
-    return curve.where(F.col("timeline_days") != 0).unionByName(
-        start.join(
-            curve.where(F.col("timeline_days") == 0).select(*keys, F.col("survival_probability").alias("_s")),
-            keys,
-            "left",
-        ).select(*keys, "timeline_days", F.coalesce("_s", "survival_probability").alias("survival_probability"))
-    )
 
 
 # ------------------------------------------------------------------------------ cox

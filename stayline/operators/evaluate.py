@@ -14,6 +14,7 @@ from stayline.operators.scale import quantile_columns
 
 PREDICTION_FIELDS = ("suspected_sepsis", "suspicion_time", "infection_source", "evidence_span", "confidence")
 PREDICTOR = ("predictor_name", "predictor_type", "predictor_id")
+_MEDIAN_ROWS = 1_000_000
 
 
 def as_predictor(
@@ -73,38 +74,42 @@ def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
         F.col("suspicion_time").alias("_gold_time"),
         signature(F.col("infection_source")).alias("_gold_source"),
     )
-    compared = (
-        predictions.where(F.col("prediction_status") == "ok")
-        .select(
-            *PREDICTOR,
-            "task_id",
-            F.col("suspected_sepsis").alias("_said"),
-            F.col("suspicion_time").alias("_time"),
-            signature(F.col("infection_source")).alias("_source"),
-        )
-        .join(truth, "task_id")
-    )
-    both = F.col("_gold") & F.col("_said")
+    ok = F.col("prediction_status") == "ok"
+    compared = predictions.select(
+        *PREDICTOR,
+        "task_id",
+        ok.alias("_ok"),
+        F.when(ok, F.col("suspected_sepsis")).alias("_said"),
+        F.when(ok, F.col("suspicion_time")).alias("_time"),
+        F.when(ok, signature(F.col("infection_source"))).alias("_source"),
+    ).join(truth, "task_id", "left")
+    # a task outside the gold set has no gold class, so it counts nowhere
+    valid_row = F.col("_ok") & F.col("_gold").isNotNull()
+    both = valid_row & F.col("_gold") & F.col("_said")
     compared = compared.withColumn(
         "_error", F.when(both, F.abs(hours_between(F.col("_gold_time"), F.col("_time"))))
     )
     sourced = both & F.col("_gold_source").isNotNull() & F.col("_source").isNotNull()
     exact = (
-        (F.col("_gold") == F.col("_said"))
+        valid_row
+        & (F.col("_gold") == F.col("_said"))
         & F.col("_gold_time").eqNullSafe(F.col("_time"))
         & F.col("_gold_source").eqNullSafe(F.col("_source"))
     )
     tasks = gold.count()
-    valid = F.count(F.lit(1))
+    valid = F.count_if(valid_row)
     timed = F.count("_error")
+    # A predictor has at most one row per task: with few tasks the exact median fits one
+    # buffer and joins the same pass.
+    few = tasks <= _MEDIAN_ROWS
     counts = compared.groupBy(*PREDICTOR).agg(
         F.lit(tasks).cast("bigint").alias("evaluated_task_count"),
         valid.alias("valid_prediction_count"),
-        _rate(valid, F.lit(tasks)).alias("valid_prediction_rate"),
+        F.round(valid / F.lit(tasks), 6).alias("valid_prediction_rate"),
         F.count_if(both).alias("true_positive_count"),
-        F.count_if(~F.col("_gold") & F.col("_said")).alias("false_positive_count"),
-        F.count_if(F.col("_gold") & ~F.col("_said")).alias("false_negative_count"),
-        F.count_if(~F.col("_gold") & ~F.col("_said")).alias("true_negative_count"),
+        F.count_if(valid_row & ~F.col("_gold") & F.col("_said")).alias("false_positive_count"),
+        F.count_if(valid_row & F.col("_gold") & ~F.col("_said")).alias("false_negative_count"),
+        F.count_if(valid_row & ~F.col("_gold") & ~F.col("_said")).alias("true_negative_count"),
         timed.alias("time_eval_count"),
         F.round(F.avg("_error"), 6).alias("mean_time_error_hours"),
         _rate(F.count_if(F.col("_error") <= 1.0), timed).alias("within_1h_rate"),
@@ -114,27 +119,22 @@ def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
             "infection_source_agreement_rate"
         ),
         _rate(F.count_if(exact), valid).alias("exact_label_match_rate"),
+        *([F.round(F.median("_error"), 6).alias("median_time_error_hours")] if few else []),
     )
     tp, fp, fn = (F.col(f"{k}_count") for k in ("true_positive", "false_positive", "false_negative"))
     scored = counts.withColumn("precision", _rate(tp, tp + fp)).withColumn("recall", _rate(tp, tp + fn))
     p, r = F.col("precision"), F.col("recall")
     scored = scored.withColumn("f1_score", F.when(p + r > 0, F.round(2 * p * r / (p + r), 6)))
+    if few:
+        return scored
     median = quantile_columns(
         compared.where(F.col("_error").isNotNull()),
         ["predictor_name"],
         "_error",
         {"median_time_error_hours": 0.5},
     )
-    # every predictor is listed, also one without a single valid row
-    everyone = predictions.select(*PREDICTOR).distinct()
-    zeros = [c for c in scored.columns if c.endswith("_count")]
-    return (
-        everyone.join(scored, list(PREDICTOR), "left")
-        .join(median, "predictor_name", "left")
-        .withColumn("median_time_error_hours", F.round("median_time_error_hours", 6))
-        .withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in zeros})
-        .withColumn("evaluated_task_count", F.lit(tasks).cast("bigint"))
-        .withColumn("valid_prediction_rate", F.coalesce("valid_prediction_rate", F.lit(0.0)))
+    return scored.join(median, "predictor_name", "left").withColumn(
+        "median_time_error_hours", F.round("median_time_error_hours", 6)
     )
 
 

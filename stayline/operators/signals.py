@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,12 +46,41 @@ def in_window(
     )
 
 
+@dataclass(frozen=True)
+class FirstMatch:
+    """What to keep of the first event that satisfies a predicate.
+
+    ``order`` ranks events after their time, NULLs last; ``payload`` maps output names to
+    event columns; ``time_name`` and ``count_name`` name MIN(time) and COUNT.
+    """
+
+    predicate: Column
+    order: Sequence[str]
+    payload: dict[str, str]
+    time_name: str
+    count_name: str
+
+
+def _rank(columns: Sequence[str], payload: Sequence[str]) -> Column:
+    """Ordering struct: NULLs last, closed by the payload so ties have one fixed winner."""
+    parts = []
+    for column in columns:
+        parts += [F.col(column).isNull(), F.col(column)]
+    parts += [F.col(column) for column in payload]
+    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
+
+
+def _payload(payload: dict[str, str]) -> Column:
+    return F.struct(*[F.col(c).alias(name) for name, c in payload.items()])
+
+
 def windowed_signals(
     cohort: DataFrame,
     events: DataFrame,
     keys: Sequence[str],
     time: str,
     signals: dict[str, Column],
+    firsts: Sequence[FirstMatch] = (),
     *,
     stay: str = "stay_id",
     bounds: tuple[str, str] = BOUNDS,
@@ -59,23 +89,40 @@ def windowed_signals(
 
     ``signals`` maps a name to a predicate over event columns.  Result per stay:
     ``first_<name>_time`` and ``<name>_event_count``, both NULL for a stay without that
-    signal.  Events that match no predicate are dropped before the join, and MIN/COUNT
-    combine on the map side, so a hot stay shuffles only its partial results.
+    signal; ``firsts`` adds attributes of first matching events.  Events that match no
+    predicate are dropped before the join, and all aggregates combine on the map side, so
+    a hot stay shuffles only its partial results.
     """
+    carried = sorted({c for f in firsts for c in (*f.order, *f.payload.values())})
+    tests = {**signals, **{f.count_name: f.predicate for f in firsts}}
     flagged = events.select(
         *keys,
         F.col(time).alias("_time"),
-        *[F.coalesce(p, F.lit(False)).alias(f"_is_{name}") for name, p in signals.items()],
-    ).where(reduce(lambda a, b: a | b, [F.col(f"_is_{name}") for name in signals]))
+        *carried,
+        *[F.coalesce(p, F.lit(False)).alias(f"_is_{name}") for name, p in tests.items()],
+    ).where(reduce(lambda a, b: a | b, [F.col(f"_is_{name}") for name in tests]))
     matched = in_window(cohort, flagged, keys, "_time", stay=stay, bounds=bounds)
-    aggregates = []
-    for name in signals:
+
+    def seen(name: str, time_name: str, count_name: str) -> list[Column]:
         hit = F.col(f"_is_{name}")
-        aggregates += [
-            F.min(F.when(hit, F.col("_time"))).alias(f"first_{name}_time"),
-            F.nullif(F.count_if(hit), F.lit(0)).alias(f"{name}_event_count"),
+        return [
+            F.min(F.when(hit, F.col("_time"))).alias(time_name),
+            F.nullif(F.count_if(hit), F.lit(0)).alias(count_name),
         ]
-    return matched.groupBy(stay).agg(*aggregates)
+
+    aggregates = []
+    for name in signals:
+        aggregates += seen(name, f"first_{name}_time", f"{name}_event_count")
+    for i, first in enumerate(firsts):
+        aggregates += seen(first.count_name, first.time_name, first.count_name)
+        rank = _rank(["_time", *first.order], list(first.payload.values()))
+        aggregates.append(
+            F.min_by(_payload(first.payload), F.when(F.col(f"_is_{first.count_name}"), rank)).alias(f"_first{i}")
+        )
+    found = matched.groupBy(stay).agg(*aggregates)
+    for i, first in enumerate(firsts):
+        found = found.withColumns({name: F.col(f"_first{i}.{name}") for name in first.payload}).drop(f"_first{i}")
+    return found
 
 
 def first_match(
@@ -83,33 +130,15 @@ def first_match(
     order: Sequence[str],
     payload: dict[str, str],
     *,
-    time: str | None = None,
-    time_name: str | None = None,
     count_name: str,
     stay: str = "stay_id",
 ) -> DataFrame:
-    """Attributes of the first matching row per stay, next to MIN(time) and COUNT.
+    """Attributes of the first row per stay, by ``order`` with NULLs last, and COUNT.
 
-    ``order`` ranks rows with NULLs last; ``payload`` maps output names to columns.  The
-    row is chosen by an aggregate over an ordering struct, which combines on the map side
-    where a ranking window would move every row.
+    For rows without a time, such as coded diagnoses.  The row is chosen by an aggregate
+    over an ordering struct, which combines on the map side where a ranking window would
+    move every row.
     """
-    rank = []
-    for column in order:
-        rank += [F.col(column).isNull(), F.col(column)]
-    # the payload closes the ranking, so equal order keys still give one fixed winner
-    rank += [F.col(c) for c in payload.values()]
-    first = F.min_by(
-        F.struct(*[F.col(c).alias(name) for name, c in payload.items()]),
-        F.struct(*[part.alias(f"k{i}") for i, part in enumerate(rank)]),
-    )
-    aggregates = [first.alias("_first"), F.count(F.lit(1)).alias(count_name)]
-    if time and time_name:
-        aggregates.append(F.min(time).alias(time_name))
-    found = matched.groupBy(stay).agg(*aggregates)
-    return found.select(
-        stay,
-        *([time_name] if time_name else []),
-        *[F.col(f"_first.{name}").alias(name) for name in payload],
-        count_name,
-    )
+    first = F.min_by(_payload(payload), _rank(order, list(payload.values())))
+    found = matched.groupBy(stay).agg(first.alias("_first"), F.count(F.lit(1)).alias(count_name))
+    return found.select(stay, *[F.col(f"_first.{name}").alias(name) for name in payload], count_name)

@@ -14,7 +14,7 @@ from stayline.functions.typing import blank_to_null, optional_column, typed
 from stayline.operators import asof, checks as ck, cohort as co, datasets as ds, evaluate as ev
 from stayline.operators import extraction as ex, labels as lb, notes as nt, rules, signals as sg
 from stayline.plans import fixed_values as fv
-from stayline.session import configure
+from stayline.session import configure, cut_lineage
 from stayline.sources import sinks
 from stayline.sources.tables import empty_table, text_table
 
@@ -84,7 +84,8 @@ def first_stays(tables: Tables) -> DataFrame:
 
 def cohort_stage(tables: Tables, *, sample: int = fv.SAMPLE_SIZE) -> dict[str, DataFrame]:
     """Adult first stays, candidates with a signal, and the hash sample."""
-    cohort = first_stays(tables)
+    # joined to every event table below: computed once
+    cohort = cut_lineage(first_stays(tables))
     orders = tables["prescriptions"].withColumn("time", F.coalesce("starttime", "stoptime"))
     antibiotic = sg.windowed_signals(
         cohort, orders, _EPISODE, "time",
@@ -108,7 +109,9 @@ def cohort_stage(tables: Tables, *, sample: int = fv.SAMPLE_SIZE) -> dict[str, D
         "has_lactate_measurement": "lactate_event_count",
         "has_blood_culture": "blood_culture_event_count",
     }
-    candidates = co.with_any_signal(co.attach_signals(cohort, [antibiotic, lactate, culture], flags))
+    candidates = cut_lineage(
+        co.with_any_signal(co.attach_signals(cohort, [antibiotic, lactate, culture], flags))
+    )
     sampled = co.hash_sample(candidates, ["subject_id", "hadm_id", "stay_id"], sample)
     summary = co.cohort_summary(tables["icustays"], cohort, candidates, sampled, list(flags))
     return {"cohort": cohort, "candidates": candidates, "sampled": sampled, "summary": summary}
@@ -131,15 +134,19 @@ def _note_signal(cohort: DataFrame, notes: DataFrame | None) -> DataFrame:
         first_label(text, fv.NOTE_PHRASES).alias("phrase"),
         first_label(text, fv.CONTEXT_SOURCES).alias("source"),
     ).where(F.col("phrase").isNotNull())
-    matched = sg.in_window(cohort, read, ["stay_id"], "note_charttime")
-    return sg.first_match(
-        matched, ["note_charttime", "note_id"],
-        {
-            "first_note_evidence_id": "note_id",
-            "first_note_match_phrase": "phrase",
-            "first_note_source": "source",
-        },
-        time="note_charttime", time_name="first_note_evidence_time", count_name="note_evidence_count",
+    return sg.windowed_signals(
+        cohort, read, ["stay_id"], "note_charttime", {},
+        [
+            sg.FirstMatch(
+                F.col("phrase").isNotNull(), ["note_id"],
+                {
+                    "first_note_evidence_id": "note_id",
+                    "first_note_match_phrase": "phrase",
+                    "first_note_source": "source",
+                },
+                "first_note_evidence_time", "note_evidence_count",
+            )
+        ],
     )
 
 
@@ -186,25 +193,22 @@ def rule_signals(
             & matches(lowered(F.col("medication")), fv.ANTIBIOTIC_PATTERN)
         },
     )
-    order = sg.windowed_signals(
-        cohort, _cultures(tables), _EPISODE, "time", {"blood_culture_order": _blood_culture()}
-    )
-    sourced = _cultures(tables).withColumn(
+    cultures = _cultures(tables).withColumn(
         "source", first_label(lowered(F.col("spec_type_desc"), F.col("test_name")), fv.CONTEXT_SOURCES)
     )
-    culture = sg.first_match(
-        sg.in_window(
-            cohort,
-            sourced.where(F.col("source").isNotNull()).select(*_EPISODE, "time", *_IS_BLOOD_CULTURE, "source"),
-            _EPISODE, "time",
-        ),
-        ["time", *_IS_BLOOD_CULTURE],
-        {
-            "first_culture_context_source": "source",
-            "first_culture_context_specimen": "spec_type_desc",
-            "first_culture_context_test": "test_name",
-        },
-        time="time", time_name="first_culture_context_time", count_name="culture_context_event_count",
+    culture = sg.windowed_signals(
+        cohort, cultures, _EPISODE, "time", {"blood_culture_order": _blood_culture()},
+        [
+            sg.FirstMatch(
+                F.col("source").isNotNull(), list(_IS_BLOOD_CULTURE),
+                {
+                    "first_culture_context_source": "source",
+                    "first_culture_context_specimen": "spec_type_desc",
+                    "first_culture_context_test": "test_name",
+                },
+                "first_culture_context_time", "culture_context_event_count",
+            )
+        ],
     )
     label = lowered(F.col("label"))
     lab_kinds = tables["d_labitems"].select(
@@ -242,7 +246,7 @@ def rule_signals(
         F.col("stay_id").alias("icustay_id"),
     )
     return co.attach_signals(
-        base, [_note_signal(cohort, notes), admin, order, culture, labs, vitals, diagnosis]
+        base, [_note_signal(cohort, notes), admin, culture, labs, vitals, diagnosis]
     )
 
 

@@ -71,16 +71,29 @@ def test_window_is_closed_and_predicates_are_counted_apart(spark):
 
 def test_first_match_ranks_nulls_last(spark):
     rows = frame(
-        spark, "stay_id bigint, at time, kind string, test string",
-        [(1, "2024-01-01", None, "b"), (1, "2024-01-01", "x", "z"), (1, "2024-01-01", "x", None), (1, None, "a", "a")],
+        spark, "stay_id bigint, seq int, title string",
+        [(1, None, "a"), (1, 2, "z"), (1, 2, None), (1, 3, "a")],
     )
-    out = sg.first_match(
-        rows, ["at", "kind", "test"], {"kind1": "kind", "test1": "test"},
-        time="at", time_name="first", count_name="n",
+    out = sg.first_match(rows, ["seq", "title"], {"t": "title"}, count_name="n")
+    assert records(out) == [{"stay_id": 1, "t": "z", "n": 4}]
+
+
+def test_timed_payload_comes_from_the_first_match(spark):
+    events = frame(
+        spark, "subject_id bigint, hadm_id bigint, at time, kind string, test string",
+        [
+            (1, 10, "2024-01-02", None, "b"), (1, 10, "2024-01-02", "x", "z"), (1, 10, "2024-01-02", "x", None),
+            (1, 10, "2024-01-01", "skip", "early"), (1, 10, "2023-01-01", "x", "outside"), (2, 20, "2024-01-02", "skip", "b"),
+        ],
     )
-    assert records(out) == [
-        {"stay_id": 1, "first": datetime(2024, 1, 1), "kind1": "x", "test1": "z", "n": 4}
-    ]
+    out = sg.windowed_signals(
+        window_cohort(spark), events, ["subject_id", "hadm_id"], "at", {"any": F.lit(True)},
+        [sg.FirstMatch(F.coalesce("kind", F.lit("")) != "skip", ["kind", "test"], {"k": "kind", "t": "test"}, "first", "n")],
+    )
+    got = {r["stay_id"]: r for r in records(out)}
+    assert (got[100]["first"], got[100]["k"], got[100]["t"], got[100]["n"]) == (datetime(2024, 1, 2), "x", "z", 3)
+    assert got[100]["any_event_count"] == 4
+    assert got[200]["n"] is None and got[200]["k"] is None and got[200]["any_event_count"] == 1
 
 
 def test_flags_and_sample(spark):
