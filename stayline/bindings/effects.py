@@ -43,7 +43,9 @@ def stratum_scores(rows: DataFrame) -> DataFrame:
 
 
 def weighted(spark, sf) -> DataFrame:
-    return ca.truncated_weights(ca.raw_weights(stratum_scores(units(spark, sf))))
+    # read by several small jobs (shares, quantile bounds), so written once
+    scores = cut_lineage(stratum_scores(units(spark, sf)))
+    return ca.truncated_weights(ca.raw_weights(scores))
 
 
 def iptw_weights(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from stayline.functions.times import label_time_text, lenient_time
 from stayline.functions.typing import as_double, blank_to_null, lenient_bool
+from stayline.operators.scale import computed_once
 
 ANSWER_KEYS = ("suspected_sepsis", "suspicion_time", "infection_source", "evidence_span", "confidence")
 
@@ -58,7 +59,7 @@ def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataF
     missing = F.lit(False)
     for key in ANSWER_KEYS:
         missing = missing | ~F.map_contains_key("_map", key)
-    staged = fields.withColumns(
+    staged = computed_once(fields).withColumns(
         {
             "_missing": missing,
             "_positive": lenient_bool(raw("suspected_sepsis")),
@@ -70,6 +71,7 @@ def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataF
             "_confidence": as_double(raw("confidence")),
         }
     )
+    staged = computed_once(staged)
     broken = F.col("_positive") & (
         F.col("_time").isNull() | F.col("_source").isNull() | F.col("_evidence").isNull()
     )

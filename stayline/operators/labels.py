@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stayline.functions.text import evidence_lines, signature
 from stayline.functions.times import label_time_text
 from stayline.functions.typing import blank_to_null, confidence, lenient_bool, strip
-from stayline.operators.scale import hash_positions
+from stayline.operators.scale import computed_once, hash_positions
 from stayline.session import cut_lineage
 
 PENDING = ("", "pending", "in_progress")
@@ -109,7 +109,7 @@ def normalized_annotations(
         *[blank_to_null(c).alias(f"_{name}") for name, c in raw.items()],
         *([blank_to_null(F.col(reviewed)).alias("_seen")] if reviewed else []),
     )
-    values = texts.withColumns(
+    values = computed_once(texts).withColumns(
         {
             "suspected_sepsis": lenient_bool(F.col("_suspected_sepsis")),
             "suspicion_time": label_time_text(F.col("_suspicion_time")),
@@ -119,6 +119,7 @@ def normalized_annotations(
             **({reviewed: label_time_text(F.col("_seen"))} if reviewed else {}),
         }
     )
+    values = computed_once(values)
     has_content = F.coalesce(*[F.col(f"_{name}") for name in LABEL_FIELDS]).isNotNull()
     row_status = (
         F.when(F.col("_word").isin(*PENDING) & ~has_content, F.lit("pending"))
@@ -223,27 +224,31 @@ def resolved_labels(
             "_final", F.when(F.lit(False), F.col("_final"))
         )
     none = F.array().cast("array<string>")
-    out = out.withColumns(
-        {
-            "reviewer_ids": F.coalesce(F.transform("annotations", lambda a: a["reviewer_id"]), none),
-            "expected_reviewer_ids": F.coalesce("expected_reviewer_ids", none),
-            "completed_annotation_count": F.coalesce(F.size("annotations"), F.lit(0)),
-        }
+    observed = F.coalesce(F.transform("annotations", lambda a: a["reviewer_id"]), none)
+    wanted = F.coalesce("expected_reviewer_ids", none)
+    out = computed_once(
+        out.withColumn("reviewer_ids", observed)
+        .withColumn("expected_reviewer_ids", wanted)
+        .withColumn("_missing", F.array_except(wanted, observed))
+        .withColumn("completed_annotation_count", F.size(observed))
     )
-    out = out.withColumn(
-        "completed_annotation_count",
-        F.when(F.col("annotations").isNull(), 0).otherwise(F.col("completed_annotation_count")),
-    ).withColumn("_missing", F.array_except("expected_reviewer_ids", "reviewer_ids"))
+    done = F.col("completed_annotation_count")
     status = (
         F.when(F.col("_final").isNotNull(), F.lit("adjudicated"))
         .when(F.size("_missing") > 0, F.lit("awaiting_assigned_review"))
-        .when(F.col("completed_annotation_count") == 0, F.lit("missing_annotation"))
-        .when(F.col("completed_annotation_count") == 1, F.lit("single_review"))
+        .when(done == 0, F.lit("missing_annotation"))
+        .when(done == 1, F.lit("single_review"))
         .when(F.col("full_signatures") == 1, F.lit("reviewer_agreement"))
         .when(F.col("core_signatures") == 1, F.lit("reviewer_core_agreement"))
         .otherwise(F.lit("needs_adjudication"))
     )
-    out = out.withColumn("resolution_status", status).withColumn(
+    spans = F.nullif(F.array_join(_distinct_spans(F.col("annotations")), " || "), F.lit(""))
+    out = computed_once(
+        out.withColumn("resolution_status", status).withColumn(
+            "_spans", F.when(status.isin("reviewer_agreement", "reviewer_core_agreement"), spans)
+        )
+    )
+    out = out.withColumn(
         "missing_expected_reviewers",
         F.when(F.col("resolution_status") == "adjudicated", none).otherwise(F.array_sort("_missing")),
     )
@@ -256,7 +261,6 @@ def resolved_labels(
     def final_field(name: str) -> Column:
         return F.when(settled, first[name]).alias(name)
 
-    spans = F.nullif(F.array_join(_distinct_spans(F.col("annotations")), " || "), F.lit(""))
     return out.select(
         *tasks.columns,
         "resolution_status",
@@ -271,7 +275,7 @@ def resolved_labels(
         final_field("suspected_sepsis"),
         final_field("suspicion_time"),
         final_field("infection_source"),
-        F.when(agreed, spans).when(settled, first["evidence_span"]).alias("evidence_span"),
+        F.when(agreed, F.col("_spans")).when(settled, first["evidence_span"]).alias("evidence_span"),
         F.when(agreed, F.round("_mean_confidence", 6)).when(settled, first["confidence"]).alias("confidence"),
         F.when(agreed, F.array_join("reviewer_ids", "|"))
         .when(settled, first["reviewer_id"])

@@ -17,6 +17,15 @@ _HASH_DIGITS = 4  # 65,536 position buckets: a table of fixed size
 _MAX_SKETCH_ROWS = 10_000
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep the optimizer from copying computed columns into every later use.
+
+    Merged projections and pushed-down filters would otherwise repeat costly expressions
+    (parsing, status rules) many times per row.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],

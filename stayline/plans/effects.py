@@ -134,7 +134,8 @@ def causal_stage(
     if failed_primary or not parts:
         raise ca.ConvergenceError("; ".join(f"{d}: {status[d]}" for d in failed_primary) or "no dataset could be fitted")
 
-    weighted = cut_lineage(ca.truncated_weights(ca.raw_weights(ev.stacked(parts))))
+    scored = cut_lineage(ev.stacked(parts))
+    weighted = cut_lineage(ca.truncated_weights(ca.raw_weights(scored)))
     extremes = weighted.groupBy("dataset").agg(F.max("stabilized_weight_primary").alias("w")).collect()
     for r in extremes:
         if r["w"] > max_weight:

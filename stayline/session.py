@@ -59,3 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, small_bytes: int = 256 << 20) -> DataFrame:
+    """Spread a small input over all cores before heavy per-row work.
+
+    A small Parquet file is often one row group, so one task would do all the work.  The
+    size is the planner's estimate of the input; a large input already has many splits and
+    is not shuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > small_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
