@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stayline.bindings import Bound, rounded, table
 from stayline.operators import causal as ca
-from stayline.session import cut_lineage
+from stayline.session import cut_lineage, written_by
 
 HORIZON = 28.0
 
@@ -157,9 +157,10 @@ def scored(spark, sf) -> tuple[DataFrame, list[dict]]:
     )
     columns = design.columns()
     features = [f"x{i}" for i in range(len(columns))]
+    ready = written_by(rows.select("*", *columns), "dataset")
     parts, coefficients = [], []
     for name in names:
-        part = rows.where(F.col("dataset") == name).select("*", *columns)
+        part = ready.where(F.col("dataset") == name)
         fit, scored_part = ca.fit_propensity(part, features)
         parts.append(scored_part.drop(*features))
         for label, value in zip(["intercept", *design.names], [fit.intercept, *fit.coefficients]):

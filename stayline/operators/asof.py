@@ -44,7 +44,8 @@ def latest_before(
     probe_columns = [*keys, *([start] if start else []), zero]
     probes = rows.where(F.col(zero).isNotNull()).select(*probe_columns).distinct()
     wanted = [p for p, _ in values.values()] + list(flags.values())
-    used = events.select(
+    # the bare predicates, so that plain comparisons reach the Parquet scan
+    used = events.where(reduce(lambda a, b: a | b, wanted)).select(
         *keys,
         F.col(time).alias("_time"),
         *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)],
@@ -52,9 +53,6 @@ def latest_before(
         *[v.alias(f"_value_{n}") for n, (_, v) in values.items()],
         *[F.coalesce(p, F.lit(False)).alias(f"_is_{n}") for n, p in flags.items()],
     )
-    if wanted:
-        names = [*values, *flags]
-        used = used.where(reduce(lambda a, b: a | b, [F.col(f"_is_{n}") for n in names]))
     matched = used.join(probes, list(keys)).where(F.col("_time") < F.col(zero))
     if start:
         matched = matched.where(F.col("_time") >= F.col(start))
@@ -110,8 +108,8 @@ def prior_distinct_counts(
 
     The self-history inequality join pairs every row with all earlier ones.  A distinct
     item counts from the first time it is seen, so the count is a running total over
-    first-seen times: linear in the history, and in two bounded levels (day, then time
-    inside the day) for a subject with a huge one.  All counts share one pass.
+    first-seen times: linear in the history, and in bounded levels (day, second, time) for
+    a subject with a huge one.  All counts share one pass.
     """
     zero = F.lit(0).cast("bigint")
     probes = rows.where(F.col(row_time).isNotNull()).select(
@@ -131,11 +129,12 @@ def prior_distinct_counts(
         .groupBy(subject, "_at")
         .agg(F.bool_or("_asked").alias("_asked"), *[F.sum(n).alias(f"_new_{n}") for n in facts])
         .withColumn("_day", F.to_date("_at"))
+        .withColumn("_second", F.date_trunc("second", "_at"))
     )
     # far fewer rows than the facts, and read twice below: the joins behind it run once
     line = cut_lineage(line)
     counted = running_total(
-        line, [subject], "_at", "_day", {n: f"_new_{n}" for n in facts}, inclusive=False
+        line, [subject], "_at", ["_day", "_second"], {n: f"_new_{n}" for n in facts}, inclusive=False
     )
     return counted.where("_asked").select(
         subject, F.col("_at").alias(row_time), *[F.col(n).cast("bigint").alias(n) for n in facts]

@@ -368,7 +368,7 @@ def weighted_survival(
         .agg(F.sum("w").alias("w"), F.sum("d").alias("d"))
     )
     at_risk = running_total(
-        _with_buckets(timed, horizon), keys, "time", "_bucket", {"risk": "w"}, descending=True
+        _with_buckets(timed, horizon), keys, "time", ["_bucket"], {"risk": "w"}, descending=True
     )
     steps = at_risk.withColumns(
         {
@@ -376,7 +376,7 @@ def weighted_survival(
             "_log": F.when(F.col("d") < F.col("risk"), F.log1p(-F.col("d") / F.col("risk"))).otherwise(0.0),
         }
     )
-    summed = running_total(steps, keys, "time", "_bucket", {"_ended": "_all", "_total": "_log"})
+    summed = running_total(steps, keys, "time", ["_bucket"], {"_ended": "_all", "_total": "_log"})
     return summed.select(
         *keys,
         F.col("time").alias("timeline_days"),
@@ -500,7 +500,7 @@ def weighted_hazard_ratios(
     table = cut_lineage(_time_table(rows, dataset, duration, event, treatment, weights))
     keys = ["dataset", "weighting"]
     risk = running_total(
-        _with_buckets(table, horizon), keys, "time", "_bucket",
+        _with_buckets(table, horizon), keys, "time", ["_bucket"],
         {"risk0": "w0", "risk1": "w1"}, descending=True,
     )
     risk = cut_lineage(risk)
@@ -523,7 +523,7 @@ def weighted_hazard_ratios(
     steps = risk.join(F.broadcast(literal), keys).withColumns(
         {"_p": share, "_h": hazard, "_hp": hazard * share}
     )
-    summed = running_total(steps, keys, "time", "_bucket", {"_H": "_h", "_G": "_hp"})
+    summed = running_total(steps, keys, "time", ["_bucket"], {"_H": "_h", "_G": "_hp"})
 
     def residual(arm: int, died: int) -> Column:
         risk_score = F.col("coefficient")

@@ -1,6 +1,6 @@
 """Building blocks that keep one large group from landing in one task.
 
-* ``running_total``   prefix sums inside a group, in two bounded levels
+* ``running_total``   prefix sums inside a group, in bounded levels
 * ``hash_positions``  a global, reproducible order without a global sort
 * ``exact_quantiles`` exact interpolated quantiles without holding a group's values
 """
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window
+from pyspark.sql import Window, WindowSpec
 
 _HASH_DIGITS = 4  # 65,536 position buckets: a table of fixed size
 _MAX_SKETCH_ROWS = 10_000
@@ -30,7 +30,7 @@ def running_total(
     df: DataFrame,
     group: Sequence[str],
     order: str,
-    bucket: str,
+    buckets: Sequence[str],
     totals: dict[str, str],
     *,
     descending: bool = False,
@@ -38,46 +38,37 @@ def running_total(
 ) -> DataFrame:
     """Add running sums ``totals = {new column: source column}`` per group.
 
-    ``df`` holds one row per (group, order); ``bucket`` is a coarser, order-preserving
-    value such as the day of a time.  Sums per bucket come first (partial aggregation),
-    their running total is the offset of the next bucket, and the fine-grained window
-    never holds more than one bucket of one group.
+    ``df`` holds one row per (group, order).  ``buckets`` are ever finer, order-preserving
+    values of ``order``, such as its day and its second.  Sums per bucket come first
+    (partial aggregation), their running total is the offset of the next bucket, and the
+    same is done inside a bucket with the next finer one.  No window ever holds more than
+    the buckets of one level or the rows of one finest bucket.
     """
 
-    def arrow(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
+    def running(level: str, last: int) -> WindowSpec:
+        arrow = F.col(level).desc() if descending else F.col(level).asc()
+        return Window.partitionBy(*group).orderBy(arrow).rowsBetween(Window.unboundedPreceding, last)
 
-    per_bucket = df.groupBy(*group, bucket).agg(
-        *[F.sum(source).alias(f"_sum_{name}") for name, source in totals.items()]
-    )
-    earlier = (
-        Window.partitionBy(*group)
-        .orderBy(arrow(bucket))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_bucket.select(
-        *group,
-        bucket,
-        *[
-            F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_offset_{name}")
-            for name in totals
-        ],
+    if not buckets:
+        window = running(order, Window.currentRow if inclusive else -1)
+        return df.withColumns(
+            {name: F.coalesce(F.sum(source).over(window), F.lit(0)) for name, source in totals.items()}
+        )
+    bucket, *finer = buckets
+    keys = [*group, bucket]
+    sums = df.groupBy(*keys).agg(*[F.sum(source).alias(f"_sum_{n}") for n, source in totals.items()])
+    earlier = running(bucket, -1)
+    offsets = sums.select(
+        *keys,
+        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_offset_{n}") for n in totals],
     )
-    inside = (
-        Window.partitionBy(*group, bucket)
-        .orderBy(arrow(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    inside = running_total(
+        df, keys, order, finer, totals, descending=descending, inclusive=inclusive
     )
     return (
-        df.join(offsets, [*group, bucket])
-        .withColumns(
-            {
-                name: F.col(f"_offset_{name}")
-                + F.coalesce(F.sum(source).over(inside), F.lit(0))
-                for name, source in totals.items()
-            }
-        )
-        .drop(*[f"_offset_{name}" for name in totals])
+        inside.join(offsets, keys)
+        .withColumns({n: F.col(f"_offset_{n}") + F.col(n) for n in totals})
+        .drop(*[f"_offset_{n}" for n in totals])
     )
 
 

@@ -95,12 +95,13 @@ def windowed_signals(
     """
     carried = sorted({c for f in firsts for c in (*f.order, *f.payload.values())})
     tests = {**signals, **{f.count_name: f.predicate for f in firsts}}
-    flagged = events.select(
+    # the bare predicates, so that plain comparisons reach the Parquet scan
+    flagged = events.where(reduce(lambda a, b: a | b, tests.values())).select(
         *keys,
         F.col(time).alias("_time"),
         *carried,
         *[F.coalesce(p, F.lit(False)).alias(f"_is_{name}") for name, p in tests.items()],
-    ).where(reduce(lambda a, b: a | b, [F.col(f"_is_{name}") for name in tests]))
+    )
     matched = in_window(cohort, flagged, keys, "_time", stay=stay, bounds=bounds)
 
     def seen(name: str, time_name: str, count_name: str) -> list[Column]:

@@ -8,7 +8,7 @@ from stayline.operators import causal as ca, checks as ck, evaluate as ev
 from stayline.operators.datasets import DATASET_COLUMNS, SHIFT_COLUMNS
 from stayline.plans import fixed_values as fv
 from stayline.plans.study import Tables, covariates
-from stayline.session import cut_lineage
+from stayline.session import cut_lineage, written_by
 
 FULL, SUBSET = "full_cohort", "disagreement_subset"
 WEIGHTINGS = {
@@ -115,7 +115,7 @@ def causal_stage(
             F.count_if("analysis_eligible").alias("analysis_row_count"),
         ).collect()
     }
-    ready = scoped.where("analysis_eligible").select("*", *columns)
+    ready = written_by(scoped.where("analysis_eligible").select("*", *columns), "dataset")
     verdicts = ca.estimation_guards(ready)
     status = {
         d: verdicts.get(d) if r["analysis_row_count"] else "no eligible rows" for d, r in sizes.items()

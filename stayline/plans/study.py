@@ -507,6 +507,11 @@ def _measure_columns(spec: dict, convert=None) -> dict:
     return out
 
 
+def _items(events: DataFrame, items) -> DataFrame:
+    """Item filter on the bare column: skips row groups of files sorted by item."""
+    return events.where(F.col("itemid").isin(*map(int, items)))
+
+
 def covariates(rows: DataFrame, tables: Tables) -> DataFrame:
     """The 16 covariates known before time zero, next to the analysis rows.
 
@@ -514,13 +519,15 @@ def covariates(rows: DataFrame, tables: Tables) -> DataFrame:
     each event table is read and joined once for all of them.
     """
     rows = rows.withColumn("time_zero", F.col("suspicion_time"))
+    chart_items = [i for items, _, _ in fv.CHART_MEASURES.values() for i in items]
     charts = asof.latest_before(
-        rows, tables["chartevents"], ["stay_id"], "charttime", order=["storetime"],
+        rows, _items(tables["chartevents"], [*chart_items, *fv.VENTILATION_CHART_ITEMS]), ["stay_id"], "charttime", order=["storetime"],
         values=_measure_columns(fv.CHART_MEASURES, fv.FAHRENHEIT_ITEMS),
         flags={"_ventilated": F.col("itemid").isin(*map(int, fv.VENTILATION_CHART_ITEMS))},
     )
     labs = asof.latest_before(
-        rows, tables["labevents"], _EPISODE, "charttime", order=["storetime"],
+        rows, _items(tables["labevents"], [i for items, _, _ in fv.LAB_MEASURES.values() for i in items]),
+        _EPISODE, "charttime", order=["storetime"],
         values=_measure_columns(fv.LAB_MEASURES),
     )
     procedures = tables["procedureevents"].join(
@@ -533,8 +540,8 @@ def covariates(rows: DataFrame, tables: Tables) -> DataFrame:
         rows, procedures, ["stay_id"], "starttime", flags={"_operated": F.lit(True)}
     )
     infused = asof.latest_before(
-        rows, tables["inputevents"], ["stay_id"], "starttime",
-        flags={"pre_t0_vasopressor": F.col("itemid").isin(*map(int, fv.VASOPRESSOR_ITEMS))},
+        rows, _items(tables["inputevents"], fv.VASOPRESSOR_ITEMS), ["stay_id"], "starttime",
+        flags={"pre_t0_vasopressor": F.lit(True)},
     )
     unit = blank_to_null(F.col("careunit"))
     units = asof.latest_before(

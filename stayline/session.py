@@ -8,8 +8,10 @@ cluster's own configuration and to adaptive execution.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SQL_SETTINGS = {
     # Naive clinical times are compared as written; a fixed zone keeps the few
@@ -61,6 +63,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_by(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` to the shared folder, one folder per key value, and read it back.
+
+    For loops over key values: each pass then reads only its own folder.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stayline-{uuid.uuid4().hex}"
+    df.write.partitionBy(key).parquet(path)
+    columns = [f for f in df.schema.fields if f.name != key] + [df.schema[key]]
+    return spark.read.schema(StructType(columns)).parquet(path).select(*df.columns)
+
+
 def spread(df: DataFrame, small_bytes: int = 256 << 20) -> DataFrame:
     """Spread a small input over all cores before heavy per-row work.
 

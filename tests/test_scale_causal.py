@@ -11,16 +11,17 @@ from stayline.operators import causal as ca, scale
 from stayline.operators.checks import ContractError
 
 
-def test_running_total_equals_a_plain_prefix_sum(spark):
+@pytest.mark.parametrize("buckets", [["b"], ["b", "c"], []])
+def test_running_total_equals_a_plain_prefix_sum(spark, buckets):
     rng = random.Random(1)
-    rows = [(1 if i % 3 else rng.randrange(2, 5), i, i // 17, float(rng.randrange(9))) for i in range(400)]
-    df = spark.createDataFrame(rows, "g int, t int, b int, v double")
-    up = {(r["g"], r["t"]): r["s"] for r in records(scale.running_total(df, ["g"], "t", "b", {"s": "v"}))}
+    rows = [(1 if i % 3 else rng.randrange(2, 5), i, i // 50, i // 7, float(rng.randrange(9))) for i in range(350)]
+    df = spark.createDataFrame(rows, "g int, t int, b int, c int, v double")
+    up = {(r["g"], r["t"]): r["s"] for r in records(scale.running_total(df, ["g"], "t", buckets, {"s": "v"}))}
     down = {(r["g"], r["t"]): r["s"] for r in records(
-        scale.running_total(df, ["g"], "t", "b", {"s": "v"}, descending=True, inclusive=False))}
-    for g, t, _, _ in rows:
-        assert up[g, t] == sum(v for gg, tt, _, v in rows if gg == g and tt <= t)
-        assert down[g, t] == sum(v for gg, tt, _, v in rows if gg == g and tt > t)
+        scale.running_total(df, ["g"], "t", buckets, {"s": "v"}, descending=True, inclusive=False))}
+    for g, t, _, _, _ in rows:
+        assert up[g, t] == sum(v for gg, tt, _, _, v in rows if gg == g and tt <= t)
+        assert down[g, t] == sum(v for gg, tt, _, _, v in rows if gg == g and tt > t)
 
 
 def test_hash_positions_are_the_sorted_hash_order(spark):
