@@ -87,8 +87,9 @@ def budgeted_notes(
     the bundle.  Both columns share one expanding window, which lets the rank bound move
     below the shuffle: each map task sends at most ``max_notes`` rows per stay.
     """
+    # the text closes the order, so notes without time and id still have a fixed one
     order = Window.partitionBy(stay).orderBy(
-        F.col(time).asc_nulls_last(), F.col(note).asc_nulls_last()
+        F.col(time).asc_nulls_last(), F.col(note).asc_nulls_last(), F.col(text)
     )
     expanding = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
@@ -115,6 +116,7 @@ def note_bundles(
     note = F.struct(
         F.col(time).isNull().alias("no_time"),
         F.col(time).alias("at"),
+        F.col("note_id").isNull().alias("no_id"),
         F.col("note_id").cast("string").alias("note_id"),
         F.col("text").alias("text"),
     )

@@ -122,6 +122,15 @@ def test_bundle_and_prompt(spark):
     assert row["annotation_template"]["confidence"] is None
 
 
+def test_missing_ids_and_equal_times_have_a_fixed_order(spark):
+    rows = frame(spark, "stay_id bigint, note_id string, note_charttime time, text string", [
+        (1, None, "2024-01-01", "b"), (1, "z", "2024-01-01", "c"), (1, None, "2024-01-01", "a"), (1, "y", None, "d")])
+    rows = rows.withColumns({"subject_id": F.col("stay_id"), "hadm_id": F.col("stay_id")})
+    notes = nt.note_bundles(nt.budgeted_notes(rows)).first()["notes"]
+    assert [n["text"] for n in notes] == ["c", "a", "b", "d"]
+    assert {r["text"] for r in records(nt.budgeted_notes(rows, max_notes=2))} == {"c", "a"}
+
+
 def test_domain_policy(spark):
     schema = "domain string, parquet_path string, allowed_for_gold_annotations boolean, reason string"
     none = spark.createDataFrame([("rad", "/r", False, "secondary")], schema)
