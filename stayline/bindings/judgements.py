@@ -373,12 +373,12 @@ SELECT task_id, lang, n_chars, status AS review_resolution,
   CASE WHEN status = 'adjudicated' THEN 1.0 WHEN status = 'single_review' THEN fc ELSE mc END AS confidence,
   CASE WHEN status = 'adjudicated' THEN 'judge' WHEN status = 'single_review' THEN fr ELSE rids END AS final_reviewer_id,
   CASE WHEN status = 'adjudicated' THEN '2024-04-01 10:00:00' WHEN status = 'single_review' THEN fa ELSE lr END AS reviewed_at,
-  CASE WHEN status = 'adjudicated' THEN k + 1 ELSE k END AS source_annotation_count,
+  CAST(CASE WHEN status = 'adjudicated' THEN k + 1 ELSE k END AS INTEGER) AS source_annotation_count,
   CASE WHEN status = 'adjudicated' THEN concat_ws('|', nullif(rids, ''), 'judge') ELSE rids END AS supporting_reviewer_ids
 FROM s WHERE status IN ('adjudicated', 'single_review', 'reviewer_agreement', 'reviewer_core_agreement')"""
 
 _SQL_INDEX = "WITH" + _SQL_RESOLVED + """
-SELECT task_id, lang, status AS resolution_status, k AS completed_annotation_count, rids AS reviewer_ids,
+SELECT task_id, lang, status AS resolution_status, CAST(k AS INTEGER) AS completed_annotation_count, rids AS reviewer_ids,
   expd AS expected_reviewer_ids, CASE WHEN status = 'adjudicated' THEN '' ELSE miss END AS missing_expected_reviewers FROM s"""
 
 _SQL_LABEL_SUMMARY = "WITH" + _SQL_RESOLVED + """,

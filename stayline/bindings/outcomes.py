@@ -117,9 +117,23 @@ def dataset_summary(spark, sf):
     return ds.dataset_summary(datasets(spark, sf))
 
 
+def _sql_round6(x: str) -> str:
+    """Six decimals of the exact binary value, ties to even, in 128-bit integers.
+
+    Scaling a double by a power of two is exact; SQL ``round`` works on a rounded product.
+    """
+    bits = f"(CAST(abs({x}) * 4611686018427387904.0::DOUBLE AS HUGEINT) * 1000000::HUGEINT)"
+    whole = f"({bits} // 4611686018427387904::HUGEINT)"
+    rest = f"({bits} % 4611686018427387904::HUGEINT)"
+    half = "2305843009213693952::HUGEINT"
+    up = f"CASE WHEN {rest} > {half} OR ({rest} = {half} AND {whole} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(sign({x}) * CAST({whole} + {up} AS DOUBLE) / 1000000.0::DOUBLE)"
+
+
 def _derived_sql(zero: str, outside: str | None) -> str:
-    delay = f"(epoch_us(ab) - epoch_us({zero})) / 3600000000.0"
-    death = f"(epoch_us(death) - epoch_us({zero})) / 86400000000.0"
+    delay = f"((epoch_us(ab) - epoch_us({zero})) / 3600000000.0)"
+    death = f"((epoch_us(death) - epoch_us({zero})) / 86400000000.0)"
+    icu = f"(epoch_us({zero}) - epoch_us(icu)) / 3600000000.0"
     extra = f"CASE WHEN {outside} THEN 'shifted_time_zero_outside_study_window' END," if outside else ""
     reasons = (
         f"nullif(concat_ws('|', CASE WHEN {zero} IS NULL THEN 'missing_time_zero' END, {extra}"
@@ -131,11 +145,11 @@ def _derived_sql(zero: str, outside: str | None) -> str:
   CASE WHEN {zero} IS NULL THEN 'no_time_zero' WHEN ab IS NULL THEN 'no_antibiotic'
     WHEN {delay} < 0 THEN 'before_time_zero' WHEN {delay} <= 3 THEN 'within_window' ELSE 'after_window' END AS treatment_timing_category,
   CASE WHEN {zero} IS NULL OR {delay} < 0 THEN NULL WHEN ab IS NULL THEN false ELSE {delay} <= 3 END AS early_antibiotic_within_window,
-  round({delay}, 6) AS treatment_delay_hours, coalesce({delay} < 0, false) AS treatment_before_time_zero,
-  round({death}, 6) AS death_delay_days, coalesce({death} < 0, false) AS death_before_time_zero,
+  {_sql_round6(delay)} AS treatment_delay_hours, coalesce({delay} < 0, false) AS treatment_before_time_zero,
+  {_sql_round6(death)} AS death_delay_days, coalesce({death} < 0, false) AS death_before_time_zero,
   CASE WHEN {zero} IS NULL OR {death} < 0 THEN NULL ELSE coalesce({death} <= 28, false) END AS mortality_28d,
-  CASE WHEN {zero} IS NULL OR {death} < 0 THEN NULL WHEN {death} <= 28 THEN round({death}, 6) ELSE 28.0 END AS followup_duration_days,
-  round((epoch_us({zero}) - epoch_us(icu)) / 3600000000.0, 6) AS hours_from_icu_to_time_zero"""
+  CASE WHEN {zero} IS NULL OR {death} < 0 THEN NULL WHEN {death} <= 28 THEN {_sql_round6(death)} ELSE 28.0 END AS followup_duration_days,
+  {_sql_round6(icu)} AS hours_from_icu_to_time_zero"""
 
 
 SQL_DATASETS = sql_users(24, 240) + """,

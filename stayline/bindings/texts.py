@@ -93,7 +93,7 @@ n AS (SELECT doc_id % 150 AS user_id, CAST(doc_id AS VARCHAR) AS note_id, lang,
 l AS (SELECT u.stay_id, u.subject_id, n.*, ct BETWEEN ws AND we AS inside FROM users u JOIN n ON n.user_id = u.subject_id)
 SELECT d.domain, stay_id, subject_id, note_id, strftime(ct, '{_T}') AS note_charttime,
   CASE WHEN lang <> 'de' THEN strftime(ct + INTERVAL 1 HOUR, '{_T}') END AS note_storetime,
-  length(text) AS chars, md5(text) AS text_md5
+  CAST(length(text) AS INTEGER) AS chars, md5(text) AS text_md5
 FROM l JOIN (VALUES ('radiology'), ('discharge')) d(domain) ON d.domain = 'discharge' OR inside"""
 
 

@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stayline.functions.typing import round6
 from stayline.operators.checks import ContractError
 from stayline.operators.scale import quantile_columns, running_total
 from stayline.session import cut_lineage
@@ -599,13 +600,13 @@ def robustness(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     gold = full.where(F.col("dataset_name") == "gold").agg(F.max("primary_hr").alias("gold_hr"))
     gold_hr = gold.first()["gold_hr"]
     reference = F.lit(gold_hr).cast("double")
-    difference = F.round(F.col("primary_hr") - reference, 6)
+    difference = round6(F.col("primary_hr") - reference)
     compared = (F.col("dataset_type") == "model") | (F.col("dataset_name") == "x_rule")
     bias = full.where(compared & reference.isNotNull()).select("dataset_name", difference.alias("hr_bias"))
     models = full.where(F.col("dataset_type") == "model").agg(
         F.count(F.lit(1)).alias("model_count"),
-        F.round(F.max("primary_hr") - F.min("primary_hr"), 6).alias("stability"),
-        F.round(F.var_pop("primary_hr"), 6).alias("variance_across_models"),
+        round6(F.max("primary_hr") - F.min("primary_hr")).alias("stability"),
+        round6(F.var_pop("primary_hr")).alias("variance_across_models"),
     )
     enough = F.col("model_count") >= 2
     models = models.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.lists import joined, listed
 from stayline.functions.times import add_hours, days_between, hours_between, shift_label
-from stayline.functions.typing import blank_to_null
+from stayline.functions.typing import blank_to_null, round6
 
 # Column order of an analysis dataset.
 DATASET_COLUMNS = (
@@ -68,7 +68,7 @@ def treatment_columns(zero: Column, treated_at: Column, window_hours: float) ->
     return {
         "treatment_timing_category": category,
         "early_antibiotic_within_window": early,
-        "treatment_delay_hours": F.round(delay, 6),
+        "treatment_delay_hours": round6(delay),
         "treatment_before_time_zero": F.coalesce(delay < 0, F.lit(False)),
     }
 
@@ -84,11 +84,11 @@ def outcome_columns(zero: Column, died_at: Column) -> dict[str, Column]:
     died = F.coalesce(delay <= FOLLOWUP_DAYS, F.lit(False))
     known = zero.isNotNull() & ~before
     return {
-        "death_delay_days": F.round(delay, 6),
+        "death_delay_days": round6(delay),
         "death_before_time_zero": before,
         "mortality_28d": F.when(known, died),
         "followup_duration_days": F.when(
-            known, F.when(died, F.round(delay, 6)).otherwise(F.lit(FOLLOWUP_DAYS))
+            known, F.when(died, round6(delay)).otherwise(F.lit(FOLLOWUP_DAYS))
         ),
     }
 
@@ -106,7 +106,7 @@ def _derived(df: DataFrame, window_hours: float, *, outside: Column | None = Non
         {
             **treatment_columns(zero, F.col("first_antibiotic_time"), window_hours),
             **outcome_columns(zero, F.col("death_time")),
-            "hours_from_icu_to_time_zero": F.round(hours_between(F.col("icu_intime"), zero), 6),
+            "hours_from_icu_to_time_zero": round6(hours_between(F.col("icu_intime"), zero)),
         }
     )
     reasons = [(zero.isNull(), "missing_time_zero")]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.text import signature
 from stayline.functions.times import hours_between, seconds_between
-from stayline.functions.typing import blank_to_null
+from stayline.functions.typing import blank_to_null, round6
 from stayline.operators.scale import quantile_columns
 
 PREDICTION_FIELDS = ("suspected_sepsis", "suspicion_time", "infection_source", "evidence_span", "confidence")
@@ -58,7 +58,7 @@ def stacked(predictors: Sequence[DataFrame]) -> DataFrame:
 
 
 def _rate(numerator: Column, denominator: Column) -> Column:
-    return F.round(F.try_divide(numerator, denominator), 6)
+    return round6(F.try_divide(numerator, denominator))
 
 
 def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -105,13 +105,13 @@ def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     counts = compared.groupBy(*PREDICTOR).agg(
         F.lit(tasks).cast("bigint").alias("evaluated_task_count"),
         valid.alias("valid_prediction_count"),
-        F.round(valid / F.lit(tasks), 6).alias("valid_prediction_rate"),
+        round6(valid / F.lit(tasks)).alias("valid_prediction_rate"),
         F.count_if(both).alias("true_positive_count"),
         F.count_if(valid_row & ~F.col("_gold") & F.col("_said")).alias("false_positive_count"),
         F.count_if(valid_row & F.col("_gold") & ~F.col("_said")).alias("false_negative_count"),
         F.count_if(valid_row & ~F.col("_gold") & ~F.col("_said")).alias("true_negative_count"),
         timed.alias("time_eval_count"),
-        F.round(F.avg("_error"), 6).alias("mean_time_error_hours"),
+        round6(F.avg("_error")).alias("mean_time_error_hours"),
         _rate(F.count_if(F.col("_error") <= 1.0), timed).alias("within_1h_rate"),
         _rate(F.count_if(F.col("_error") <= 3.0), timed).alias("within_3h_rate"),
         F.count_if(sourced).alias("source_eval_count"),
@@ -119,12 +119,12 @@ def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
             "infection_source_agreement_rate"
         ),
         _rate(F.count_if(exact), valid).alias("exact_label_match_rate"),
-        *([F.round(F.median("_error"), 6).alias("median_time_error_hours")] if few else []),
+        *([round6(F.median("_error")).alias("median_time_error_hours")] if few else []),
     )
     tp, fp, fn = (F.col(f"{k}_count") for k in ("true_positive", "false_positive", "false_negative"))
     scored = counts.withColumn("precision", _rate(tp, tp + fp)).withColumn("recall", _rate(tp, tp + fn))
     p, r = F.col("precision"), F.col("recall")
-    scored = scored.withColumn("f1_score", F.when(p + r > 0, F.round(2 * p * r / (p + r), 6)))
+    scored = scored.withColumn("f1_score", F.when(p + r > 0, round6(2 * p * r / (p + r))))
     if few:
         return scored
     median = quantile_columns(
@@ -134,7 +134,7 @@ def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
         {"median_time_error_hours": 0.5},
     )
     return scored.join(median, "predictor_name", "left").withColumn(
-        "median_time_error_hours", F.round("median_time_error_hours", 6)
+        "median_time_error_hours", round6(F.col("median_time_error_hours"))
     )
 
 

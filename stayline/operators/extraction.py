@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from stayline.functions.times import label_time_text, lenient_time
-from stayline.functions.typing import as_double, blank_to_null, lenient_bool
+from stayline.functions.typing import as_double, blank_to_null, lenient_bool, round6
 from stayline.operators.scale import computed_once
 
 ANSWER_KEYS = ("suspected_sepsis", "suspicion_time", "infection_source", "evidence_span", "confidence")
@@ -97,7 +97,7 @@ def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataF
         F.when(F.col("_positive"), F.col("_time")).alias("suspicion_time"),
         F.when(F.col("_positive"), F.col("_source")).alias("infection_source"),
         F.when(F.col("_positive"), F.col("_evidence")).alias("evidence_span"),
-        F.round("_confidence", 6).alias("confidence"),
+        round6(F.col("_confidence")).alias("confidence"),
     )
     return (
         staged.withColumn("error_kind", error)
@@ -114,5 +114,5 @@ def extraction_summary(results: DataFrame, by: Sequence[str] = ("model_slot", "m
         F.count(F.lit(1)).alias("result_count"),
         ok.alias("ok_count"),
         (F.count(F.lit(1)) - ok).alias("error_count"),
-        F.round(F.avg("latency_seconds"), 6).alias("average_latency_seconds"),
+        round6(F.avg("latency_seconds")).alias("average_latency_seconds"),
     )

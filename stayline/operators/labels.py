@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.text import evidence_lines, signature
 from stayline.functions.times import label_time_text
-from stayline.functions.typing import blank_to_null, confidence, lenient_bool, strip
+from stayline.functions.typing import blank_to_null, confidence, lenient_bool, round6, strip
 from stayline.operators.scale import computed_once, hash_positions
 from stayline.session import cut_lineage
 
@@ -276,7 +276,7 @@ def resolved_labels(
         final_field("suspicion_time"),
         final_field("infection_source"),
         F.when(agreed, F.col("_spans")).when(settled, first["evidence_span"]).alias("evidence_span"),
-        F.when(agreed, F.round("_mean_confidence", 6)).when(settled, first["confidence"]).alias("confidence"),
+        F.when(agreed, round6(F.col("_mean_confidence"))).when(settled, first["confidence"]).alias("confidence"),
         F.when(agreed, F.array_join("reviewer_ids", "|"))
         .when(settled, first["reviewer_id"])
         .alias("final_reviewer_id"),
@@ -333,8 +333,8 @@ def label_summary(resolved: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_final")).alias("blocking_task_count"),
         *[F.count_if(status == s).alias(f"{s}_task_count") for s in statuses],
         double.alias("double_review_task_count"),
-        F.round(F.try_divide(exact, double), 6).alias("double_review_exact_agreement_rate"),
-        F.round(F.try_divide(core, double), 6).alias("double_review_core_agreement_rate"),
+        round6(F.try_divide(exact, double)).alias("double_review_exact_agreement_rate"),
+        round6(F.try_divide(core, double)).alias("double_review_core_agreement_rate"),
         F.sum(
             F.when(status == "awaiting_assigned_review", F.size("missing_expected_reviewers")).otherwise(0)
         ).alias("missing_assigned_review_count"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from stayline.functions.typing import round6
 from stayline.operators import causal as ca, checks as ck, evaluate as ev
 from stayline.operators.datasets import DATASET_COLUMNS, SHIFT_COLUMNS
 from stayline.plans import fixed_values as fv
@@ -180,7 +181,7 @@ def _summary(spark, weighted, hazard, sizes, status, kinds, severe_width) -> Dat
     """One row per dataset and scope in the fixed column order (small frames only)."""
     ratios = hazard.groupBy("dataset").agg(
         *[
-            F.max(F.when(F.col("weighting") == w, F.round(source, 6))).alias(f"{w}_{name}")
+            F.max(F.when(F.col("weighting") == w, round6(F.col(source)))).alias(f"{w}_{name}")
             for w in WEIGHTINGS
             for name, source in (("hr", "hr"), ("ci_lower", "ci_lower"), ("ci_upper", "ci_upper"))
         ]
@@ -225,4 +226,4 @@ def _summary(spark, weighted, hazard, sizes, status, kinds, severe_width) -> Dat
         f.name for f in out.schema.fields
         if f.dataType.simpleString() == "double" and f.name != "synthetic_shift_hours"
     }
-    return out.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in fv.SUMMARY_COLUMNS])
+    return out.select(*[round6(F.col(c)).alias(c) if c in rounded else F.col(c) for c in fv.SUMMARY_COLUMNS])

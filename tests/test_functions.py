@@ -148,3 +148,15 @@ def test_typed_keeps_matching_columns_bare(spark):
     out = typing.typed(df, {"a": "bigint", "b": "bigint"})
     assert [tuple(r) for r in out.collect()] == [(1, 2), (2, None)]
     assert one(spark, typing.optional_column(df, ("zz", "yy"), "int")) is None
+
+
+def test_round6_is_the_binary_value_rounded_half_even(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [n / 86400 for n in range(27, 400_000, 54)] + [-n / 86400 for n in range(27, 50_000, 54)]
+    values += [k / 128 for k in range(-300, 300)] + [rng.uniform(-50, 50) for _ in range(5000)] + [0.0, 28.0, 1e-7, 5e-7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r["i"]: r["x"] for r in df.select("i", typing.round6(F.col("v")).alias("x")).collect()}
+    assert [v for i, v in enumerate(values) if got[i] != round(v, 6)] == []
+    assert one(spark, typing.round6(F.lit(None).cast("double"))) is None
