@@ -33,7 +33,8 @@ def artifact_files(spark, sf):
 
     reviews = raw_reviews(spark, sf)
     sinks.write_per_key(reviews, "reviewer_id", f"{root}/reviews", kind="csv")
-    folders = [f"{root}/reviews/reviewer_id_folder={r}" for r in ("rev_a", "rev_b", "rev_c", "rev_d")]
+    found = tables.discovered_folders(spark, f"{root}/reviews", "reviewer_id_folder=").orderBy("folder")
+    folders = [r["folder"] for r in found.collect()]  # one per reviewer
     back = tables.label_files(spark, folders, ("task_id", "reviewer_id", "annotation_status"))
     review_row = back.agg(
         F.lit("reviews").alias("artifact"), F.count(F.lit(1)).alias("rows"),
@@ -139,20 +140,19 @@ def estimation_guards(spark, sf):
     lines = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        F.col("o_orderpriority").alias("dataset"),
+        F.col("o_orderpriority").alias("dataset"), "l_quantity",
         F.when(F.col("o_orderpriority") != "1-URGENT", F.col("l_quantity") > 25).alias("treatment"),
         (F.when(F.col("o_orderpriority") == "2-HIGH", F.lit("R")).otherwise(F.col("l_returnflag")) == "R").alias("event"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.col("l_discount")).otherwise(F.lit(1.0)).alias("followup_duration_days"),
     )
-    verdicts = ca.estimation_guards(rows)
-    return spark.createDataFrame(sorted(verdicts.items()), "dataset string, verdict string")
+    rows = rows.withColumn("weight", F.when(F.col("dataset") == "3-MEDIUM", F.col("l_quantity") * 3).otherwise(F.lit(1.0)))
+    return ca.estimation_guards(rows, weight="weight")
 
 
 def exact_quantiles(spark, sf):
-    """Bracketed quantiles of line prices per return flag, without the one-buffer shortcut."""
+    """Quantiles of line prices per return flag."""
     out = scale.exact_quantiles(
-        table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice",
-        [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0], accuracy=2000, buffer_rows=100,
+        table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0]
     )
     return rounded(out, "quantile")
 
@@ -219,9 +219,10 @@ SELECT event_id, round((k - mk) / sk, 6) AS x0, round((h - mh) / sh, 6) AS x1, r
     ),
     "estimation_guards": Bound(
         estimation_guards,
-        """SELECT o_orderpriority AS dataset, CASE WHEN o_orderpriority = '1-URGENT' THEN 'treatment labels are missing for eligible rows'
-  WHEN o_orderpriority = '2-HIGH' THEN 'outcome has no variation'
-  WHEN o_orderpriority = '5-LOW' AND min(l_discount) <= 0 THEN 'follow-up durations must be strictly positive' END AS verdict
+        """SELECT o_orderpriority AS dataset, CASE WHEN o_orderpriority = '1-URGENT' THEN 'treatment_missing'
+  WHEN o_orderpriority = '2-HIGH' THEN 'one_outcome'
+  WHEN o_orderpriority = '5-LOW' AND min(l_discount) <= 0 THEN 'followup_not_positive'
+  WHEN o_orderpriority = '3-MEDIUM' AND max(l_quantity) * 3 > 100 THEN 'extreme_weight' END AS verdict
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
     ),
     "exact_quantiles": Bound(

@@ -10,7 +10,6 @@ from stayline.functions.text import first_label, included, lowered, matches
 from stayline.functions.times import add_hours
 from stayline.operators import extraction as ex, notes as nt
 from stayline.plans import fixed_values as fv
-from stayline.session import spread
 
 _T = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -27,7 +26,7 @@ def _sql_case(text: str, rules) -> str:
 
 def text_source_classifier(spark, sf):
     """The study's text rules over whole documents."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     docs = docs.select("doc_id", "source", lowered(F.col("text")).alias("text"))
     text = F.col("text")
     return docs.select(

@@ -97,8 +97,13 @@ def included(text: Column, include: str, *exclude: tuple[Column, str]) -> Column
 
 
 def signature(c: Column) -> Column:
-    """Comparison form of a label text: case-folded, white space collapsed."""
-    return F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
+    """Comparison form of a label text: case-folded, white space collapsed.
+
+    Folding is upper and then lower case, which also joins sharp s with ss and final sigma
+    with sigma.
+    """
+    folded = F.translate(F.lower(F.upper(c)), "ς", "σ")
+    return F.regexp_replace(strip(folded), r"(?U)\s+", " ")
 
 
 def evidence_lines(c: Column) -> Column:

@@ -30,7 +30,12 @@ def as_int(c: Column) -> Column:
 
 
 def as_double(c: Column) -> Column:
-    return c.try_cast("double")
+    """Number from text: decimal or with an exponent, infinities and not-a-number by name.
+
+    A plain cast also takes suffixes and hexadecimal digits ('5f', '0x1p3').
+    """
+    plain = c.cast("string").rlike(r"(?i)^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?|nan)\s*$")
+    return F.when(plain, c.try_cast("double"))
 
 
 def as_time(c: Column) -> Column:

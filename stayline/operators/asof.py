@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayline.operators.scale import running_total
 from stayline.session import cut_lineage
@@ -37,38 +37,45 @@ def latest_before(
     a predicate that any event in the lookback may satisfy.
 
     Probes are reduced to distinct (keys, start, zero) first: label sources that agree on
-    time zero share one lookup.  All measures of a table come from one join and one
-    partially aggregated group-by.
+    time zero share one lookup.  Probes and events of a key then stand in one line of time,
+    and the running maximum of each measure's position is its latest event: linear in both,
+    where a join on the key alone would pair every probe with every event.  Only the latest
+    event before time zero can count, so ``start`` is a check on its time.  Days are the
+    bounded level: a window holds one day of a key, or one row per day of it.
     """
     values, flags = values or {}, flags or {}
     probe_columns = [*keys, *([start] if start else []), zero]
-    probes = rows.where(F.col(zero).isNotNull()).select(*probe_columns).distinct()
-    wanted = [p for p, _ in values.values()] + list(flags.values())
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    probes = rows.where(F.col(zero).isNotNull() & known).select(*probe_columns).distinct()
+    wanted = {**{n: p for n, (p, _) in values.items()}, **flags}
     # the bare predicates, so that plain comparisons reach the Parquet scan
-    used = events.where(reduce(lambda a, b: a | b, wanted)).select(
-        *keys,
-        F.col(time).alias("_time"),
-        *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)],
-        *[F.coalesce(p, F.lit(False)).alias(f"_is_{n}") for n, (p, _) in values.items()],
-        *[v.alias(f"_value_{n}") for n, (_, v) in values.items()],
-        *[F.coalesce(p, F.lit(False)).alias(f"_is_{n}") for n, p in flags.items()],
+    used = events.where(reduce(lambda a, b: a | b, wanted.values())).where(known & F.col(time).isNotNull())
+    places = {f"_at_{n}": F.struct(F.col(time).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], v.alias("v"))
+              for n, (_, v) in values.items()}
+    places |= {f"_at_{n}": F.struct(F.col(time).alias("t")) for n in flags}
+    marks = used.select(
+        *keys, F.col(time).alias("_time"), F.lit(False).alias("_asked"),
+        *[F.when(wanted[n[4:]], place).alias(n) for n, place in places.items()],
     )
-    matched = used.join(probes, list(keys)).where(F.col("_time") < F.col(zero))
+    asked = probes.select("*", F.col(zero).cast(dict(events.dtypes)[time]).alias("_time"), F.lit(True).alias("_asked"))
+    line = marks.unionByName(asked, allowMissingColumns=True).withColumn("_day", F.to_date("_time"))
+    # a probe stands before the events of its own moment
+    ordered = Window.partitionBy(*keys, "_day").orderBy("_time", F.col("_asked").desc())
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    today = line.withColumns(
+        {**{n: F.max(n).over(so_far) for n in places}, "_last": F.lead(F.lit(1)).over(ordered).isNull()}
+    )
+    days_before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = today.where("_last").select(*keys, "_day", *[F.max(n).over(days_before).alias(f"{n}_before") for n in places])
+    found = today.where("_asked").select(*probe_columns, "_day", *places).join(earlier, [*keys, "_day"])
+    found = found.withColumns({n: F.coalesce(n, f"{n}_before") for n in places})
     if start:
-        matched = matched.where(F.col("_time") >= F.col(start))
-    aggregates = []
-    for name in values:
-        position = F.struct(
-            F.col("_time"),
-            *[F.col(f"_order_{i}") for i in range(len(order))],
-            F.col(f"_value_{name}"),
-        )
-        aggregates.append(
-            F.max_by(f"_value_{name}", F.when(F.col(f"_is_{name}"), position)).alias(name)
-        )
-    for name in flags:
-        aggregates.append(F.bool_or(f"_is_{name}").alias(name))
-    return matched.groupBy(*probe_columns).agg(*aggregates)
+        found = found.withColumns({n: F.when(F.col(n)["t"] >= F.col(start), F.col(n)) for n in places})
+    return found.where(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in places])).select(
+        *probe_columns,
+        *[F.col(f"_at_{n}")["v"].alias(n) for n in values],
+        *[F.col(f"_at_{n}").isNotNull().alias(n) for n in flags],
+    )
 
 
 def attach_latest(

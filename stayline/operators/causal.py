@@ -27,7 +27,6 @@ SENSITIVITY_QUANTILES = (0.05, 0.95)
 MAX_WEIGHT = 100.0
 SEVERE_OVERLAP_WIDTH = 0.10
 
-_MAX_LEVELS = 10_000
 _TIE_CHUNK = 1024
 _TIME_BUCKETS = 4096
 _SCORE_TOLERANCE = 1e-5
@@ -92,11 +91,8 @@ def fit_preprocessing(
             everything.where(F.col(c).isNotNull())
             .select(F.col(c).cast("string").alias("level"))
             .distinct()
-            .limit(_MAX_LEVELS + 1)
-            .collect()
+            .collect()  # one design column per level: they are the model's size
         )
-        if len(found) > _MAX_LEVELS:
-            raise ContractError(f"{c} has more than {_MAX_LEVELS} levels and cannot be one-hot coded")
         levels[c] = tuple(sorted(row["level"] for row in found))
     return Preprocessing(scaling, levels, tuple(binary))
 
@@ -182,15 +178,10 @@ def raw_weights(rows: DataFrame, *, dataset: str = "dataset", treatment: str = "
 def _with_dataset_values(rows: DataFrame, values: DataFrame, dataset: str) -> DataFrame:
     """Attach one-row-per-dataset values.
 
-    A join by dataset would send all rows of a dataset to one task.  The values are
-    fetched (their number is the number of analysed datasets, checked here) and sent
-    along as literal rows.
+    Adaptive execution sends the values along when it has measured them as small, and
+    splits the rows of a large dataset when it joins by key.
     """
-    fetched = values.limit(_MAX_LEVELS + 1).collect()
-    if len(fetched) > _MAX_LEVELS:
-        raise ContractError(f"more than {_MAX_LEVELS} datasets in one analysis")
-    literal = rows.sparkSession.createDataFrame(fetched, values.schema)
-    return rows.join(F.broadcast(literal), dataset)
+    return rows.join(values, dataset)
 
 
 def truncated_weights(rows: DataFrame, *, dataset: str = "dataset") -> DataFrame:
@@ -284,8 +275,8 @@ def _time_table(
 ) -> DataFrame:
     """One row per (dataset, weighting, duration) with weighted counts by arm.
 
-    Durations are rounded to six decimals, as stored follow-up is, so the table is bounded
-    by the follow-up horizon and not by the number of rows.
+    Durations are taken as they are; stored follow-up is rounded to six decimals, which
+    bounds the table by the follow-up horizon.
     """
     weighting = F.explode(
         F.array(
@@ -307,7 +298,7 @@ def _time_table(
     return (
         rows.select(
             F.col(dataset).alias("dataset"),
-            F.round(F.col(duration).cast("double"), 6).alias("time"),
+            F.col(duration).cast("double").alias("time"),
             F.col(event).cast("int").alias("_event"),
             F.col(treatment).cast("int").alias("_arm"),
             weighting.alias("_v"),
@@ -556,35 +547,27 @@ def weighted_hazard_ratios(
 # ------------------------------------------------------------------------- guards
 
 
-def estimation_guards(rows: DataFrame, *, dataset: str = "dataset") -> dict[str, str | None]:
-    """First violated guard per dataset (None when it may be fitted), from one pass."""
+def estimation_guards(
+    rows: DataFrame, *, dataset: str = "dataset", weight: str | None = None, max_weight: float = MAX_WEIGHT
+) -> DataFrame:
+    """(dataset, verdict): the first violated guard, NULL when the dataset may be fitted.
+
+    One pass with one row per dataset.  With a ``weight`` column the largest weight is
+    guarded too.
+    """
     t, e, f = F.col("treatment").cast("int"), F.col("event").cast("int"), F.col("followup_duration_days")
-    found = rows.groupBy(dataset).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(t.isNull()).alias("no_treatment"),
-        F.count_if(e.isNull()).alias("no_outcome"),
-        F.count_if(f.isNull()).alias("no_followup"),
-        F.count_if(f <= 0).alias("zero_followup"),
-        (F.min(t) == F.max(t)).alias("one_arm"),
-        (F.min(e) == F.max(e)).alias("one_outcome"),
-    ).collect()
-
-    def verdict(r) -> str | None:
-        if r["no_treatment"]:
-            return "treatment labels are missing for eligible rows"
-        if r["no_outcome"]:
-            return "outcome labels are missing for eligible rows"
-        if r["no_followup"]:
-            return "follow-up durations are missing for eligible rows"
-        if r["zero_followup"]:
-            return "follow-up durations must be strictly positive"
-        if r["one_arm"]:
-            return "treatment has no variation"
-        if r["one_outcome"]:
-            return "outcome has no variation"
-        return None
-
-    return {r[dataset]: verdict(r) for r in found}
+    verdict = F.when(F.count_if(t.isNull()) > 0, "treatment_missing")
+    for broken, code in (
+        (F.count_if(e.isNull()) > 0, "outcome_missing"),
+        (F.count_if(f.isNull()) > 0, "followup_missing"),
+        (F.count_if(f <= 0) > 0, "followup_not_positive"),
+        (F.min(t) == F.max(t), "one_treatment_arm"),
+        (F.min(e) == F.max(e), "one_outcome"),
+    ):
+        verdict = verdict.when(broken, code)
+    if weight is not None:
+        verdict = verdict.when(F.max(weight) > max_weight, "extreme_weight")
+    return rows.groupBy(dataset).agg(verdict.alias("verdict"))
 
 
 # --------------------------------------------------------------------- robustness

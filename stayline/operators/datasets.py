@@ -134,9 +134,8 @@ def analysis_datasets(
         if c in cohort.columns and c not in ("task_id", "subject_id", "hadm_id", "death_time")
     ]
     rows = (
-        predictions.where(F.col("prediction_status") == "ok")
-        .join(gold.select("task_id", "subject_id", "hadm_id", "stay_id"), "task_id")
-        .join(cohort.select(*carried, "death_time"), "stay_id")
+        predictions.join(gold.select("task_id", "subject_id", "hadm_id", "stay_id"), "task_id", "left")
+        .join(cohort.select(*carried, "death_time"), "stay_id", "left")
         .withColumn("suspicion_time", F.when(F.col("suspected_sepsis"), to_second(F.col("suspicion_time"))))
         .withColumn("infection_source", blank_to_null(F.col("infection_source")))
         .withColumn("evidence_span", blank_to_null(F.col("evidence_span")))

@@ -14,7 +14,6 @@ from stayline.operators.scale import quantile_columns
 
 PREDICTION_FIELDS = ("suspected_sepsis", "suspicion_time", "infection_source", "evidence_span", "confidence")
 PREDICTOR = ("predictor_name", "predictor_type", "predictor_id")
-_MEDIAN_ROWS = 1_000_000
 
 
 def as_predictor(
@@ -96,16 +95,13 @@ def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
         & F.col("_gold_time").eqNullSafe(F.col("_time"))
         & F.col("_gold_source").eqNullSafe(F.col("_source"))
     )
-    tasks = gold.count()
+    tasks = gold.agg(F.count(F.lit(1))).scalar()
     valid = F.count_if(valid_row)
     timed = F.count("_error")
-    # A predictor has at most one row per task: with few tasks the exact median fits one
-    # buffer and joins the same pass.
-    few = tasks <= _MEDIAN_ROWS
-    counts = compared.groupBy(*PREDICTOR).agg(
-        F.lit(tasks).cast("bigint").alias("evaluated_task_count"),
+    counts = compared.withColumn("_tasks", tasks).groupBy(*PREDICTOR).agg(
+        F.max(F.col("_tasks")).alias("evaluated_task_count"),
         valid.alias("valid_prediction_count"),
-        round6(valid / F.lit(tasks)).alias("valid_prediction_rate"),
+        round6(valid / F.max("_tasks")).alias("valid_prediction_rate"),
         F.count_if(both).alias("true_positive_count"),
         F.count_if(valid_row & ~F.col("_gold") & F.col("_said")).alias("false_positive_count"),
         F.count_if(valid_row & F.col("_gold") & ~F.col("_said")).alias("false_negative_count"),
@@ -119,22 +115,17 @@ def evaluate_predictors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
             "infection_source_agreement_rate"
         ),
         _rate(F.count_if(exact), valid).alias("exact_label_match_rate"),
-        *([round6(F.median("_error")).alias("median_time_error_hours")] if few else []),
     )
     tp, fp, fn = (F.col(f"{k}_count") for k in ("true_positive", "false_positive", "false_negative"))
     scored = counts.withColumn("precision", _rate(tp, tp + fp)).withColumn("recall", _rate(tp, tp + fn))
     p, r = F.col("precision"), F.col("recall")
     scored = scored.withColumn("f1_score", F.when(p + r > 0, round6(2 * p * r / (p + r))))
-    if few:
-        return scored
-    median = quantile_columns(
-        compared.where(F.col("_error").isNotNull()),
-        ["predictor_name"],
-        "_error",
-        {"median_time_error_hours": 0.5},
+    medians = quantile_columns(
+        compared.where(F.col("_error").isNotNull()), PREDICTOR, "_error", {"median_time_error_hours": 0.5}
     )
-    return scored.join(median, "predictor_name", "left").withColumn(
-        "median_time_error_hours", round6(F.col("median_time_error_hours"))
+    same = [scored[c].eqNullSafe(medians[c]) for c in PREDICTOR]
+    return scored.join(medians, reduce(lambda a, b: a & b, same), "left").select(
+        *[scored[c] for c in scored.columns], round6(F.col("median_time_error_hours")).alias("median_time_error_hours")
     )
 
 

@@ -19,9 +19,9 @@ ANSWER_KEYS = ("suspected_sepsis", "suspicion_time", "infection_source", "eviden
 def first_json_object(text: Column) -> Column:
     """First JSON object found in free text, as JSON text; NULL when there is none.
 
-    Scanning for a decodable object at every brace has no SQL form, so this one step runs
-    over Arrow batches.  The helper is defined here so that it travels to the executors
-    with the plan.
+    Most answers begin with the object; the built-in parser reads those.  Only the others,
+    where an object has to be looked for at the braces, run over Arrow batches.
+    The helper is defined here so that it travels to the executors with the plan.
     """
 
     def decoded(value: str | None) -> str | None:
@@ -29,6 +29,11 @@ def first_json_object(text: Column) -> Column:
         while at >= 0:
             try:
                 found, _ = json.JSONDecoder().raw_decode(value, at)
+            except json.JSONDecodeError as error:
+                # an unended string runs to the end of the text, from any brace before it
+                if error.msg.startswith("Unterminated string") and '"' not in value[error.pos + 1 :]:
+                    at = max(at, error.pos - 1)
+                found = None
             except (ValueError, RecursionError):
                 found = None
             if isinstance(found, dict):
@@ -39,7 +44,10 @@ def first_json_object(text: Column) -> Column:
     def over_batch(texts: pd.Series) -> pd.Series:
         return pd.Series([decoded(value) for value in texts], dtype=object)
 
-    return F.pandas_udf(over_batch, StringType())(text)
+    whole = F.trim(text)
+    simple = F.when(whole.startswith("{"), F.try_parse_json(whole)).cast("string")
+    searched = F.pandas_udf(over_batch, StringType())(F.when(simple.isNull(), text))
+    return F.coalesce(simple, searched)
 
 
 def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataFrame:

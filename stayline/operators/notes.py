@@ -45,6 +45,12 @@ def approved_domain(policies: DataFrame, *, purpose: str = "allowed_for_gold_ann
     return approved[0]["domain"]
 
 
+def _resolved(path: Column) -> Column:
+    """One spelling of a path: no scheme of the local file system, no '.', no spare slashes."""
+    plain = F.regexp_replace(F.regexp_replace(strip(path), r"^file:/+", "/"), r"(/\.)+(?=/|$)", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?<!:)/{2,}", "/"), r"(?<=.)/$", "")
+
+
 def choose_notes(
     policies: DataFrame | None, path: str | None = None, *, allow_nonprimary: bool = False
 ) -> tuple[str, str]:
@@ -61,7 +67,7 @@ def choose_notes(
         return row["parquet_path"], "manifest_approved"
     known = None
     if policies is not None:
-        known = policies.where(F.col("parquet_path") == path).first()
+        known = policies.where(_resolved(F.col("parquet_path")) == _resolved(F.lit(path))).first()
     if known is None:
         return path, "explicit_path"
     if known["allowed_for_gold_annotations"]:

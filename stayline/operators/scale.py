@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window, WindowSpec
 
 _HASH_DIGITS = 4  # 65,536 position buckets: a table of fixed size
-_MAX_SKETCH_ROWS = 10_000
+_SLICES = 4096
 
 
 def computed_once(df: DataFrame) -> DataFrame:
@@ -96,124 +96,68 @@ def hash_positions(df: DataFrame, key: str, seed: str, position: str) -> DataFra
 
 
 def exact_quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    probabilities: Sequence[float],
-    *,
-    accuracy: int = 100_000,
-    buffer_rows: int = 1_000_000,
+    df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (group..., probability, quantile).
 
-    The built-in exact percentile holds all distinct values of a group in one buffer, so
-    it is used only when a first pass has shown that no group has more than
-    ``buffer_rows`` rows.  Otherwise a quantile sketch from that pass brackets each rank;
-    values between brackets are counted, and just the distinct values inside a bracket (a
-    share of about ``4 / accuracy``) are ranked.  The sketch steers the work and never the
-    result: a rank outside its bracket stops the job.
+    A rank search in a fixed number of steps, the same at every size.  Equal values are
+    counted first.  Each group's value range is cut into equal slices; the running counts
+    over the slices tell which ones hold the wanted ranks, and those are cut once more.
+    What then shares a slice with a wanted rank is ranked by its counts.  No step holds
+    more than the slices of a group or the distinct values of one of 16 million slices.
     """
-    spark = df.sparkSession
     probabilities = [float(p) for p in probabilities]
-    margin = 2.0 / accuracy
-    size = len(probabilities)
     keys = list(group) or ["_all"]
     source = df if group else df.withColumn("_all", F.lit(0))
-    values = source.select(*keys, F.col(value).cast("double").alias("_value")).where(
-        F.col("_value").isNotNull()
-    )
-    ends = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
-    # The sketch is off by at most 1 / accuracy of the rows, half the margin.  In a group
-    # too small for that to span a few ranks the bracket is the whole value range.
-    narrow = F.col("_rows") * F.lit(margin) >= 4
-    sketch = (
-        values.groupBy(*keys)
-        .agg(
-            F.count("_value").alias("_rows"),
-            F.min("_value").alias("_min"),
-            F.max("_value").alias("_max"),
-            F.percentile_approx("_value", ends, accuracy).alias("_ends"),
-        )
-        .select(
-            *keys,
-            "_rows",
-            *[
-                F.when(narrow & F.lit(p > margin), F.col("_ends")[i]).otherwise(F.col("_min")).alias(f"_low{i}")
-                for i, p in enumerate(probabilities)
-            ],
-            *[
-                F.when(narrow & F.lit(p < 1 - margin), F.col("_ends")[size + i])
-                .otherwise(F.col("_max"))
-                .alias(f"_high{i}")
-                for i, p in enumerate(probabilities)
-            ],
-        )
-    )
-    # One row per group.  It is fetched to learn its size: small ones are broadcast as
-    # literal rows, larger ones stay distributed and join by key.
-    fetched = sketch.limit(_MAX_SKETCH_ROWS + 1).collect()
-    if len(fetched) <= _MAX_SKETCH_ROWS:
-        if all(row["_rows"] <= buffer_rows for row in fetched):
-            exact = F.percentile("_value", probabilities)
-            found = values.groupBy(*keys).agg(exact.alias("_q"))
-            pairs = [
-                F.struct(F.lit(p).alias("probability"), F.col("_q")[i].alias("quantile"))
-                for i, p in enumerate(probabilities)
-            ]
-            return found.select(*group, F.inline(F.array(*pairs)))
-        sketch = F.broadcast(spark.createDataFrame(fetched, sketch.schema))
-
-    v = F.col("_value")
-    slots = range(size)
-    inside = reduce(lambda a, b: a | b, [v.between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in slots])
-    next_low = _least([F.when(v < F.col(f"_low{i}"), F.col(f"_low{i}")) for i in slots])
-    # A value between brackets only matters as a count in front of the next bracket.
     counted = (
-        values.join(sketch, keys)
-        .select(
-            *keys,
-            "_rows",
-            (~inside).alias("_gap"),
-            F.when(inside, v).otherwise(next_low).alias("_value"),
-        )
-        .where(v.isNotNull())
-        .groupBy(*keys, "_rows", "_value", "_gap")
+        source.select(*keys, F.col(value).cast("double").alias("_value"))
+        .where(F.col("_value").isNotNull())
+        .groupBy(*keys, "_value")
         .agg(F.count(F.lit(1)).alias("_count"))
     )
-    order = (
-        Window.partitionBy(*keys)
-        .orderBy("_value", F.col("_gap").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = counted.groupBy(*keys).agg(
+        F.min("_value").alias("_min"), F.max("_value").alias("_max"), F.sum("_count").alias("_rows")
     )
-    ranked = counted.withColumn("_seen", F.sum("_count").over(order))
-    seen, gap = F.col("_seen"), F.col("_gap")
-    picks = []
-    for i, p in enumerate(probabilities):
-        spot = (F.col("_rows") - 1) * F.lit(p)
-        for name, rank in (("a", F.floor(spot)), ("b", F.ceil(spot))):
-            picks += [
-                F.min(F.when(~gap & (seen > rank), v)).alias(f"_{name}{i}"),
-                F.bool_or(gap & (seen > rank) & (seen - F.col("_count") <= rank)).alias(f"_miss_{name}{i}"),
-            ]
+    spot = F.coalesce(
+        F.try_divide(F.col("_value") - F.col("_min"), F.col("_max") - F.col("_min")) * F.lit(float(_SLICES)), F.lit(0.0)
+    )
+    sliced = (
+        counted.join(ranges, keys)
+        .withColumn("_spot", spot)
+        .withColumn("_s0", F.floor("_spot"))
+        .withColumn("_s1", F.floor((F.col("_spot") - F.col("_s0")) * _SLICES))
+        .select(*keys, "_rows", "_s0", "_s1", "_value", "_count", F.lit(0).cast("bigint").alias("_before"))
+    )
+    ranks = []  # of both neighbours of every wanted spot
+    for p in probabilities:
+        at = (F.col("_rows") - 1) * F.lit(p)
+        ranks += [F.floor(at), F.ceil(at)]
+    wanted = reduce(
+        lambda a, b: a | b, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_count")) for r in ranks]
+    )
+    inside = list(keys)
+    for level in ("_s0", "_s1"):
+        earlier = Window.partitionBy(*inside).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        inside.append(level)
+        sums = sliced.groupBy(*inside, "_rows", "_before").agg(F.sum("_count").alias("_count"))
+        sums = sums.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+        held = sums.where(wanted).select(*inside, "_before")
+        sliced = sliced.drop("_before").join(held, inside)
+    earlier = Window.partitionBy(*inside).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    picks = [
+        F.min(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_count")), F.col("_value"))).alias(f"_r{i}")
+        for i, r in enumerate(ranks)
+    ]
     picked = ranked.groupBy(*keys, "_rows").agg(*picks)
     rows = []
     for i, p in enumerate(probabilities):
-        spot = (F.col("_rows") - 1) * F.lit(p)
-        missed = (
-            F.col(f"_miss_a{i}") | F.col(f"_miss_b{i}") | F.col(f"_a{i}").isNull() | F.col(f"_b{i}").isNull()
-        )
-        exact = F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (spot - F.floor(spot))
-        checked = F.when(
-            missed, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-        ).otherwise(exact)
-        rows.append(F.struct(F.lit(p).alias("probability"), checked.alias("quantile")))
+        at = (F.col("_rows") - 1) * F.lit(p)
+        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
+        rows.append(F.struct(F.lit(p).alias("probability"), (low + (high - low) * (at - F.floor(at))).alias("quantile")))
     return picked.select(*group, F.inline(F.array(*rows)))
 
 
-def _least(columns: Sequence[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
-
-
 def quantile_columns(
     df: DataFrame, group: Sequence[str], value: str, wanted: dict[str, float]
 ) -> DataFrame:

@@ -117,10 +117,8 @@ def causal_stage(
         ).collect()
     }
     ready = written_by(scoped.where("analysis_eligible").select("*", *columns), "dataset")
-    verdicts = ca.estimation_guards(ready)
-    status = {
-        d: verdicts.get(d) if r["analysis_row_count"] else "no eligible rows" for d, r in sizes.items()
-    }
+    verdicts = {r["dataset"]: r["verdict"] for r in ca.estimation_guards(ready).collect()}
+    status = {d: verdicts.get(d) if r["analysis_row_count"] else "no_eligible_rows" for d, r in sizes.items()}
 
     parts = []
     for dataset in sorted(sizes):
@@ -137,10 +135,9 @@ def causal_stage(
 
     scored = cut_lineage(ev.stacked(parts))
     weighted = cut_lineage(ca.truncated_weights(ca.raw_weights(scored)))
-    extremes = weighted.groupBy("dataset").agg(F.max("stabilized_weight_primary").alias("w")).collect()
-    for r in extremes:
-        if r["w"] > max_weight:
-            status[r["dataset"]] = f"extreme primary weights remain after truncation: {r['w']:.6f}"
+    guarded = ca.estimation_guards(weighted, weight="stabilized_weight_primary", max_weight=max_weight)
+    for r in guarded.where("verdict IS NOT NULL").collect():
+        status[r["dataset"]] = r["verdict"]
     fine = [d for d, why in status.items() if not why]
     weighted = weighted.where(F.col("dataset").isin(*fine))
 

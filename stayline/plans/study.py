@@ -283,8 +283,12 @@ def rule_stage(
 # -------------------------------------------------------------------------------- notes
 
 
-def note_stage(cohorts: dict[str, DataFrame], notes: Tables) -> dict[str, DataFrame]:
-    """Linked notes per domain for candidates and sample, with counts and the policy table."""
+def note_stage(cohorts: dict[str, DataFrame], notes: Tables, folder: str | None = None) -> dict[str, DataFrame]:
+    """Linked notes per domain for candidates and sample, with counts and the policy table.
+
+    With a ``folder`` the sampled notes of each domain are written there, and the policy
+    table holds their paths; without one the paths are unknown and nothing is approved by path.
+    """
     out: dict[str, DataFrame] = {}
     counted: dict[str, DataFrame | None] = {}
     spark = cohorts["sampled"].sparkSession
@@ -301,13 +305,19 @@ def note_stage(cohorts: dict[str, DataFrame], notes: Tables) -> dict[str, DataFr
             linked = nt.linked_notes(cohorts["candidates"], full, windowed=windowed)
             out[f"{domain}_candidates"] = linked
             out[domain] = nt.with_cohort_columns(cohorts["sampled"], linked)
-            policies.append((domain, domain, usage, gold, extraction))
+            path = None
+            if folder is not None:
+                path = f"{folder.rstrip('/')}/{domain}"
+                sinks.write_parquet(out[domain], path)
+                out[domain] = spark.read.schema(out[domain].schema).parquet(path)
+            reason = None if gold else f"usage policy {usage}"
+            policies.append((domain, path, usage, gold, extraction, reason))
         counted[f"{domain}_candidates"] = out.get(f"{domain}_candidates")
         counted[f"{domain}_sampled"] = out.get(domain)
     out["policies"] = spark.createDataFrame(
         policies,
         "domain string, parquet_path string, usage_policy string, "
-        "allowed_for_gold_annotations boolean, allowed_for_primary_extraction boolean",
+        "allowed_for_gold_annotations boolean, allowed_for_primary_extraction boolean, reason string",
     )
     if any(df is not None for df in counted.values()):
         out["counts"] = ck.table_counts(counted, {name: "stay_id" for name in counted})

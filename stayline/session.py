@@ -70,19 +70,6 @@ def written_by(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stayline-{uuid.uuid4().hex}"
-    df.write.partitionBy(key).parquet(path)
+    df.hint("rebalance", key).write.partitionBy(key).parquet(path)
     columns = [f for f in df.schema.fields if f.name != key] + [df.schema[key]]
     return spark.read.schema(StructType(columns)).parquet(path).select(*df.columns)
-
-
-def spread(df: DataFrame, small_bytes: int = 256 << 20) -> DataFrame:
-    """Spread a small input over all cores before heavy per-row work.
-
-    A small Parquet file is often one row group, so one task would do all the work.  The
-    size is the planner's estimate of the input; a large input already has many splits and
-    is not shuffled.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > small_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

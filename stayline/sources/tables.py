@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stayline.functions.text import lowered
 from stayline.operators.checks import ContractError, require_columns
 
+# The columns of the task and extraction files.
 TASK_SCHEMA = (
     "task_id string, subject_id bigint, hadm_id bigint, stay_id bigint, note_count bigint, "
     "first_note_time string, last_note_time string, "
@@ -44,14 +45,10 @@ def note_table(spark: SparkSession, path: str, required: Iterable[str]) -> DataF
     return require_columns(spark.read.parquet(path), required, path)
 
 
-def task_bundles(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
-    """Task bundles from JSON lines; blank lines are skipped.
-
-    ``limit`` keeps the first tasks by id, an option of the extraction run.
-    """
+def task_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Task bundles from JSON lines; blank lines are skipped."""
     tasks = spark.read.schema(TASK_SCHEMA).option("mode", "FAILFAST").json(path)
-    tasks = tasks.where(F.col("task_id").isNotNull())
-    return tasks if limit is None else tasks.orderBy("task_id").limit(limit)
+    return tasks.where(F.col("task_id").isNotNull())
 
 
 def model_outputs(spark: SparkSession, path: str | Sequence[str], *, array: bool = False) -> DataFrame:
@@ -83,6 +80,7 @@ def analysis_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     from stayline.functions.typing import lenient_bool, typed
 
     raw = text_table(spark, path, multiline=True)
+    # The columns of the dataset files by type.
     kinds = {
         **{c: "bigint" for c in ("subject_id", "hadm_id", "stay_id")},
         **{c: "double" for c in ("followup_duration_days", "anchor_age", "treatment_delay_hours",

@@ -64,3 +64,39 @@ def test_prior_counts_equal_the_pairwise_join(spark):
     for i, subject, admit in rows:
         prior = {c for s, c, at in facts if s == subject and c and at and admit and at < admit}
         assert got[i] == (len(prior), len({c for c in prior if c < "c2"}))
+
+
+def test_latest_equals_the_pairwise_join(spark):
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+
+    def at(hours):
+        return str(start + timedelta(hours=hours))
+
+    events = [(1 if i % 2 else rng.randrange(2, 6), at(rng.randrange(200) / 2), rng.choice([None, 1, 2]), rng.randrange(3), float(rng.randrange(9)))
+              for i in range(500)]
+    probes = []
+    for i in range(150):
+        zero = rng.randrange(0, 220) / 2
+        probes.append((str(i), rng.randrange(1, 8), at(zero - rng.choice([0, 5, 60])), at(zero)))
+    rows = frame(spark, ROWS, probes)
+    found = asof.latest_before(
+        rows, frame(spark, "stay_id bigint, at time, stored int, item int, v double", events), ["stay_id"], "at", order=["stored"],
+        values={"a": (F.col("item") == 0, F.col("v")), "b": (F.col("item") > 0, -F.col("v"))}, flags={"c": F.col("item") == 2},
+    )
+    out = {r["task_id"]: (r["a"], r["b"], r["c"]) for r in records(asof.attach_latest(rows, found, ["stay_id"], flags=["c"]))}
+    for task, stay, first, zero in probes:
+        seen = [(t, -1 if o is None else o, item, v) for s, t, o, item, v in events if s == stay and first <= t < zero]
+        a = max(((t, o, v) for t, o, item, v in seen if item == 0), default=(None,))[-1]
+        b = max(((t, o, -v) for t, o, item, v in seen if item > 0), default=(None,))[-1]
+        assert out[task] == (a, b, any(item == 2 for _, _, item, _ in seen)), task
+
+
+def test_a_subject_with_very_many_probes_and_events(spark):
+    step = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)")
+    events = spark.range(50_000).select(F.lit(1).alias("stay_id"), step.alias("at"), F.col("id").cast("double").alias("v"))
+    probes = spark.range(1, 50_001, 10).select(
+        F.lit(1).alias("stay_id"), F.expr("timestamp_ntz'2023-12-31'").alias("study_window_start"), step.alias("time_zero"), "id")
+    found = asof.latest_before(probes.drop("id"), events, ["stay_id"], "at", values={"v": (F.col("v") >= 0, F.col("v"))})
+    joined = probes.join(found, ["stay_id", "study_window_start", "time_zero"])
+    assert joined.where("v = id - 1").count() == joined.count() == 5000
