@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stayline.bindings import Bound, rounded, table
 from stayline.operators import causal as ca
-from stayline.session import cut_lineage, written_by
+from stayline.session import cut_lineage
 
 HORIZON = 28.0
 
@@ -149,26 +149,23 @@ _SQL_CURVES = """WITH src AS (SELECT o_orderstatus AS dataset, o_orderpriority I
 
 
 def scored(spark, sf) -> tuple[DataFrame, list[dict]]:
-    """Propensity refitted per dataset on shared preprocessing."""
-    rows = units(spark, sf)
-    names = [r["dataset"] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]
+    """Propensity fitted per dataset on shared preprocessing, all datasets together."""
+    rows = cut_lineage(units(spark, sf))
+    names = sorted(r["dataset"] for r in rows.select("dataset").distinct().collect())
     design = ca.fit_preprocessing(
         rows.where(F.col("dataset") == names[0]), rows, ["k", "hour", "severity"], ["unit"], []
     )
     columns = design.columns()
     features = [f"x{i}" for i in range(len(columns))]
-    ready = written_by(rows.select("*", *columns), "dataset")
-    parts, coefficients = [], []
-    for name in names:
-        part = ready.where(F.col("dataset") == name)
-        fit, scored_part = ca.fit_propensity(part, features)
-        parts.append(scored_part.drop(*features))
-        for label, value in zip(["intercept", *design.names], [fit.intercept, *fit.coefficients]):
-            coefficients.append({"dataset": name, "term": label, "coefficient": value, "rows": fit.rows})
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return cut_lineage(out), coefficients
+    fits, failed, out = ca.fit_propensities(rows.select("*", *columns), features, datasets=names)
+    if failed:
+        raise ca.ConvergenceError(str(failed))
+    coefficients = [
+        {"dataset": name, "term": label, "coefficient": value, "rows": fits[name].rows}
+        for name in names
+        for label, value in zip(["intercept", *design.names], [fits[name].intercept, *fits[name].coefficients])
+    ]
+    return cut_lineage(out.drop(*features)), coefficients
 
 
 def propensity_logit(spark, sf):
@@ -198,8 +195,12 @@ def cox_hr(spark, sf):
 
 
 def robustness(spark, sf):
+    return _robust(hazard_ratios(spark, sf))
+
+
+def _robust(ratios: DataFrame) -> DataFrame:
     """Bias, stability and shift trend, with clicks as gold and signups as a shifted copy."""
-    hr = hazard_ratios(spark, sf).where(F.col("weighting") == "primary")
+    hr = ratios.where(F.col("weighting") == "primary")
     name = F.col("dataset")
     results = hr.select(
         F.when(name == "click", "gold").when(name == "view", "x_rule").otherwise(name).alias("dataset_name"),
@@ -220,6 +221,92 @@ def robustness(spark, sf):
     )
 
 
+# ------------------------------------------------------------- fits that SQL can follow
+
+
+def propensity_newton(spark, sf):
+    """Logistic fits on an intercept and two columns, per dataset."""
+    rows = units(spark, sf).select("dataset", "treatment", (F.col("k") / 100).alias("x0"), (F.col("hour") / 24).alias("x1"))
+    names = sorted(r["dataset"] for r in rows.select("dataset").distinct().collect())
+    fits, _, _ = ca.fit_propensities(rows, ["x0", "x1"], datasets=names)
+    out = spark.createDataFrame(
+        [(n, f.rows, f.intercept, *f.coefficients) for n, f in fits.items()],
+        "dataset string, rows bigint, intercept double, b0 double, b1 double",
+    )
+    return rounded(out, "intercept", "b0", "b1")
+
+
+_SQL_NEWTON = """WITH RECURSIVE r AS (SELECT event_type AS dataset, CAST(json_extract_string(props, '$.k') AS INTEGER) / 100 AS x0,
+  extract(hour FROM ts) / 24 AS x1,
+  CAST(extract(day FROM ts) + CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 > 18 AS DOUBLE) AS y FROM events),
+n AS (SELECT dataset, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM r GROUP BY dataset
+  UNION ALL
+  SELECT dataset, step + 1,
+    a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+    b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+    c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT dataset, step, a, b, c, sum(y - p) AS g0, sum((y - p) * x0) - b AS g1, sum((y - p) * x1) - c AS g2,
+      sum(v) AS h00, sum(v * x0) AS h01, sum(v * x1) AS h02, sum(v * x0 * x0) + 1 AS h11, sum(v * x0 * x1) AS h12, sum(v * x1 * x1) + 1 AS h22
+    FROM (SELECT *, p * (1 - p) AS v FROM (SELECT n.*, y, x0, x1, 1 / (1 + exp(-(a + b * x0 + c * x1))) AS p
+      FROM n JOIN r USING (dataset) WHERE step < 12)) GROUP BY dataset, step, a, b, c)))
+SELECT dataset, (SELECT count(*) FROM r WHERE r.dataset = n.dataset) AS rows, round(a, 6) AS intercept, round(b, 6) AS b0, round(c, 6) AS b1
+FROM n WHERE step = 12"""
+
+WEIGHTINGS = {"primary": "stabilized_weight_primary", "sensitivity": "stabilized_weight_sensitivity", "overlap": "overlap_weight"}
+
+
+def strata_hazard_ratios(spark, sf) -> DataFrame:
+    return ca.weighted_hazard_ratios(cut_lineage(weighted(spark, sf)), WEIGHTINGS, horizon=HORIZON)
+
+
+def cox_strata(spark, sf):
+    """Weighted hazard ratios with robust limits, on closed-form propensities."""
+    return rounded(strata_hazard_ratios(spark, sf), "coefficient", "robust_se", "hr", "ci_lower", "ci_upper")
+
+
+_SQL_HAZARD = "WITH RECURSIVE" + _SQL_UNITS + """,
+x AS (SELECT dataset, weighting, dur, treat, died, w FROM (
+  SELECT dataset, dur, treat, died, 'primary' AS weighting, w1 AS w FROM t UNION ALL
+  SELECT dataset, dur, treat, died, 'sensitivity', w5 FROM t UNION ALL SELECT dataset, dur, treat, died, 'overlap', ov FROM t)),
+g AS (SELECT dataset, weighting, dur, count(*) FILTER (died) AS m, coalesce(sum(w) FILTER (NOT treat), 0) AS w0,
+  coalesce(sum(w) FILTER (treat), 0) AS w1, coalesce(sum(w) FILTER (NOT treat AND died), 0) AS d0, coalesce(sum(w) FILTER (treat AND died), 0) AS d1,
+  coalesce(sum(w * w) FILTER (NOT treat AND died), 0) AS q01, coalesce(sum(w * w) FILTER (treat AND died), 0) AS q11,
+  coalesce(sum(w * w) FILTER (NOT treat AND NOT died), 0) AS q00, coalesce(sum(w * w) FILTER (treat AND NOT died), 0) AS q10
+  FROM x GROUP BY 1, 2, 3),
+k AS (SELECT *, sum(w0) OVER z AS r0, sum(w1) OVER z AS r1 FROM g WINDOW z AS (PARTITION BY dataset, weighting ORDER BY dur DESC ROWS UNBOUNDED PRECEDING)),
+ties AS (SELECT dataset, weighting, m, d0, d1, r0, r1, unnest(generate_series(0, m - 1)) AS i FROM k WHERE m > 0),
+n AS (SELECT dataset, weighting, 0 AS step, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS info FROM g GROUP BY 1, 2
+  UNION ALL
+  SELECT dataset, weighting, step + 1, beta + score / information, information FROM (
+    SELECT dataset, weighting, step, beta, sum(CASE WHEN i = 0 THEN d1 ELSE 0 END - (d0 + d1) / m * p) AS score, sum((d0 + d1) / m * p * (1 - p)) AS information
+    FROM (SELECT *, (r1 * exp(beta) - i / m * d1 * exp(beta)) / (r0 + r1 * exp(beta) - i / m * (d0 + d1 * exp(beta))) AS p
+      FROM n JOIN ties USING (dataset, weighting) WHERE step < 15) GROUP BY dataset, weighting, step, beta)),
+f AS (SELECT dataset, weighting, beta, info FROM n WHERE step = 15),
+s AS (SELECT *, r1 * exp(beta) / (r0 + r1 * exp(beta)) AS p, (d0 + d1) / (r0 + r1 * exp(beta)) AS h FROM k JOIN f USING (dataset, weighting)),
+c AS (SELECT *, sum(h) OVER z AS ch, sum(h * p) OVER z AS cg FROM s WINDOW z AS (PARTITION BY dataset, weighting ORDER BY dur ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT dataset, weighting, beta, sqrt(sum(q00 * cg ** 2 + q01 * (cg - p) ** 2 + q10 * (exp(beta) * (ch - cg)) ** 2
+  + q11 * (1 - p - exp(beta) * (ch - cg)) ** 2)) / info AS se FROM c GROUP BY dataset, weighting, beta, info)"""
+
+_SQL_COX = _SQL_HAZARD + """
+SELECT dataset, weighting, round(beta, 6) AS coefficient, round(se, 6) AS robust_se, round(exp(beta), 6) AS hr,
+  round(exp(beta - 1.959963984540054 * se), 6) AS ci_lower, round(exp(beta + 1.959963984540054 * se), 6) AS ci_upper FROM v"""
+
+
+def robustness_strata(spark, sf):
+    """Bias, stability and shift trend of the closed-form hazard ratios."""
+    return _robust(strata_hazard_ratios(spark, sf))
+
+
+_SQL_ROBUST = _SQL_HAZARD + """,
+hr AS (SELECT dataset, round(exp(beta), 6) AS hr FROM v WHERE weighting = 'primary'),
+gold AS (SELECT hr AS gold FROM hr WHERE dataset = 'click'),
+model AS (SELECT count(*) AS n, max(hr) - min(hr) AS width, var_pop(hr) AS variance FROM hr WHERE dataset NOT IN ('click', 'view', 'signup'))
+SELECT 'bias' AS measure, CASE WHEN dataset = 'view' THEN 'x_rule' ELSE dataset END AS name, round(hr - gold, 6) AS value FROM hr, gold WHERE dataset NOT IN ('click', 'signup')
+UNION ALL SELECT 'stability', 'models', CASE WHEN n >= 2 THEN round(width, 6) END FROM model
+UNION ALL SELECT 'variance', 'models', CASE WHEN n >= 2 THEN round(variance, 6) END FROM model
+UNION ALL SELECT 'trend', dataset, round(hr - gold, 6) FROM hr, gold WHERE dataset = 'signup'"""
+
 QUERIES = {
     "iptw_weights": Bound(iptw_weights, _SQL_WEIGHTS),
     "weight_summary": Bound(weight_summary, _SQL_WEIGHT_SUMMARY),
@@ -229,4 +316,7 @@ QUERIES = {
     "propensity_logit": Bound(propensity_logit),
     "cox_hr": Bound(cox_hr),
     "robustness": Bound(robustness),
+    "propensity_newton": Bound(propensity_newton, _SQL_NEWTON),
+    "cox_strata": Bound(cox_strata, _SQL_COX),
+    "robustness_strata": Bound(robustness_strata, _SQL_ROBUST),
 }

@@ -7,13 +7,12 @@ reaches the driver: it receives per-dataset scalars only (means, counts, Newton
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.typing import round6
@@ -29,7 +28,6 @@ SEVERE_OVERLAP_WIDTH = 0.10
 
 _TIE_CHUNK = 1024
 _TIME_BUCKETS = 4096
-_SCORE_TOLERANCE = 1e-5
 _Z975 = 1.959963984540054
 
 
@@ -108,47 +106,113 @@ class PropensityFit:
     rows: int
 
 
-def fit_propensity(
-    design: DataFrame, features: Sequence[str], treatment: str = "treatment", *, max_iter: int = 2000
-) -> tuple[PropensityFit, DataFrame]:
-    """L2 logistic regression with C = 1 and a free intercept; adds ``propensity_score``.
+def _likelihood_sums(
+    design: DataFrame, features: Sequence[str], treatment: str, dataset: str, betas: dict[str, np.ndarray]
+) -> dict[str, np.ndarray]:
+    """Per dataset: rows, negative log likelihood, gradient and upper half of the Hessian.
 
-    C = 1 on the summed loss is ``regParam = 1 / n`` on Spark's mean loss, with internal
-    standardisation off.  A fit that uses up its iterations, or whose score equations do
-    not hold at the result, is an error.
+    Every task adds up its batches, so a dataset sends one short list of numbers per task.
     """
-    rows = design.count()
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(
-        design.withColumn("_label", F.col(treatment).cast("double"))
+    upper = np.triu_indices(len(features) + 1)
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in it:
+            names, codes = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x = np.column_stack([np.ones(len(y)), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])])
+            for code, name in enumerate(names):
+                xd, yd = x[codes == code], y[codes == code]
+                score = xd @ betas[name]
+                p = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
+                loss = np.logaddexp(0, score).sum() - (yd * score).sum()
+                hessian = (xd * (p * (1 - p))[:, None]).T @ xd
+                part = np.concatenate([[len(yd), loss], xd.T @ (yd - p), hessian[upper]])
+                sums[name] = sums[name] + part if name in sums else part
+        for name, part in sums.items():
+            yield pa.RecordBatch.from_pydict(
+                {"dataset": [name] * len(part), "at": pa.array(range(len(part)), pa.int32()), "value": part}
+            )
+
+    narrow = design.select(
+        F.col(dataset).cast("string"), F.col(treatment).cast("double"), *[F.col(f).cast("double") for f in features]
     )
-    model = LogisticRegression(
-        featuresCol="_features",
-        labelCol="_label",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
-        predictionCol="_prediction",
-        regParam=1.0 / rows,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-8,
-    ).fit(assembled)
-    iterations = model.summary.totalIterations
-    if iterations >= max_iter:
-        raise ConvergenceError(f"propensity model did not converge in {max_iter} iterations")
-    fit = PropensityFit(
-        tuple(float(v) for v in model.coefficients), float(model.intercept), iterations, rows
+    summed = narrow.mapInArrow(work, "dataset string, at int, value double").groupBy("dataset", "at").agg(F.sum("value").alias("value"))
+    out = {name: np.zeros(2 + len(features) + 1 + len(upper[0])) for name in betas}
+    for r in summed.collect():  # fits x (features squared) numbers
+        out[r["dataset"]][r["at"]] = r["value"]
+    return out
+
+
+def fit_propensities(
+    design: DataFrame, features: Sequence[str], treatment: str = "treatment", *,
+    dataset: str = "dataset", datasets: Sequence[str] | None = None, max_iter: int = 100,
+) -> tuple[dict[str, PropensityFit], dict[str, str], DataFrame]:
+    """L2 logistic regressions with C = 1 and a free intercept, one per dataset, together.
+
+    Each Newton step is one job for all datasets that are still open, so the number of jobs
+    does not grow with the datasets.  A step that makes the penalised likelihood worse is
+    halved.  Returns the fits, the reasons of failed ones, and the rows of fitted datasets
+    with ``propensity_score``.
+    """
+    size = len(features) + 1
+    if datasets is None:
+        datasets = [r[0] for r in design.select(F.col(dataset).cast("string")).distinct().collect()]
+    betas = {d: np.zeros(size) for d in datasets}
+    steps, best = {d: np.zeros(size) for d in datasets}, {d: math.inf for d in datasets}
+    fits: dict[str, PropensityFit] = {}
+    failed: dict[str, str] = {}
+    penalty = np.diag([0.0] + [1.0] * len(features))
+    upper = np.triu_indices(size)
+    for step in range(1, max_iter + 1):
+        open_ = {d: b for d, b in betas.items() if d not in fits and d not in failed}
+        if not open_:
+            break
+        sums = _likelihood_sums(design.where(F.col(dataset).isin(*open_)), features, treatment, dataset, open_)
+        for d, beta in open_.items():
+            rows, loss = int(sums[d][0]), sums[d][1] + 0.5 * beta @ penalty @ beta
+            if not rows or not math.isfinite(loss):
+                failed[d] = "no_rows" if not rows else "not_finite"
+                continue
+            if loss > best[d] + 1e-9 * abs(best[d]):
+                steps[d] = steps[d] / 2
+                betas[d] = beta - steps[d]
+                continue
+            best[d] = loss
+            hessian = np.zeros((size, size))
+            hessian[upper] = sums[d][2 + size :]
+            hessian = hessian + np.triu(hessian, 1).T + penalty
+            try:
+                steps[d] = np.linalg.solve(hessian, sums[d][2 : 2 + size] - penalty @ beta)
+            except np.linalg.LinAlgError:
+                failed[d] = "singular"
+                continue
+            if np.abs(steps[d]).max() < 1e-9 * (1 + np.abs(beta).max()):
+                fits[d] = PropensityFit(tuple(beta[1:].tolist()), float(beta[0]), step, rows)
+            else:
+                betas[d] = beta + steps[d]
+    failed |= {d: "no_convergence" for d in datasets if d not in fits and d not in failed}
+    literal = design.sparkSession.createDataFrame(
+        [(d, [f.intercept, *f.coefficients]) for d, f in fits.items()], "_fitted string, _coefficients array<double>"
     )
-    scored = model.transform(assembled).withColumn("_p", vector_to_array("_probability")[1])
-    gap = F.col("_label") - F.col("_p")
-    scores = scored.agg(
-        F.sum(gap).alias("_intercept"), *[F.sum(gap * F.col(f)).alias(f) for f in features]
-    ).first()
-    slopes = [scores["_intercept"], *[scores[f] - c for f, c in zip(features, fit.coefficients)]]
-    if not max(abs(s) for s in slopes) <= _SCORE_TOLERANCE * rows:
-        raise ConvergenceError("the score equations of the propensity model do not hold")
-    scored = scored.withColumn("propensity_score", clipped(F.col("_p")))
-    return fit, scored.drop("_features", "_label", "_probability", "_raw", "_prediction", "_p")
+    linear = reduce(lambda a, b: a + b, [F.col("_coefficients")[i + 1] * F.col(f) for i, f in enumerate(features)])
+    score = clipped(1 / (1 + F.exp(-(F.col("_coefficients")[0] + linear))))
+    # one row per fit of this call
+    joined = design.join(F.broadcast(literal), F.col(dataset).cast("string") == F.col("_fitted"))
+    return fits, failed, joined.withColumn("propensity_score", score).drop("_fitted", "_coefficients")
+
+
+def fit_propensity(
+    design: DataFrame, features: Sequence[str], treatment: str = "treatment", *, max_iter: int = 100
+) -> tuple[PropensityFit, DataFrame]:
+    """``fit_propensities`` of one dataset; a fit that fails is an error."""
+    named = design.withColumn("_dataset", F.lit("all"))
+    fits, failed, scored = fit_propensities(
+        named, features, treatment, dataset="_dataset", datasets=["all"], max_iter=max_iter
+    )
+    if failed:
+        raise ConvergenceError(f"the propensity model failed: {failed['all']}")
+    return fits["all"], scored.drop("_dataset")
 
 
 def clipped(score: Column) -> Column:

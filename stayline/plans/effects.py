@@ -9,7 +9,7 @@ from stayline.operators import causal as ca, checks as ck, evaluate as ev
 from stayline.operators.datasets import DATASET_COLUMNS, SHIFT_COLUMNS
 from stayline.plans import fixed_values as fv
 from stayline.plans.study import Tables, covariates
-from stayline.session import cut_lineage, written_by
+from stayline.session import cut_lineage
 
 FULL, SUBSET = "full_cohort", "disagreement_subset"
 WEIGHTINGS = {
@@ -19,6 +19,14 @@ WEIGHTINGS = {
 }
 
 
+class EstimationFailed(ca.ConvergenceError):
+    """Some datasets failed; ``results`` has everything up to the robustness step."""
+
+    def __init__(self, message: str, results: dict[str, DataFrame]):
+        super().__init__(message)
+        self.results = results
+
+
 def _identified(primary: DataFrame, shifted: DataFrame | None) -> DataFrame:
     """Primary and shifted datasets in one frame with their provenance columns."""
     ck.same_schema("primary datasets", primary.columns, [c for c in DATASET_COLUMNS if c in primary.columns])
@@ -69,8 +77,9 @@ def causal_stage(
     """Detail rows, survival curves, one summary row per dataset and scope, robustness.
 
     Full cohorts of all primary datasets, their disagreement subsets when two or more
-    models are there, and all shifted datasets.  A failure in a primary full cohort stops
-    the run; other failures are listed first and then stop it before the robustness step.
+    models are there, and all shifted datasets.  A dataset that fails has a summary row with
+    its reason and no detail or curve rows; all are listed before the run stops with
+    ``EstimationFailed``, which carries detail, curves and summary.
     """
     _aligned(primary)
     everything = _identified(primary, shifted)
@@ -116,25 +125,12 @@ def causal_stage(
             F.count_if("analysis_eligible").alias("analysis_row_count"),
         ).collect()
     }
-    ready = written_by(scoped.where("analysis_eligible").select("*", *columns), "dataset")
+    ready = cut_lineage(scoped.where("analysis_eligible").select("*", *columns))
     verdicts = {r["dataset"]: r["verdict"] for r in ca.estimation_guards(ready).collect()}
     status = {d: verdicts.get(d) if r["analysis_row_count"] else "no_eligible_rows" for d, r in sizes.items()}
-
-    parts = []
-    for dataset in sorted(sizes):
-        if status[dataset]:
-            continue
-        try:
-            _, scored = ca.fit_propensity(ready.where(F.col("dataset") == dataset), features)
-            parts.append(scored.drop(*features))
-        except ca.ConvergenceError as error:
-            status[dataset] = str(error)
-    failed_primary = [d for d in status if status[d] and d.endswith(FULL) and d.split("|")[0] in primaries]
-    if failed_primary or not parts:
-        raise ca.ConvergenceError("; ".join(f"{d}: {status[d]}" for d in failed_primary) or "no dataset could be fitted")
-
-    scored = cut_lineage(ev.stacked(parts))
-    weighted = cut_lineage(ca.truncated_weights(ca.raw_weights(scored)))
+    _, unfit, scored = ca.fit_propensities(ready, features, datasets=[d for d in sorted(sizes) if not status[d]])
+    status |= unfit
+    weighted = cut_lineage(ca.truncated_weights(ca.raw_weights(cut_lineage(scored.drop(*features)))))
     guarded = ca.estimation_guards(weighted, weight="stabilized_weight_primary", max_weight=max_weight)
     for r in guarded.where("verdict IS NOT NULL").collect():
         status[r["dataset"]] = r["verdict"]
@@ -159,19 +155,12 @@ def causal_stage(
             for c in fv.DETAIL_COLUMNS
         ]
     )
+    results = {"detail": detail, "curves": curves, "summary": summary}
     failed = {d: why for d, why in status.items() if why}
     if failed:
-        raise ca.ConvergenceError("; ".join(f"{d}: {why}" for d, why in sorted(failed.items())))
-    robust = summary.withColumn("source_predictor_name", F.col("source_predictor_name"))
-    bias, stability, trend = ca.robustness(robust)
-    return {
-        "detail": detail,
-        "curves": curves,
-        "summary": summary,
-        "bias": bias,
-        "stability": stability,
-        "trend": trend,
-    }
+        raise EstimationFailed("; ".join(f"{d}: {why}" for d, why in sorted(failed.items())), results)
+    bias, stability, trend = ca.robustness(summary)
+    return {**results, "bias": bias, "stability": stability, "trend": trend}
 
 
 def _summary(spark, weighted, hazard, sizes, status, kinds, severe_width) -> DataFrame:

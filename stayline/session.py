@@ -7,11 +7,11 @@ cluster's own configuration and to adaptive execution.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 _SQL_SETTINGS = {
     # Naive clinical times are compared as written; a fixed zone keeps the few
@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="stayline-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -51,25 +51,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
+    """Write ``df`` as Parquet to the shared folder and continue from the files.
 
     Used before loops and before small per-key tables are read many times, so a lost
-    executor costs a re-read and not a recomputation of the raw event scans.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
-def written_by(df: DataFrame, key: str) -> DataFrame:
-    """Write ``df`` to the shared folder, one folder per key value, and read it back.
-
-    For loops over key values: each pass then reads only its own folder.
+    executor costs a re-read and not a recomputation of the raw event scans.  Later steps
+    read only the columns and rows they use.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stayline-{uuid.uuid4().hex}"
-    df.hint("rebalance", key).write.partitionBy(key).parquet(path)
-    columns = [f for f in df.schema.fields if f.name != key] + [df.schema[key]]
-    return spark.read.schema(StructType(columns)).parquet(path).select(*df.columns)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
