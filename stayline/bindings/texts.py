@@ -57,12 +57,14 @@ _SQL_CLASSIFY = f"""SELECT doc_id, {_sql_case('lower(text)', fv.NOTE_PHRASES)} A
 
 
 def document_notes(spark, sf) -> DataFrame:
-    """Documents as notes of users; the character count places them in time."""
+    """Documents as notes of users, dealt over all of them; the character count places them
+    in time."""
+    users = table(spark, sf, "events").agg(F.max("user_id") + 1).scalar()
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     charted = add_hours(start, F.pmod("n_chars", F.lit(720)).cast("double"))
     return table(spark, sf, "documents").select(
-        F.pmod("doc_id", F.lit(150)).alias("subject_id"),
-        F.pmod("doc_id", F.lit(150)).alias("hadm_id"),
+        F.pmod("doc_id", users).alias("subject_id"),
+        F.pmod("doc_id", users).alias("hadm_id"),
         F.col("doc_id").cast("string").alias("note_id"),
         charted.alias("charttime"),
         F.when(F.col("lang") != "de", add_hours(charted, 1)).alias("storetime"),
@@ -87,7 +89,7 @@ def linked_notes(spark, sf):
 
 
 _SQL_LINKED = "WITH" + sql_users(48, 240) + f""",
-n AS (SELECT doc_id % 150 AS user_id, CAST(doc_id AS VARCHAR) AS note_id, lang, text,
+n AS (SELECT doc_id % (SELECT max(user_id) + 1 FROM events) AS user_id, CAST(doc_id AS VARCHAR) AS note_id, lang, text,
   TIMESTAMP '2024-01-01' + to_hours(CAST(n_chars % 720 AS BIGINT)) AS ct FROM documents),
 l AS (SELECT u.stay_id, u.subject_id, n.*, ct BETWEEN ws AND we AS inside FROM users u JOIN n ON n.user_id = u.subject_id)
 SELECT d.domain, stay_id, subject_id, note_id, strftime(ct, '{_T}') AS note_charttime,
