@@ -13,7 +13,7 @@ from stayline.bindings.outcomes import SQL_DATASETS, datasets, predictions
 from stayline.bindings.texts import BUDGET, _SQL_BUDGET, conversation_notes
 from stayline.bindings.timelines import SQL_RULE, rule_labels
 from stayline.functions.typing import lenient_bool
-from stayline.operators import causal as ca, evaluate as ev, labels as lb, notes as nt, scale
+from stayline.operators import causal as ca, checks as ck, evaluate as ev, labels as lb, notes as nt, scale
 from stayline.session import shared_folder
 from stayline.sources import sinks, tables
 
@@ -111,6 +111,21 @@ def eligible_rows(spark, sf):
     )
 
 
+def dataset_files(spark, sf):
+    """Analysis datasets as sorted CSV, read back with types and checked for their columns."""
+    path = f"{shared_folder(spark)}/stayline-datasets-{uuid.uuid4().hex}"
+    rows = datasets(spark, sf)
+    sinks.write_csv(rows, path, order=["predictor_name", "task_id"])
+    back = tables.analysis_files(spark, path)
+    ck.same_schema("datasets", back.columns, rows.columns)
+    ck.require_columns(back, ("task_id", "predictor_name", "analysis_eligible"), "datasets")
+    known = F.lit(len(tables.column_set(back) & set(rows.columns)) == len(rows.columns))
+    return back.groupBy("predictor_name").agg(
+        F.count(F.lit(1)).alias("input_row_count"), F.count_if("analysis_eligible").alias("analysis_row_count"),
+        F.count_distinct("subject_id").alias("subjects"), F.count("suspicion_time").alias("timed"), F.max(known).alias("all_columns"),
+    )
+
+
 def disagreement_subset(spark, sf):
     """Rows of all predictors on tasks where the models disagree materially."""
     rows = predictions(spark, sf)
@@ -194,6 +209,12 @@ FROM labels WHERE subject_id IN (SELECT user_id FROM events WHERE event_type = '
         "WITH" + SQL_DATASETS + """ SELECT predictor_name, count(*) AS input_row_count,
   count(*) FILTER (analysis_eligible) AS analysis_row_count, count(*) FILTER (NOT analysis_eligible) AS excluded_row_count,
   count(DISTINCT subject_id) AS subjects FROM ds GROUP BY 1""",
+    ),
+    "dataset_files": Bound(
+        dataset_files,
+        "WITH" + SQL_DATASETS + """ SELECT predictor_name, count(*) AS input_row_count,
+  count(*) FILTER (analysis_eligible) AS analysis_row_count, count(DISTINCT subject_id) AS subjects,
+  count(CASE WHEN suspected_sepsis THEN zero END) AS timed, true AS all_columns FROM ds GROUP BY 1""",
     ),
     "disagreement_subset": Bound(
         disagreement_subset,
