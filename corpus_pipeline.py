@@ -40,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
     prepared(spark)
     found = bottom_k.near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct().hint("merge")  # grows with docs
     return docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
 
 
