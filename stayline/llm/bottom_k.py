@@ -13,9 +13,9 @@ to seven shingles also use runs of three).
 A list of at most ``short`` classes gives its pairs; the union of two sketches estimates
 their similarity, and pairs more than five deviations too low go.  A longer list is not
 expanded: its most connected member becomes its pivot, and only pivot and member are
-compared.  Members that the links found so far leave outside the pivot's component are
-then compared, in blocks, with the members of the pivot's other lists whose distance from
-the pivot allows a link at all (Jaccard distance is a metric).  Every link is confirmed on
+compared.  Members that two links don't connect with the pivot are then compared, in blocks,
+with the members of all its lists whose distance from the pivot allows a link at all
+(Jaccard distance is a metric) and that are not known to be connected with them.  Every link is confirmed on
 full sets.  No partner or candidate is capped.
 """
 
@@ -88,52 +88,66 @@ def _least(percent: int, k: int) -> float:
     return t - 5 * math.sqrt(t * (1 - t) / k)
 
 
+def may_link(a: np.ndarray, b: np.ndarray, k: int, percent: int) -> bool:
+    """Whether two sketches leave a link open; decided where they hold their whole sets."""
+    if len(a) < k and len(b) < k:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+    return estimate(a, b, k) >= _least(percent, k)
+
+
 def _arrays(column) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs whose union sketch does not speak against ``percent``."""
-    a, b = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    least = _least(percent, k)
+    a, b = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")).hint("merge") for c in "ab")
 
     def work(it: Iterator[pa.RecordBatch]):
         for batch in it:
-            near = [estimate(x, y, k) >= least for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)))]
+            near = [may_link(x, y, k, percent) for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)))]
             kept = batch.filter(pa.array(near, pa.bool_()))
             yield {"a": kept.column(0), "b": kept.column(1)}
 
-    return batches(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), "a long, b long", work).distinct()
+    return batches(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), "a long, b long", work)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, distance) on full sets."""
-    a, b = (sets.select(F.col("id").alias(c), F.col("values").alias(f"v{c}")) for c in "ab")
+    """``pairs`` (a, b, star) with linked and distance, on full sets."""
+    a, b = (sets.select(F.col("id").alias(c), F.col("values").alias(f"v{c}")).hint("merge") for c in "ab")
 
     def work(it: Iterator[pa.RecordBatch]):
         for batch in it:
             linked, distance = [], []
-            for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3))):
+            for x, y in zip(_arrays(batch.column(3)), _arrays(batch.column(4))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
                 linked.append(100 * both >= percent * union)
                 distance.append(1 - both / union)
-            yield {"a": batch.column(0), "b": batch.column(1), "linked": linked, "distance": distance}
+            yield {"a": batch.column(0), "b": batch.column(1), "star": batch.column(2), "linked": linked, "distance": distance}
+
+    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "star", "va", "vb")
+    return batches(joined, "a long, b long, star boolean, linked boolean, distance double", work)
 
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "va", "vb")
-    found = batches(joined, "a long, b long, linked boolean, distance double", work)
-    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"))
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node within two links.  Equal labels mean connected."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    far = both.join(near.select(F.col("a").alias("b"), "low"), "b")
+    return far.groupBy(F.col("a").alias("node")).agg(F.least(F.min("low"), F.min("b"), F.col("node")).alias("label"))
 
-def _within_pivots(star: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one pivot that may link and are in different components.
+
+def _within_pivots(star: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one pivot that may link and are not known to be connected.
 
     Members are banded by their distance from the pivot, one band as wide as the largest
     distance of a link, so only equal and neighbouring bands meet.  At least one of a pair
-    is outside the pivot's component.
+    has another label than the pivot.
     """
     width = 1 - percent / 100
-    node = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    node = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_c"))
     rows = star.join(node("b"), "b", "left").join(node("a"), "a", "left").select(
         F.col("a").alias("pivot"), F.col("b").alias("id"), F.floor(F.col("distance") / width).cast("int").alias("band"),
         F.coalesce("b_c", "b").alias("comp"), F.coalesce("a_c", "a").alias("pivot_comp"),
@@ -170,7 +184,7 @@ def _within_pivots(star: DataFrame, sets: DataFrame, comps: DataFrame, percent:
             short = np.minimum.outer([len(s) for s in p_set], [len(s) for s in m_set])
             near = (over >= least * short) & (p_comp[:, None] != m_comp[None, :])
             for i, j in zip(*np.nonzero(near)):
-                if estimate(p_set[i], m_set[j], _WIDE) >= least:
+                if may_link(p_set[i], m_set[j], _WIDE, percent):
                     found["a"].append(min(p_id[i], m_id[j]))
                     found["b"].append(max(p_id[i], m_id[j]))
         return pa.Table.from_batches([record_batch(found, arrow)])
@@ -239,24 +253,27 @@ def near_duplicates(
     pairs = few.join(other, "key").where("rep < b").select(F.col("rep").alias("a"), "b").distinct()
     popular = lists.groupBy("rep").agg(F.sum("n").alias("popular"))
     pivots = many.join(popular, "rep").groupBy("key").agg(F.max(F.struct("popular", "rep"))["rep"].alias("pivot"))
-    star = written(many.join(pivots, "key").where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    near = written(_estimated(pairs, sketches, percent, k), "near")
-
-    wanted = star.unionByName(near)
-    wanted = wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    star = many.join(pivots, "key").where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    near = _estimated(pairs, sketches, percent, k)
+    pairs = star.withColumn("star", F.lit(True)).unionByName(near.withColumn("star", F.lit(False)))
+    pairs = written(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def full(it: Iterator[pa.RecordBatch]):
         for batch in it:
             yield {"id": batch.column(0), "values": [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]}
 
-    sets = written(batches(source.join(wanted, "id", "left_semi"), "id long, values binary", full), "sets")
-    star = written(_compared(star, sets, percent), "star")
-    links = _compared(near, sets, percent).where("linked").select("a", "b").unionByName(star.where("linked").select("a", "b"))
-    linked = written(components(links), "components")
-    if not star.isEmpty():
-        rest = written(_within_pivots(star, sets, linked, percent), "rest")
+    sets = written(batches(source.join(wanted.hint("merge"), "id", "left_semi"), "id long, values binary", full), "sets")
+    compared = written(_compared(pairs, sets, percent), "compared")
+    links = compared.where("linked").select("a", "b")
+    star = compared.where("star").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    if not compared.where("star").isEmpty():
+        labels = written(_labels(links), "labels")
+        rest = written(_within_pivots(star, sets, labels, percent).withColumn("star", F.lit(False)), "rest")
         more = _compared(rest, sets, percent).where("linked").select("a", "b")
-        linked = components(more.unionByName(linked.toDF("a", "b")))
+        # the labels are short cuts: they leave fewer rounds
+        links = links.unionByName(more).unionByName(labels.toDF("a", "b"))
+    linked = components(links)
 
     named = classes.select("class", "rep").join(linked, F.col("rep") == F.col("node"), "left")
     named = named.select(F.col("class").alias("its"), F.coalesce("component", "rep").alias("shared"))
