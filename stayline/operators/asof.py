@@ -115,8 +115,8 @@ def prior_distinct_counts(
 
     The self-history inequality join pairs every row with all earlier ones.  A distinct
     item counts from the first time it is seen, so the count is a running total over
-    first-seen times: linear in the history, and in bounded levels (day, second, time) for
-    a subject with a huge one.  All counts share one pass.
+    first-seen times: linear in the history, and in two bounded levels (day, time) for a
+    subject with a huge one.  All counts share one pass.
     """
     zero = F.lit(0).cast("bigint")
     probes = rows.where(F.col(row_time).isNotNull()).select(
@@ -136,12 +136,11 @@ def prior_distinct_counts(
         .groupBy(subject, "_at")
         .agg(F.bool_or("_asked").alias("_asked"), *[F.sum(n).alias(f"_new_{n}") for n in facts])
         .withColumn("_day", F.to_date("_at"))
-        .withColumn("_second", F.date_trunc("second", "_at"))
     )
     # far fewer rows than the facts, and read twice below: the joins behind it run once
     line = cut_lineage(line)
     counted = running_total(
-        line, [subject], "_at", ["_day", "_second"], {n: f"_new_{n}" for n in facts}, inclusive=False
+        line, [subject], "_at", ["_day"], {n: f"_new_{n}" for n in facts}, inclusive=False
     )
     return counted.where("_asked").select(
         subject, F.col("_at").alias(row_time), *[F.col(n).cast("bigint").alias(n) for n in facts]

@@ -56,15 +56,25 @@ def running_total(
         )
     bucket, *finer = buckets
     keys = [*group, bucket]
-    sums = df.groupBy(*keys).agg(*[F.sum(source).alias(f"_sum_{n}") for n, source in totals.items()])
+    inside = running_total(
+        df, keys, order, finer, totals, descending=descending, inclusive=inclusive
+    )
+    if finer:
+        sums = df.groupBy(*keys).agg(*[F.sum(source).alias(f"_sum_{n}") for n, source in totals.items()])
+    else:
+        # the last row of a bucket has its sum: no second aggregation of the rows
+        arrow = F.col(order).desc() if descending else F.col(order).asc()
+        last = F.lead(F.lit(1)).over(Window.partitionBy(*keys).orderBy(arrow)).isNull()
+        inside = inside.withColumn("_last", last)
+        sums = inside.where("_last").select(
+            *keys, *[(F.col(n) if inclusive else F.col(n) + F.col(source)).alias(f"_sum_{n}") for n, source in totals.items()]
+        )
+        inside = inside.drop("_last")
     earlier = running(bucket, -1)
     offsets = sums.select(
         *keys,
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_offset_{n}") for n in totals],
     )
-    inside = running_total(
-        df, keys, order, finer, totals, descending=descending, inclusive=inclusive
-    )
     return (
         inside.join(offsets, keys)
         .withColumns({n: F.col(f"_offset_{n}") + F.col(n) for n in totals})
