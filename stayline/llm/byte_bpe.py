@@ -8,12 +8,14 @@ worker maps it into memory and walks it byte by byte.  Words it does not hold ar
 exactly, pair of lowest rank first.  The lexicon only saves time: its size is a parameter
 and never changes a result.
 
-Texts are cut at every single space before a non-blank, where the pre-tokenizer always
-starts a new token, so equal words are encoded once per worker generation.
+Texts are cut at every single blank before a non-blank and at every single line end, where
+the pre-tokenizer always starts a new token, so equal words are encoded once per worker
+generation.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import mmap
@@ -34,7 +36,7 @@ from stayline.llm.common import Memo, batches, once
 
 #: White space beyond ASCII's; a text that holds any is pre-tokenized whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_DOUBLE = tuple(" " + c for c in " \n\t\r\x0b\x0c")
+_DOUBLE = (*(" " + c for c in " \n\t\r\x0b\x0c"), "\n\n", "\t\n", "\r\n", "\x0b\n", "\x0c\n", "\n\t", "\n\r", "\n\x0b", "\n\x0c")
 #: From here on, the letters that the tokenizers library knows differ from those of ``regex``.
 _UNSURE = re.compile("[^\x00-\u0557]")
 _FLUSH = 200_000
@@ -140,11 +142,12 @@ class Lexicon:
 class ByteBpe:
     """Encoding and decoding with a byte-level BPE vocabulary file of the tokenizers library.
 
-    The library splits words into pre-tokens (its classes of letters and digits decide) and
-    finds special tokens; the merges are done here.
+    Words that the lexicon does not hold are merged exactly, pair of lowest rank first: by
+    tiktoken if the vocabulary is also there as ranks, else (and for letters that libraries
+    may class differently) by the merges here, on the tokenizers library's pre-tokens.
     """
 
-    def __init__(self, file: str, lexicon: Lexicon | None = None):
+    def __init__(self, file: str, lexicon: Lexicon | None = None, rank_file: str | None = None):
         from tokenizers import Tokenizer
 
         with open(file, encoding="utf-8") as f:
@@ -170,7 +173,15 @@ class ByteBpe:
         self.pieces = [b""] * size
         for token, i in [*vocabulary.items(), *self.special.items()]:
             self.pieces[i] = bytes(self.byte_of[c] for c in token) if all(c in self.byte_of for c in token) else token.encode()
-        self.lexicon = lexicon
+        self.lexicon, self.ranked = lexicon, None
+        if rank_file is not None:
+            import tiktoken
+
+            with open(rank_file, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.ranked = tiktoken.Encoding(
+                rank_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            )
         self._words = Memo(self._word, 600_000)
         self._tokens = Memo(self._token, 300_000)
         self._segments = Memo(self._segment, 200_000)
@@ -191,13 +202,22 @@ class ByteBpe:
         return b"".join([pieces[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
     def _plain(self, text: str) -> bytes:
-        if text[0] == " " or text[-1] == " " or any(d in text for d in _DOUBLE) or _ODD_SPACE.search(text):
-            return self._run(text)
-        first, *rest = text.split(" ")
-        return b"".join([self._run(first), *map(self._words.__getitem__, rest)])
+        if uneven(text):
+            return self._exact(text)
+        first, *rest = words_of(text)
+        return b"".join([self._exact(first), *map(self._words.__getitem__, rest)])
 
     def _word(self, word: str) -> bytes:
-        return self._run(" " + word)
+        text = word if word[:1] == "\n" else " " + word
+        if self.lexicon is not None and (found := self.lexicon.find(text.encode())) is not None:
+            return found
+        return self._exact(text)
+
+    def _exact(self, text: str) -> bytes:
+        """Pre-tokens and merges without the lexicon."""
+        if self.ranked is None or _UNSURE.search(text):
+            return self._run(text)
+        return np.array(self.ranked.encode_ordinary(text), dtype="<u4").tobytes()
 
     def _run(self, text: str) -> bytes:
         return b"".join(map(self._tokens.__getitem__, self.pre_tokens(text)))
@@ -208,10 +228,7 @@ class ByteBpe:
         return self._pattern.findall(text)
 
     def _token(self, token: str) -> bytes:
-        raw = token.encode()
-        if self.lexicon is not None and (found := self.lexicon.find(raw)) is not None:
-            return found
-        return np.array(self.merged(raw), dtype="<u4").tobytes()
+        return np.array(self.merged(token.encode()), dtype="<u4").tobytes()
 
     def merged(self, raw: bytes) -> list[int]:
         """The ids of one pre-token: lowest rank merged first, then leftmost."""
@@ -261,6 +278,17 @@ class ByteBpe:
         return [s for s in symbols if s]
 
 
+def uneven(text: str) -> bool:
+    """Whether white space other than single blanks and line ends between words occurs."""
+    return text[0] == " " or text[-1] in " \n" or any(d in text for d in _DOUBLE) or bool(_ODD_SPACE.search(text))
+
+
+def words_of(text: str) -> list[str]:
+    """The words of an even text: each but the first begins where a pre-token begins, at a
+    blank that is left out or at a line end that is kept."""
+    return text.replace("\n", " \n").split(" ")
+
+
 def _alphabet() -> list[str]:
     """The printable stand-in of every byte: printable Latin-1 as it is, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -269,14 +297,14 @@ def _alphabet() -> list[str]:
 
 
 def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts, words between single spaces; counted in the tasks first."""
+    """(word, n) over all texts, words as in ``words_of``; counted in the tasks first."""
 
     def work(it: Iterator[pa.RecordBatch]):
         counts: Counter = Counter()
         for batch in it:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(w for w in text.split(" ") if len(w) <= 64)
+                    counts.update(w for w in words_of(text) if len(w) <= 64)
                 if len(counts) >= _FLUSH:
                     yield {"word": list(counts), "n": list(counts.values())}
                     counts.clear()
@@ -285,7 +313,10 @@ def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return batches(docs.select(text_col), "word string, n long", work).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, *, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", words: int = 200_000) -> bytes:
+def build_lexicon(
+    docs: DataFrame, *, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json",
+    ranks: str | None = "byte_bpe_50k.tiktoken", words: int = 200_000,
+) -> bytes:
     """The automaton image of the ``words`` most frequent words (at most; ties by text).
 
     The counts are over all texts; only this bounded list reaches the driver.  Words of more
@@ -295,14 +326,14 @@ def build_lexicon(docs: DataFrame, *, text_col: str = "text", vocabulary: str =
         word_counts(docs, text_col=text_col).where("word != ''")
         .orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()["word"].to_pylist()
     )
-    bpe = ByteBpe(public_tokenizers.path(vocabulary))
-    tokens = {t.encode() for w in top for t in bpe.pre_tokens(" " + w)}
-    return Lexicon.compiled({t: bpe.merged(t) for t in tokens})
+    bpe = ByteBpe(public_tokenizers.path(vocabulary), rank_file=ranks and public_tokenizers.path(ranks))
+    texts = [w if w[0] == "\n" else " " + w for w in top]
+    return Lexicon.compiled({t.encode(): np.frombuffer(bpe.encode(t), "<u4").tolist() for t in texts})
 
 
 def encoded(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary: str = "byte_bpe_50k.json", words: int = 200_000,
+    vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", words: int = 200_000,
 ) -> DataFrame:
     """Per row: ``id_col``, ids (array of long), decoded (string).
 
@@ -313,12 +344,12 @@ def encoded(
     def columns(ids: list[bytes], bpe: ByteBpe) -> dict:
         return {"ids": [np.frombuffer(x, "<u4").tolist() for x in ids], "decoded": list(map(bpe.decode, ids))}
 
-    return _through(docs, id_col, text_col, vocabulary, words, "ids array<long>, decoded string", columns)
+    return _through(docs, id_col, text_col, vocabulary, ranks, words, "ids array<long>, decoded string", columns)
 
 
 def encoding_digests(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary: str = "byte_bpe_50k.json", words: int = 200_000,
+    vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", words: int = 200_000,
 ) -> DataFrame:
     """As ``encoded``, but n_tokens and the SHA-256 of the ids (little-endian unsigned 4-byte
     integers) and of the decoded text instead of both."""
@@ -330,18 +361,20 @@ def encoding_digests(
             "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
         }
 
-    return _through(docs, id_col, text_col, vocabulary, words, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    return _through(docs, id_col, text_col, vocabulary, ranks, words, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
 
 
-def _through(docs, id_col, text_col, vocabulary, words, schema, columns) -> DataFrame:
-    image = build_lexicon(docs, text_col=text_col, vocabulary=vocabulary, words=words)
+def _through(docs, id_col, text_col, vocabulary, ranks, words, schema, columns) -> DataFrame:
+    image = build_lexicon(docs, text_col=text_col, vocabulary=vocabulary, ranks=ranks, words=words)
     key = hashlib.sha256(image).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(image)  # bounded by ``words``
 
     def work(it: Iterator[pa.RecordBatch]):
         bpe = once(
             ("byte_bpe", vocabulary, key),
-            lambda: ByteBpe(public_tokenizers.path(vocabulary), Lexicon.mapped(shared.value)),
+            lambda: ByteBpe(
+                public_tokenizers.path(vocabulary), Lexicon.mapped(shared.value), ranks and public_tokenizers.path(ranks)
+            ),
         )
         for batch in it:
             yield {id_col: batch.column(0)} | columns(list(map(bpe.encode, batch.column(1).to_pylist())), bpe)

@@ -37,13 +37,17 @@ def test_piece_counter_equals_the_library(piece):
 
 def test_byte_bpe_equals_the_library(byte):
     bpe = byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
-    words = {w.encode(): bpe.merged(w.encode()) for w in (" the", " there", " thing", "ing", " sing")}
-    held = byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), byte_bpe.Lexicon.mapped(byte_bpe.Lexicon.compiled(words)))
+    words = {w.encode(): bpe.merged(w.encode()) for w in (" the", " there", " thing", "ing", " sing", " a")}
+    lexicon = byte_bpe.Lexicon.mapped(byte_bpe.Lexicon.compiled(words))
+    held = byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), lexicon)
+    ranked = byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), lexicon, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    text_ids = packing.TextIds(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     parts = ["'s", "'ll", " ", "  ", "\n", "\t", "a", "The", " the", " thing", "é", "中文", "\x00", "😀", "<|endoftext|>",
              "<|endof", "1", "42", "՘", "࡟", "\x1c", "\x85", "\xa0", " ", "!", ".,", "_"]
     for text in noise(4, parts, 3000):
         ids = byte.encode(text, add_special_tokens=False).ids
-        for tried in (bpe, held):
+        assert text_ids.encode(text).tolist() == ids, text
+        for tried in (bpe, held, ranked):
             got = tried.encode(text)
             assert np.frombuffer(got, "<u4").tolist() == ids, text
             assert tried.decode(got) == byte.decode(ids, skip_special_tokens=False), text
