@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: dict[str, list[str]] = {}
+_OWNER: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNER:
+        _SCRATCH.setdefault(_OWNER[-1], []).append(path)
+    return path
+
+
+@contextmanager
+def scratch_of(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Delete the scratch tables that ``owner`` made before, and remember those made inside."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for address in _SCRATCH.pop(owner, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(address)
+        path.getFileSystem(hadoop).delete(path, True)
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +68,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     costs a re-read.  Column pruning and filters still reach the files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
