@@ -10,7 +10,9 @@ so what their last open bins leave unused stays the same small share.
 
 from __future__ import annotations
 
+import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,90 +22,74 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.byte_bpe import _DOUBLE, _ODD_SPACE
-from stayline.llm.common import Memo, arrow_schema, batches, once, record_batch, written
+from stayline.llm.common import arrow_schema, batches, once, record_batch, written
 
-_SLICE = 4000
+#: The two libraries are known to agree on these characters; texts with others take the slower one.
+_COMMON = re.compile("[^\x00-\uffff]")
 
 
-class WordIds:
-    """Ids by the tokenizers library, asked once for each distinct word of a batch.
+class TextIds:
+    """Ids of whole texts as the tokenizers library gives them for a byte-level vocabulary.
 
-    The library's byte-level pre-tokenizer starts a token at every single space before a
-    non-blank, so words are encoded together in one text and told apart by the tokens that
-    begin with a space.
+    The same vocabulary as ranks goes several times faster through tiktoken.  A text that
+    holds a special token's string, or a character beyond the common ones (where the two
+    might know other letters), goes through the tokenizers library itself.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, rank_file: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
-        self._spaced = np.zeros(max(tokens.values()) + 1, dtype=bool)
-        self._spaced[[i for t, i in tokens.items() if t.startswith("Ġ")]] = True
-        self._words = Memo(self._whole, 400_000)
-
-    def _whole(self, word: str) -> bytes:
-        return self._encode(" " + word)
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 4-byte integers; none for null."""
-        split = [None if not t or _uneven(t) else t.split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split if s)) - self._words.keys() - self._words.old.keys()
-        self._learn([w for w in new if len(w) <= self._words.longest])
-        ids = self._words.__getitem__
-        return [
-            b"" if not t else self._encode(t) if s is None else b"".join([self._encode(s[0]), *map(ids, s[1:])])
-            for t, s in zip(texts, split)
-        ]
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), _SLICE):
-            some = words[at : at + _SLICE]
-            ids = np.frombuffer(self._encode(" " + " ".join(some)), dtype="<u4")
-            starts = np.flatnonzero(self._spaced[ids])
-            if len(starts) != len(some):
-                raise AssertionError("a word of the batch was not told apart")
-            for word, a, b in zip(some, starts, [*starts[1:], len(ids)]):
-                self._words.put(word, ids[a:b].tobytes())
-
-
-def _uneven(text: str) -> bool:
-    return text[0] == " " or text[-1] == " " or any(d in text for d in _DOUBLE) or bool(_ODD_SPACE.search(text))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = None
+        if rank_file is not None:
+            import tiktoken
+
+            with open(rank_file, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.ranked = tiktoken.Encoding(
+                rank_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            )
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, dtype="<u4")
+        if self.ranked is None or any(s in text for s in self.special) or _COMMON.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.ranked.encode_ordinary(text), dtype="<u4")
 
 
 def token_pieces(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json",
-    length: int = 2048, end_id: int = 0, with_ids: bool = False,
+    ranks: str | None = "byte_bpe_50k.tiktoken", length: int = 2048, end_id: int = 0, with_ids: bool = False,
 ) -> DataFrame:
     """``id_col``, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A document is the ids of its whole text (null: none) and then ``end_id``.  One longer
     than ``length`` is cut into pieces of that length, the first taking what is left over.
+    ``ranks`` names the same vocabulary as a rank file, if there is one.
     Null ids stay null, repeated rows give repeated pieces, an empty table none.
     """
 
     def work(it: Iterator[pa.RecordBatch]):
-        words = once(("word_ids", vocabulary), lambda: WordIds(public_tokenizers.path(vocabulary)))
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        encoder = once(
+            ("text_ids", vocabulary),
+            lambda: TextIds(public_tokenizers.path(vocabulary), ranks and public_tokenizers.path(ranks)),
+        )
         for batch in it:
             out: dict[str, list] = {k: [] for k in (id_col, "piece", "start", "length", "ids_crc32", "ids")}
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
-                ids += tail
-                n = len(ids) // 4
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.append(encoder.encode(text), np.uint32(end_id))
+                n = len(ids)
                 first = n % length or length
                 cuts = [0, *range(min(first, n), n + 1, length)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    part = ids[4 * a : 4 * b]
-                    for k, v in zip(out, (doc, piece, a, b - a, zlib.crc32(part), None)):
+                    part = ids[a:b]
+                    values = (doc, piece, a, b - a, zlib.crc32(part.tobytes()), part.tolist() if with_ids else None)
+                    for k, v in zip(out, values):
                         out[k].append(v)
-                    if with_ids:
-                        out["ids"][-1] = np.frombuffer(part, "<u4").tolist()
             if not with_ids:
                 del out["ids"]
             yield out
