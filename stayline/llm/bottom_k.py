@@ -7,8 +7,8 @@ Candidates: inverted lists of retained values.  A list belongs to a run of four
 retained values: neighbours in the union of two sets that are in both are neighbours in both
 sketches, so similar sets share many runs, while one passage that a third of all documents
 hold makes few long lists.  The chance that two sets of similarity 0.85 share no run of four
-among 64 values is about 5e-9; for sets that fit into the sketch, none is lost (sets of up
-to seven shingles also use runs of three).
+among 64 values is about 5e-9 (2e-6 for 0.8); for sets that fit into the sketch, none of 0.8
+or more is lost (sets of up to 16 shingles also use runs of two and three).
 
 A list of at most ``short`` classes gives its pairs; the union of two sketches estimates
 their similarity, and pairs more than five deviations too low go.  A longer list is not
@@ -61,10 +61,10 @@ def shingle_set(text: str | None, size: int = 3) -> np.ndarray:
 
 
 def run_keys(sketch: np.ndarray) -> np.ndarray:
-    """One hash per run of four neighbouring values; short sketches add runs of three."""
+    """One hash per run of four neighbouring values; short sketches add runs of two and three."""
     parts = []
     with np.errstate(over="ignore"):
-        for width in (3, 4) if len(sketch) <= 7 else (4,):
+        for width in (2, 3, 4) if len(sketch) <= 16 else (4,):
             if (n := len(sketch) - width + 1) > 0:
                 rolled = np.full(n, width, dtype=np.uint64)
                 for i in range(width):
