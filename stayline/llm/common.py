@@ -126,7 +126,11 @@ _RESOURCES: dict = {}
 
 
 def once(key, make: Callable):
-    """One value per Python worker process; tasks that reuse the worker share it."""
+    """One value per Python worker process; tasks that reuse the worker share it.
+
+    Only the value asked for last is kept, so the stages of a pipeline don't add up theirs.
+    """
     if key not in _RESOURCES:
+        _RESOURCES.clear()
         _RESOURCES[key] = make()
     return _RESOURCES[key]
