@@ -4,7 +4,7 @@ A public sentence-piece vocabulary reads every word of a text.  Three measures f
 characters per token, the share of byte-fallback tokens, and the entropy of the tokens in
 bits.  A text is rejected when a measure leaves the band of its group.  Groups are the
 languages given, or the script of most letters where none is given; the middle and the
-spread of a band are quartiles over all texts of the group.
+spread of a band come from the shortest half of the group's texts that pass the base rules.
 """
 
 from __future__ import annotations
@@ -32,31 +32,68 @@ _SCRIPTS = (
 
 @dataclass(frozen=True)
 class Bands:
-    """How far a measure may lie from its group's middle half, in its interquartile ranges,
-    and at least as far as a share (or, for the byte share, a difference) of the median."""
+    """How far a measure may lie from the middle of its group's shortest half (the narrowest
+    range with half of the reference rows, which a third of junk cannot move).
+
+    Language groups: ``ranges`` widths of that half for characters per token and
+    ``entropy_ranges`` for the entropy, at least a ``least`` share of the middle; short texts
+    and small groups scatter more, so both grow for them.  Script groups mix languages, where
+    a text far from the middle may be one of a rarer language: at least the given shares (for
+    the byte share, a difference) of the middle.
+    """
 
-    ranges: float = 10.0
-    fewer_chars: float = 0.25
-    more_chars: float = 0.6
-    more_bytes: float = 0.2
-    less_entropy: float = 0.5
+    ranges: float = 4.0
+    entropy_ranges: float = 3.0
+    least: float = 0.05
+    more_bytes: float = 0.1
+    few_rows: float = 20.0
+    mixed_fewer_chars: float = 0.25
+    mixed_more_chars: float = 0.6
+    mixed_more_bytes: float = 0.2
+    mixed_less_entropy: float = 0.5
 
     def rejected(self) -> Column:
-        def beyond(name: str, least: Column) -> Column:
-            return F.greatest(least, self.ranges * (F.col(f"{name}_q")[2] - F.col(f"{name}_q")[0]))
+        scatter = F.sqrt(F.greatest(F.lit(1.0), F.col("words_") / F.greatest(F.lit(1), F.col("n_words")))) * (1 + self.few_rows / F.col("rows_"))
+        mixed = ~F.col("band").rlike("^[a-z]")
 
         def middle(name: str) -> Column:
-            return F.col(f"{name}_q")[1]
+            return F.col(f"{name}_half")["middle"]
+
+        def beyond(name: str, ranges: float, least: Column, least_mixed: Column) -> Column:
+            spread = F.greatest(ranges * F.col(f"{name}_half")["width"], least) * scatter
+            return F.when(mixed, F.greatest(spread, least_mixed)).otherwise(spread)
+
+        def share(name: str, ranges: float, least_mixed: float) -> Column:
+            return beyond(name, ranges, self.least * middle(name), least_mixed * middle(name))
 
-        cpt, share, entropy = _MEASURES
+        cpt, bytes_, entropy = _MEASURES
         return (
-            (F.col(cpt) < middle(cpt) - beyond(cpt, self.fewer_chars * middle(cpt)))
-            | (F.col(cpt) > middle(cpt) + beyond(cpt, self.more_chars * middle(cpt)))
-            | (F.col(share) > middle(share) + beyond(share, F.lit(self.more_bytes)))
-            | (F.col(entropy) < middle(entropy) - beyond(entropy, self.less_entropy * middle(entropy)))
+            (F.col(cpt) < middle(cpt) - share(cpt, self.ranges, self.mixed_fewer_chars))
+            | (F.col(cpt) > middle(cpt) + share(cpt, self.ranges, self.mixed_more_chars))
+            | (F.col(bytes_) > middle(bytes_) + beyond(bytes_, self.ranges, F.lit(self.more_bytes), F.lit(self.mixed_more_bytes)))
+            | (F.col(entropy) < middle(entropy) - share(entropy, self.entropy_ranges, self.mixed_less_entropy))
         )
 
 
+def shortest_half(percentiles: Column) -> Column:
+    """width and middle of the narrowest range between two of 101 percentiles, 50 apart."""
+    def half(i: Column) -> Column:
+        low, high = F.get(percentiles, i), F.get(percentiles, i + 50)
+        return F.struct((high - low).alias("width"), ((low + high) / 2).alias("middle"))
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(50)), half))
+
+
+def reference(passed: DataFrame) -> DataFrame:
+    """One row per band of ``passed``: the shortest half of each measure, the median number
+    of words and the number of rows.  Rows equal in all of these (copies) count once."""
+    found = passed.select("band", "n_words", *_MEASURES).distinct().groupBy("band").agg(
+        *[F.percentile_approx(m, [i / 100 for i in range(101)], 10_000).alias(m) for m in _MEASURES],
+        F.percentile_approx("n_words", 0.5, 10_000).alias("words_"), F.count(F.lit(1)).alias("rows_"),
+    )
+    return found.select("band", "words_", "rows_", *[shortest_half(F.col(m)).alias(f"{m}_half") for m in _MEASURES])
+
+
 def repeated_words(words: list[bytes], window: int = _WINDOW) -> int:
     """Words that lie in a window of ``window`` words found twice or more in ``words``."""
     n = len(words) - window + 1
@@ -169,12 +206,9 @@ def judged(
     repeated results, an empty table none.
     """
     found = written(measured(docs, id_col=id_col, **kinds), "fertility")
-    quartiles = found.where("n_words > 0").groupBy("band").agg(
-        *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"{m}_q") for m in _MEASURES]
-    )
-    # two letters or one of the scripts: under 700 rows
-    joined = found.join(F.broadcast(quartiles), "band", "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
+    # two letters or one of the scripts: under 700 rows
+    joined = found.join(F.broadcast(reference(found.where(~failed))), "band", "left")
     return joined.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(bands.rejected(), F.lit(False))
     ).select(*found.columns, "base_failed", "kept")

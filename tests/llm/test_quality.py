@@ -56,6 +56,33 @@ def test_bands_reject_other_scripts_and_noise(session):
     assert not got[1000] and not got[1001]
 
 
+def test_bands_hold_against_a_third_of_junk(session):
+    import base64
+    import random
+
+    rng = random.Random(4)
+    common = "the house and garden of our old friend was near a river with many boats on it every summer day".split()
+    rows = [(i, " ".join(rng.choice(common) for _ in range(rng.randint(60, 90))), "en", "s", 0) for i in range(180)]
+    rows += [(i, " ".join(rng.choice(common) for _ in range(22)), "en", "s", 0) for i in range(180, 200)]  # short ones
+    rows += [(i, " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(60)), "en", "s", 0) for i in range(1000, 1100)]
+    rows += [(i, "zq " * 7, "en", "s", 0) for i in range(2000, 2400)]  # fail the base rules, so they have no say
+    rows += [(i, rows[0][1], "en", "s", 0) for i in range(3000, 3400)]  # copies count once
+    # a script mixes languages: a fifth in another one stays
+    other = "das haus und der garten unseres alten freundes lag nahe an einem fluss mit vielen booten".split()
+    rows += [(i, " ".join(rng.choice(common if i % 5 else other) for _ in range(80)), None, "s", 0) for i in range(4000, 4100)]
+    got = {r.doc_id: r.kept for r in fertility.judged(session.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, kept in got.items() if kept] == [i for i in got if i < 1000 or i >= 3000]
+
+
+def test_bands_reject_labelled_junk_of_the_tables(session):
+    from pyspark.sql import functions as F
+
+    docs, labels = (session.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    gone = fertility.judged(docs).where("NOT base_failed AND NOT kept").select("doc_id").join(labels, "doc_id", "left")
+    found = {r.quality: r["count"] for r in gone.groupBy(F.col("quality")).count().collect()}
+    assert found.get(0, 0) >= 30 and found.get(1, 0) <= 0.05 * found[0]
+
+
 def test_script_of():
     assert fertility.script_of("the house 12") == "LATIN" and fertility.script_of("дом и сад") == "CYRILLIC"
     assert fertility.script_of("中文字符") == "CJK" and fertility.script_of("12 !") == "NONE"
