@@ -9,10 +9,12 @@ spread of a band come from the shortest half of the group's texts that pass the
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +30,9 @@ _SCRIPTS = (
     "LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "BENGALI", "TAMIL", "TELUGU", "THAI", "CJK",
     "HIRAGANA", "KATAKANA", "HANGUL", "ARMENIAN", "GEORGIAN", "ETHIOPIC",
 )
+_SUBTAG = re.compile(r"[a-z]{2,3}(?![^\W_])")
+#: Subtags for undetermined, several, uncoded and no languages.
+_NO_LANGUAGE = frozenset(("und", "mul", "mis", "zxx"))
 
 
 @dataclass(frozen=True)
@@ -121,16 +126,27 @@ def repeated_words(words: list[bytes], window: int = _WINDOW) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+@lru_cache(maxsize=20_000)
+def _script(letter: str) -> str:
+    name = unicodedata.name(letter, "")
+    return next((s for s in _SCRIPTS if name.startswith(s)), "OTHER")
+
+
 def script_of(text: str) -> str:
-    """The script of most letters among up to 1,000 characters spread over the text; this
-    only names the group, all measures are on the whole text."""
-    step = max(1, len(text) // 1000)
-    names = Counter(
-        next((s for s in _SCRIPTS if unicodedata.name(c, "").startswith(s)), "OTHER") for c in text[::step] if c.isalpha()
-    )
+    """The script of most letters of the text; ties go to the first name."""
+    names: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            names[_script(c)] += n
     return max(sorted(names), key=names.get) if names else "NONE"
 
 
+def language_of(lang: str | None) -> str | None:
+    """The primary subtag of a language tag, none if it names no language."""
+    subtag = _SUBTAG.match((lang or "").strip().lower())
+    return subtag[0] if subtag and subtag[0] not in _NO_LANGUAGE else None
+
+
 class _Reader:
     def __init__(self, model_file: str):
         import sentencepiece
@@ -158,7 +174,7 @@ def measured(
     """Per row: ``id_col``, the five base counts, the three measures (null without words)
     and their group, then the ``passing`` columns as pass_0, pass_1 and so on.
 
-    Groups are two letters of the language, else the script: at most a few hundred.
+    Groups are the primary language subtag (two or three letters), else the script.
     """
     passed = [f"pass_{i}" for i in range(len(passing))]
 
@@ -173,7 +189,6 @@ def measured(
                 solid = raw.translate(None, BLANKS)
                 chars = len(text or "") - (len(raw) - len(solid))
                 lines = [x for x in raw.split(b"\n") if x.strip(BLANKS)]
-                lang = (lang or "").strip().lower()[:2]
                 out["n_words"].append(len(words))
                 out["word_chars"].append(chars)
                 out["n_symbols"].append(len(raw) - len(raw.translate(None, SYMBOLS)))
@@ -181,7 +196,7 @@ def measured(
                 out["n_repeat_words"].append(repeated_words(words))
                 for name, value in zip(_MEASURES, reader.measures(words, chars)):
                     out[name].append(value)
-                out["band"].append(lang if len(lang) == 2 and lang.isascii() and lang.isalpha() else script_of(text or ""))
+                out["band"].append(language_of(lang) or script_of(text or ""))
             yield {id_col: batch.column(0)} | out | {c: batch.column(c) for c in passed}
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
@@ -207,7 +222,7 @@ def judged(
     """
     found = written(measured(docs, id_col=id_col, **kinds), "fertility")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    # two letters or one of the scripts: under 700 rows
+    # two or three letters or one of the scripts: under 20,000 rows whatever lang holds
     joined = found.join(F.broadcast(reference(found.where(~failed))), "band", "left")
     return joined.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(bands.rejected(), F.lit(False))

@@ -88,6 +88,15 @@ def test_script_of():
     assert fertility.script_of("中文字符") == "CJK" and fertility.script_of("12 !") == "NONE"
 
 
+def test_groups_come_from_whole_texts_and_whole_subtags(session):
+    assert fertility.script_of("дab" * 1000) == "LATIN"  # every third letter is another script's
+    assert fertility.script_of("a" * 2000 + "д" * 2001) == "CYRILLIC"
+    tags = {"es": "es", "est": "est", "fil": "fil", "fi": "fi", " EN-us": "en", "pt_BR": "pt", "zh-Hant-TW": "zh"}
+    rows = [(i, "one two", tag, "s", 0) for i, tag in enumerate([*tags, "und", "x", "", "english", "12", None])]
+    got = {r.doc_id: r.band for r in fertility.measured(session.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(rows))] == [*tags.values(), *["LATIN"] * 6]
+
+
 def test_accepted_keeps_rows_as_they_are(session, documents):
     good = fertility.judged(documents).where("kept").select("doc_id")
     got = fertility.accepted(documents)
