@@ -3,9 +3,9 @@
 The standard library's parser streams events; block elements end lines.  Every line has a
 text-to-tag ratio; the ratios are smoothed by a Gaussian and cut at their standard
 deviation, which clusters the lines into content and the rest.  Content lines select
-regions: the outermost article or main element around them, or else their block container.
-All lines of a selected region are kept, short ones too.  Elements that are page furniture
-by their tag, role, class or id never make lines.
+regions: the outermost article or main element around them, or else the smallest container
+that holds all of them.  All lines of a selected region are kept, short ones too.  Elements
+that are page furniture by their tag, role, class or id never make lines.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -40,6 +41,18 @@ FURNITURE = frozenset(
     "promo promotion promoted related replies reply respond share sharing sidebar sidebars signup skyscraper social "
     "sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: Words that say nothing about the content of what they name beside a furniture word.
+NEUTRAL = frozenset(
+    "area article articles bar block blog body bottom box btn button buttons col column container entry fixed global group "
+    "header holder icon icons inner item items js left link links list main outer page panel post posts primary right row "
+    "secondary section site slot sticky text top unit wrap wrapper".split()
+)
+#: Ids that name furniture inside an article too, where most ids are slugs of headings.
+FURNITURE_IDS = frozenset(
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs commentlist disqus masthead navbar pager respond "
+    "sidebar sidebars skyscraper toolbar topbar".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _SMOOTHING = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
@@ -60,6 +73,8 @@ class _Open:
     number: int
     skipped: bool
     article: int | None
+    block: int = 0
+    code: bool = False
 
 
 @dataclass
@@ -71,6 +86,7 @@ class Lines(HTMLParser):
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self._open = [_Open("", 0, False, None)]
+        self.parents = [0]
         self._texts: list[str] = []
         self._tags = self._made = 0
 
@@ -125,7 +141,9 @@ class Lines(HTMLParser):
             self._flush()
         self._made += 1
         article = top.article if top.article is not None else self._made if tag in ARTICLES else None
-        self._open.append(_Open(tag, self._made, skipped, article))
+        self.parents.append(top.block)
+        block = top.block if tag in INLINE or tag in _LEAVES else self._made
+        self._open.append(_Open(tag, self._made, skipped, article, block, top.code or tag in ("pre", "code")))
 
     def _close_open(self, tag):
         """A paragraph, item or cell ends the one before it in the same container."""
@@ -138,8 +156,7 @@ class Lines(HTMLParser):
 
     def _flush(self):
         if text := " ".join("".join(self._texts).split()):
-            block = next((o.number for o in reversed(self._open) if o.tag not in INLINE and o.tag not in _LEAVES), 0)
-            self.lines.append(Line(text, self._tags, self._open[-1].article, block))
+            self.lines.append(Line(text, self._tags, self._open[-1].article, self._open[-1].block))
         self._texts.clear()
         self._tags = 0
 
@@ -158,13 +175,25 @@ def _furniture(tag: str, attrs, top: _Open) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style") or "", re.I):
         return True
-    names = f"{given.get('class') or ''} {given.get('id') or ''}".split()
-    parts = [{w.lower() for w in _WORD.findall(name)} for name in names]
-    # "has-sidebar" is about what stands beside
-    words = set().union(*(p for p in parts if p.isdisjoint(("has", "with", "no", "without"))))
-    if top.article is not None:  # an article's own header is part of it
-        words -= {"header"}
-    return not words.isdisjoint(FURNITURE)
+    if top.code or tag in HEADINGS and top.article is not None:
+        return False
+    inside = top.article is not None
+    if any(_names_furniture(name, inside) for name in (given.get("class") or "").split()):
+        return True
+    name = (given.get("id") or "").strip()
+    if inside:
+        return name.lower() in FURNITURE_IDS
+    return tag not in HEADINGS and _names_furniture(name, False)
+
+
+@lru_cache(maxsize=50_000)
+def _names_furniture(name: str, inside: bool) -> bool:
+    """Whether a whole class name or id names furniture: each of its words is a furniture
+    word or a neutral one ("cookie-notice", "sidebar-left"; not "related-work", "has-sidebar")."""
+    words = {w.lower() for w in _WORD.findall(name)}
+    # an article's own header is part of it
+    named = words & FURNITURE - ({"header"} if inside else set())
+    return bool(named) and words <= FURNITURE | NEUTRAL
 
 
 def content_lines(lines: list[Line]) -> list[bool]:
@@ -181,14 +210,29 @@ def main_text(html: str | None) -> str:
     """The text of the selected regions, blocks in page order joined by one space."""
     if not html:
         return ""
-    lines = Lines().finished(html)
+    parser = Lines()
+    lines = parser.finished(html)
     content = content_lines(lines)
     articles = {x.article for x in lines if x.article is not None}
     if articles:
         chosen = {x.article for x, c in zip(lines, content) if c and x.article is not None} or articles
         return " ".join(x.text for x in lines if x.article in chosen)
-    blocks = {x.block for x, c in zip(lines, content) if c}
-    return " ".join(x.text for x in lines if x.block in blocks)
+    within = _container(parser.parents, [x.block for x, c in zip(lines, content) if c])
+    return " ".join(x.text for x in lines if within[x.block])
+
+
+def _container(parents: list[int], blocks: list[int]) -> list[bool]:
+    """For each element: is it in the smallest container that holds all ``blocks``?
+
+    Elements are numbered as they open, so what holds the first and the last holds all.
+    """
+    first, last = min(blocks, default=0), max(blocks, default=0)
+    while first != last:
+        first, last = min(first, last), parents[max(first, last)]
+    within = [False] * len(parents)
+    for i, parent in enumerate(parents):
+        within[i] = i == first or i > 0 and within[parent]
+    return within
 
 
 def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

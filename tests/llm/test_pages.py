@@ -127,6 +127,47 @@ def test_furniture_inside_an_article_goes():
     assert html_content.main_text(raw) == "Head " + TEXT
 
 
+SLUGS = [
+    ("<h2 id='social-history'>{}</h2>"), ("<h2 class='related' id='comments'>{}</h2>"), ("<section id='related-work'><p>{}</p></section>"),
+    ("<pre><code>x <span class='hljs-comment'>{}</span></code></pre>"), ("<pre><span class='token comment'>{}</span></pre>"),
+    ("<div class='ad-hoc-networks'>{}</div>"), ("<p id='share-prices'>{}</p>"), ("<div class='header'>{}</div>"), ("<section id='navigation'>{}</section>"),
+]
+MORE_FURNITURE = [
+    "<div class='social-share'>Share</div>", "<div class='post sidebar-left'>Beside</div>", "<ul class='related-posts'><li>Other</ul>", "<div class='AdBox'>Buy</div>",
+]
+
+
+@pytest.mark.parametrize("slug", SLUGS)
+def test_slugs_and_words_inside_names_are_content(slug):
+    raw = "<article>" + BODY + slug.format("Own words") + "".join(FURNITURE[1:] + MORE_FURNITURE) + "<p>End.</p></article>"
+    assert html_content.main_text(raw) == TEXT + (" x" if "<code>" in slug else "") + " Own words End."
+
+
+def test_without_an_article_all_lines_of_the_container_stay():
+    import random
+
+    rng = random.Random(6)
+
+    def words(chars):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(max(1, chars // 10)))
+
+    for _ in range(60):
+        sizes = [400] * 5 + [10] * rng.randint(1, 40) + rng.choices([10, 30, 400], k=rng.randint(0, 9))
+        wanted, parts = [], []
+        for size in sizes:
+            text = words(size)
+            wanted.append(text)
+            parts.append(rng.choice(["<div>{}</div>", "<p>{}</p>", "<div><div>{}</div></div>", "<section id=related-work><p>{}</section>", "<ul><li>{}</ul>"]).format(text))
+            if rng.random() < 0.2:
+                parts.append(rng.choice(FURNITURE + MORE_FURNITURE))
+        parts[0] = f"<div>{wanted[0]}</div>"
+        body = "".join(parts)
+        for page in (body, f"<div class=page><div>{body}</div></div>"):
+            assert html_content.main_text(f"<html><body><nav>Go</nav>{page}<footer>End</footer></body></html>") == " ".join(wanted)
+    deep = "<div>x" * 30_000
+    assert html_content.main_text(deep).count("x") == 30_000
+
+
 def test_odd_pages():
     assert html_content.main_text("plain text") == "plain text" and html_content.main_text("<article></article>") == ""
     assert html_content.main_text("<p>a<b>b</b>c<p>d<i>e") == "abc de"
