@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayline.bindings import Bound
-from stayline.llm import bottom_k, byte_bpe, fertility, html_content, line_index, ordinal_quality, packing, piece_counts, rotation_codes, warc
+from stayline.llm import (
+    bottom_k, byte_bpe, fertility, fp_search, html_content, line_index, ordinal_quality, packing, piece_counts,
+    record_files, rotation_codes, spelling, warc,
+)
 from stayline.llm.common import table
 
 
@@ -60,6 +63,39 @@ def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def benchmark_search(spark: SparkSession, sf: str) -> DataFrame:
+    return fp_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+def token_records(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = record_files.write_records(table(spark, sf, "documents"))
+    return record_files.read_records(manifest)
+
+
+_SEARCH_SQL = r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+size AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM found WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+weight AS (
+  SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t),
+measure AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM size, total),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN measure USING (doc_id) GROUP BY item_id, doc_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM placed WHERE place <= 10"""
+
 _LINES_SQL = r"""
 WITH line AS (
   SELECT doc_id, pos, part, regexp_replace(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -82,4 +118,7 @@ QUERIES: dict[str, Bound] = {
     "op8_sequences": Bound(sequences),
     "op9_quality_rules": Bound(quality_rules),
     "op10_repeated_lines": Bound(repeated_lines, _LINES_SQL),
+    "op11_benchmark_search": Bound(benchmark_search, _SEARCH_SQL),
+    "op12_spelling_variants": Bound(spelling_variants),
+    "op13_token_records": Bound(token_records),
 }

@@ -37,7 +37,7 @@ def test_empty_documents(session):
 
 def test_run_and_registration(session):
     assert corpus_pipeline.run(session, SMALL).count() > 0
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert corpus_pipeline.ORACLE_SQL is None and os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
 
 
