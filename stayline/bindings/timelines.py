@@ -248,7 +248,7 @@ def covariate_matrix(spark, sf):
         blank_to_null(F.col("c_mktsegment")).alias("admission_type"),
     )
     units = asof.latest_before(
-        rows, asof.reduce_to_keys(user_events(spark, sf), rows, ["subject_id"]),
+        rows, asof.reduce_to_keys(user_events(spark, sf), asof.key_table(rows, ["subject_id"]), ["subject_id"]),
         ["subject_id"], "ts", start=None, order=["event_id"],
         values={"pre_t0_careunit": (F.col("event_type") == "signup", F.col("props"))},
     )

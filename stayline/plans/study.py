@@ -529,14 +529,23 @@ def covariates(rows: DataFrame, tables: Tables) -> DataFrame:
     each event table is read and joined once for all of them.
     """
     rows = rows.withColumn("time_zero", F.col("suspicion_time"))
+    # the analysed stays are few beside all events: each event table is reduced to them first
+    stays, episodes = asof.key_table(rows, ["stay_id"]), asof.key_table(rows, _EPISODE)
+
+    def of_stays(events: DataFrame) -> DataFrame:
+        return asof.reduce_to_keys(events, stays, ["stay_id"])
+
+    def of_episodes(events: DataFrame) -> DataFrame:
+        return asof.reduce_to_keys(events, episodes, _EPISODE)
+
     chart_items = [i for items, _, _ in fv.CHART_MEASURES.values() for i in items]
     charts = asof.latest_before(
-        rows, _items(tables["chartevents"], [*chart_items, *fv.VENTILATION_CHART_ITEMS]), ["stay_id"], "charttime", order=["storetime"],
+        rows, of_stays(_items(tables["chartevents"], [*chart_items, *fv.VENTILATION_CHART_ITEMS])), ["stay_id"], "charttime", order=["storetime"],
         values=_measure_columns(fv.CHART_MEASURES, fv.FAHRENHEIT_ITEMS),
         flags={"_ventilated": F.col("itemid").isin(*map(int, fv.VENTILATION_CHART_ITEMS))},
     )
     labs = asof.latest_before(
-        rows, _items(tables["labevents"], [i for items, _, _ in fv.LAB_MEASURES.values() for i in items]),
+        rows, of_episodes(_items(tables["labevents"], [i for items, _, _ in fv.LAB_MEASURES.values() for i in items])),
         _EPISODE, "charttime", order=["storetime"],
         values=_measure_columns(fv.LAB_MEASURES),
     )
@@ -547,15 +556,15 @@ def covariates(rows: DataFrame, tables: Tables) -> DataFrame:
         "itemid", "left_semi",
     )
     operated = asof.latest_before(
-        rows, procedures, ["stay_id"], "starttime", flags={"_operated": F.lit(True)}
+        rows, of_stays(procedures), ["stay_id"], "starttime", flags={"_operated": F.lit(True)}
     )
     infused = asof.latest_before(
-        rows, _items(tables["inputevents"], fv.VASOPRESSOR_ITEMS), ["stay_id"], "starttime",
+        rows, of_stays(_items(tables["inputevents"], fv.VASOPRESSOR_ITEMS)), ["stay_id"], "starttime",
         flags={"pre_t0_vasopressor": F.lit(True)},
     )
     unit = blank_to_null(F.col("careunit"))
     units = asof.latest_before(
-        rows, tables["transfers"], _EPISODE, "intime", start=None, order=["transfer_id"],
+        rows, of_episodes(tables["transfers"]), _EPISODE, "intime", start=None, order=["transfer_id"],
         values={"pre_t0_careunit": (unit.isNotNull(), unit)},
     )
     admissions = tables["admissions"].select("subject_id", "hadm_id", "admittime")

@@ -23,6 +23,11 @@ _SQL_SETTINGS = {
     # aggregation after the join then needs a shuffle of its (pre-aggregated) output.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Events of a cohort: where the cohort's keys are too many to broadcast, a Bloom filter of
+    # them drops other events below their shuffle.  The filter's size is bounded (8 MB).
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "256MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
 }
 
 

@@ -100,3 +100,86 @@ def test_a_subject_with_very_many_probes_and_events(spark):
     found = asof.latest_before(probes.drop("id"), events, ["stay_id"], "at", values={"v": (F.col("v") >= 0, F.col("v"))})
     joined = probes.join(found, ["stay_id", "study_window_start", "time_zero"])
     assert joined.where("v = id - 1").count() == joined.count() == 5000
+
+
+def test_a_hot_key_is_filled_by_many_tasks(spark):
+    """One key has a third of all events, all in one day, at uneven moments."""
+    n = 30_000
+    moment = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(pow(id, 1.3) as int) div 8)"
+    hot = spark.range(n).select(F.lit(0).alias("stay_id"), F.expr(moment).alias("at"), F.col("id").alias("v"))
+    cold = spark.range(2 * n).select((1 + F.col("id") % 500).cast("int").alias("stay_id"), F.expr(moment).alias("at"), F.col("id").alias("v"))
+    events = hot.unionByName(cold)
+    asked = events.where("v % 7 = 0").select("stay_id", F.col("at").alias("time_zero"), F.expr("timestamp_ntz'2023-01-01'").alias("study_window_start"))
+    cuts = asof.hot_slices(events.select("stay_id", "at"), ["stay_id"], "at", 3000)
+    assert [r.stay_id for r in cuts.collect()] == [0]
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        cuts = asof.hot_slices(events.select("stay_id", "at"), ["stay_id"], "at", 2000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    own = F.expr("size(filter(_cuts, c -> c <= at))")
+    rows = [r["count"] for r in hot.join(cuts, "stay_id").groupBy(own).count().collect()]
+    assert len(rows) == 15 and max(rows) < 1.3 * n / 15
+    measures = dict(values={"v": (F.col("v") % 3 > 0, F.col("v"))}, flags={"odd": F.col("v") % 1000 == 1})
+    sliced = asof.latest_before(asked, events, ["stay_id"], "at", slice_rows=2000, **measures)
+    whole = asof.latest_before(asked, events, ["stay_id"], "at", **measures)
+    assert sliced.count() == whole.count() > 10_000
+    assert sliced.exceptAll(whole).isEmpty() and whole.exceptAll(sliced).isEmpty()
+    # a range without an event takes over from the ones before it
+    few = asked.where("stay_id = 0").limit(0).unionByName(
+        spark.sql("select 0 stay_id, timestamp_ntz'2024-02-01' time_zero, timestamp_ntz'2023-01-01' study_window_start")
+    )
+    last = asof.latest_before(few, events.where("v < 20000 OR v % 3 = 0"), ["stay_id"], "at", slice_rows=1000, **measures)
+    assert last.select("v", "odd").collect() == [(19999, True)]
+
+
+def test_events_are_reduced_before_their_shuffle(spark, tmp_path):
+    """Few keys are broadcast; many become a Bloom filter below the event side's exchange."""
+    spark.range(200_000).select((F.col("id") % 20_000).alias("stay_id"), F.col("id").alias("v")).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    rows = spark.range(0, 20_000, 100).select(F.col("id").alias("stay_id"))
+    want = sorted(r.v for r in events.where("stay_id % 100 = 0").collect())
+    keys = asof.key_table(rows, ["stay_id"])
+    reduced = asof.reduce_to_keys(events, keys, ["stay_id"])
+    assert "BroadcastHashJoin" in plan_of(reduced) and sorted(r.v for r in reduced.collect()) == want
+    held = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1KB")
+        reduced = asof.reduce_to_keys(events, keys, ["stay_id"])
+        assert sorted(r.v for r in reduced.collect()) == want
+        plan = plan_of(reduced)
+        assert "might_contain" in plan and "PushedFilters: [IsNotNull(stay_id), GreaterThanOrEqual(stay_id,0), LessThanOrEqual(stay_id,19900)" in plan
+        assert shuffled_rows(reduced) < 2 * len(want)
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert asof.reduce_to_keys(events, rows.limit(0), ["stay_id"]).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def shuffled_rows(df):
+    """The most rows that one exchange of the executed plan wrote."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(node.plan())
+        else:
+            children = node.children()
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
