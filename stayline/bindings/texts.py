@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from stayline.bindings import Bound, table, with_micros
 from stayline.bindings.timelines import sql_users, user_cohort
-from stayline.functions.text import first_label, included, lowered, matches
+from stayline.functions.text import lowered, matches
 from stayline.functions.times import add_hours
 from stayline.operators import extraction as ex, notes as nt
+from stayline.operators.phrases import with_labels
+from stayline.operators.scale import spread
 from stayline.plans import fixed_values as fv
 
 _T = "%Y-%m-%d %H:%M:%S.%f"
@@ -26,20 +28,19 @@ def _sql_case(text: str, rules) -> str:
 
 def text_source_classifier(spark, sf):
     """The study's text rules over whole documents."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    docs = docs.select("doc_id", "source", lowered(F.col("text")).alias("text"))
-    text = F.col("text")
-    return docs.select(
-        "doc_id",
-        first_label(text, fv.NOTE_PHRASES).alias("phrase"),
-        first_label(text, fv.CONTEXT_SOURCES).alias("context_source"),
-        first_label(text, fv.DIAGNOSIS_SOURCES).alias("diagnosis_source"),
-        included(
-            F.col("text"), fv.ANTIBIOTIC_PATTERN, (F.col("text"), fv.TOPICAL_DRUG_PATTERN),
-            (F.col("source"), fv.NON_SYSTEMIC_ROUTE_PATTERN),
-        ).alias("antibiotic"),
-        matches(text, r"\bas\b|\ble\b").alias("word"),
-        first_label(text, (("an", r"\bthe [a-z]+ an\b"), ("on", r"tion(ier)?\b"), ("re", r"re{1,2}"))).alias("pattern"),
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    found = with_labels(
+        docs, lowered(F.col("text")),
+        labels={
+            "phrase": fv.NOTE_PHRASES, "context_source": fv.CONTEXT_SOURCES, "diagnosis_source": fv.DIAGNOSIS_SOURCES,
+            "pattern": (("an", r"\bthe [a-z]+ an\b"), ("on", r"tion(ier)?\b"), ("re", r"re{1,2}")),
+        },
+        flags={"drug": fv.ANTIBIOTIC_PATTERN, "topical": fv.TOPICAL_DRUG_PATTERN, "word": r"\bas\b|\ble\b"},
+    )
+    local = matches(lowered(F.col("source")), fv.NON_SYSTEMIC_ROUTE_PATTERN)
+    return found.select(
+        "doc_id", "phrase", "context_source", "diagnosis_source",
+        (F.col("drug") & ~F.col("topical") & ~local).alias("antibiotic"), "word", "pattern",
     )
 
 

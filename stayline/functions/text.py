@@ -30,7 +30,7 @@ def lowered(*parts: Column) -> Column:
     return F.lower(texts[0] if len(texts) == 1 else F.concat_ws(" ", *texts))
 
 
-def _alternatives(pattern: str) -> list[str]:
+def alternatives(pattern: str) -> list[str]:
     """Top-level alternatives of a pattern; one group around the whole is taken off."""
     parts, depth, in_class, part, i = [], 0, False, "", 0
     while i < len(pattern):
@@ -49,19 +49,33 @@ def _alternatives(pattern: str) -> list[str]:
         part += token
     parts.append(part)
     if len(parts) == 1 and re.fullmatch(r"\((?!\?)[^()]*\)", pattern):
-        return _alternatives(pattern[1:-1])
+        return alternatives(pattern[1:-1])
     return parts
 
 
+def plain_forms(part: str) -> list[str] | None:
+    """The texts that an alternative stands for, if it is plain text with choices such as
+    ``(rule out|r/o) infection`` and optional letters; else None."""
+    choice = re.search(r"\((?:\?:)?([\w /|-]*)\)(\?)?|([\w /-])\?", part)
+    if choice is None:
+        return [part] if re.fullmatch(r"[\w /-]+", part) else None
+    options = [choice[3]] if choice[3] else choice[1].split("|")
+    if choice[3] or choice[2]:
+        options.append("")
+    forms = [plain_forms(part[: choice.start()] + o + part[choice.end() :]) for o in options]
+    return None if None in forms else [f for own in forms for f in own]
+
+
 def matches(c: Column, pattern: str) -> Column:
-    """Unanchored regular-expression search.
+    """Unanchored regular-expression search, for names and other short texts (notes and
+    documents: ``stayline.operators.phrases``).
 
     Searching an alternation is the same as searching each alternative.  Plain words
     become substring tests, which cost a fraction of the regex engine's work on long
     texts; an alternative that starts with plain text is tried only where that occurs.
     """
     found = []
-    for part in _alternatives(pattern):
+    for part in alternatives(pattern):
         if re.fullmatch(r"[\w /-]+", part):
             found.append(c.contains(part))
             continue

@@ -26,6 +26,16 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """``scan`` dealt out by ``key`` if it has fewer partitions than the session has cores.
+
+    Costly work on a table of few row groups would leave cores idle; a large table has more
+    partitions than cores and is left as it is, so it is never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores, key)
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],

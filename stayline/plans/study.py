@@ -13,6 +13,7 @@ from stayline.functions.times import lenient_time
 from stayline.functions.typing import blank_to_null, optional_column, typed
 from stayline.operators import asof, checks as ck, cohort as co, datasets as ds, evaluate as ev
 from stayline.operators import extraction as ex, labels as lb, notes as nt, rules, signals as sg
+from stayline.operators.phrases import with_labels
 from stayline.plans import fixed_values as fv
 from stayline.session import configure, cut_lineage
 from stayline.sources import sinks
@@ -128,12 +129,10 @@ def _note_signal(cohort: DataFrame, notes: DataFrame | None) -> DataFrame:
             "first_note_match_phrase string, first_note_source string, note_evidence_count bigint",
         )
     ck.require_columns(notes, ("stay_id", "note_charttime", "text"), "linked notes")
-    text = lowered(F.col("text"))
-    read = notes.select(
-        "stay_id", "note_charttime", optional_column(notes, "note_id").alias("note_id"),
-        first_label(text, fv.NOTE_PHRASES).alias("phrase"),
-        first_label(text, fv.CONTEXT_SOURCES).alias("source"),
-    ).where(F.col("phrase").isNotNull())
+    read = with_labels(
+        notes.select("stay_id", "note_charttime", optional_column(notes, "note_id").alias("note_id"), "text"),
+        lowered(F.col("text")), labels={"phrase": fv.NOTE_PHRASES, "source": fv.CONTEXT_SOURCES},
+    ).drop("text").where(F.col("phrase").isNotNull())
     return sg.windowed_signals(
         cohort, read, ["stay_id"], "note_charttime", {},
         [

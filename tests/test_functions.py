@@ -106,6 +106,27 @@ def test_matches_equals_the_plain_regex(spark):
         assert got == {w: re.search(pattern, w, re.ASCII) is not None for w in words}, pattern
 
 
+def test_phrases_in_one_pass_equal_the_plain_regexes(spark):
+    import random
+    import re
+
+    from stayline.operators.phrases import with_labels
+
+    rng = random.Random(6)
+    words = ["rule out", "r/o", "infection", "line", "sepsis", "urosepsis", "uti", "utility", "solution", "cef", "cefx", "suspect", "ed",
+             "suspected", "empiric antibiotic", "s", "bal", "é", "_", "-", "tion", "tionier", "the", "an", "as", "ree", "od", "\n", "concern for"]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", " ", "."]) for _ in range(rng.randint(0, 9))) for _ in range(500)] + [None, ""]
+    rules = {"phrase": fv.NOTE_PHRASES, "context": fv.CONTEXT_SOURCES, "diagnosis": fv.DIAGNOSIS_SOURCES,
+             "odd": (("an", r"\bthe [a-z]+ an\b"), ("on", r"tion(ier)?\b"), ("re", r"re{1,2}"), ("any", r"\b as\b|x?$"))}
+    flags = {"drug": fv.ANTIBIOTIC_PATTERN, "route": fv.NON_SYSTEMIC_ROUTE_PATTERN, "word": r"\bas\b|\ban"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in with_labels(df, F.col("t"), labels=rules, flags=flags).collect():
+        held = lambda p: re.search(p, r.t, re.ASCII) is not None
+        for name, own in rules.items():
+            assert r[name] == (None if r.t is None else next((label for label, p in own if held(p)), None)), (name, r.t)
+        assert [r[n] for n in flags] == [None if r.t is None else held(p) for p in flags.values()], r.t
+
+
 def test_code_roots(spark):
     df = spark.createDataFrame([("A41.9",), ("A419",), ("V",), ("",), (None,)], "c string")
     roots = {r[0] for r in df.select(text.code_root(F.col("c"))).collect()}
