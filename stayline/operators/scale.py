@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window, WindowSpec
 
+from stayline.session import cut_lineage
+
 _HASH_DIGITS = 4  # 65,536 position buckets: a table of fixed size
-_SLICES = 4096
+_DIGITS = 4  # of 16 bits
 
 
 def computed_once(df: DataFrame) -> DataFrame:
@@ -115,38 +117,46 @@ def hash_positions(df: DataFrame, key: str, seed: str, position: str) -> DataFra
     )
 
 
+def ordered_bits(c: Column) -> Column:
+    """A double as a 64-bit integer of the same order: its binary form, mirrored below zero.
+
+    Equal values have equal integers (0.0 and -0.0 too); infinities and then NaN lie outside.
+    """
+    whole = F.abs(c)
+    least, endless = F.lit(2.0**-1022), F.lit(float("inf"))
+    size = F.when((whole >= least) & (whole < endless), whole).otherwise(1.0)  # others have no exponent of their own
+    # the logarithm may be off by one next to a power of two
+    guess = F.floor(F.log2(size)).cast("int")
+    power = F.pow(F.lit(2.0), guess)
+    exponent = F.when(size < power, guess - 1).when(size >= 2 * power, guess + 1).otherwise(guess)
+    mantissa = ((size / F.pow(F.lit(2.0), exponent) - 1.0) * F.lit(float(1 << 52))).cast("bigint")
+    bits = (
+        F.when(F.isnan(c), F.lit((2047 << 52) + 1))
+        .when(whole == endless, F.lit(2047 << 52))
+        .when(whole < least, (whole * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint"))
+        .otherwise((exponent + 1023).cast("bigint") * F.lit(1 << 52) + mantissa)
+    )
+    return F.when(c < 0, -bits).otherwise(bits)
+
+
 def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (group..., probability, quantile).
 
-    A rank search in a fixed number of steps, the same at every size.  Equal values are
-    counted first.  Each group's value range is cut into equal slices; the running counts
-    over the slices tell which ones hold the wanted ranks, and those are cut once more.
-    What then shares a slice with a wanted rank is ranked by its counts.  No step holds
-    more than the slices of a group or the distinct values of one of 16 million slices.
+    A descent over the digits of the values' ordered bits, four of 16 bits, the same at every
+    size and for every spread of the values.  In each step rows are counted by their next
+    digit, in the tasks first; the running counts tell which digits hold a wanted rank, and
+    only rows below those are counted again.  A window never holds more than the 65,536
+    digits of one prefix.  The digits that are held (at most two a probability and group) are
+    written once a step, so Spark sees how few they are and broadcasts them.
     """
     probabilities = [float(p) for p in probabilities]
     keys = list(group) or ["_all"]
     source = df if group else df.withColumn("_all", F.lit(0))
-    counted = (
-        source.select(*keys, F.col(value).cast("double").alias("_value"))
-        .where(F.col("_value").isNotNull())
-        .groupBy(*keys, "_value")
-        .agg(F.count(F.lit(1)).alias("_count"))
-    )
-    ranges = counted.groupBy(*keys).agg(
-        F.min("_value").alias("_min"), F.max("_value").alias("_max"), F.sum("_count").alias("_rows")
-    )
-    spot = F.coalesce(
-        F.try_divide(F.col("_value") - F.col("_min"), F.col("_max") - F.col("_min")) * F.lit(float(_SLICES)), F.lit(0.0)
-    )
-    sliced = (
-        counted.join(ranges, keys)
-        .withColumn("_spot", spot)
-        .withColumn("_s0", F.floor("_spot"))
-        .withColumn("_s1", F.floor((F.col("_spot") - F.col("_s0")) * _SLICES))
-        .select(*keys, "_rows", "_s0", "_s1", "_value", "_count", F.lit(0).cast("bigint").alias("_before"))
+    number = F.col(value).cast("double")
+    rows = cut_lineage(
+        source.where(F.col(value).isNotNull()).select(*keys, number.alias("_value")).withColumn("_bits", ordered_bits(F.col("_value")))
     )
     ranks = []  # of both neighbours of every wanted spot
     for p in probabilities:
@@ -155,27 +165,34 @@ def exact_quantiles(
     wanted = reduce(
         lambda a, b: a | b, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_count")) for r in ranks]
     )
-    inside = list(keys)
-    for level in ("_s0", "_s1"):
-        earlier = Window.partitionBy(*inside).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        inside.append(level)
-        sums = sliced.groupBy(*inside, "_rows", "_before").agg(F.sum("_count").alias("_count"))
-        sums = sums.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
-        held = sums.where(wanted).select(*inside, "_before")
-        sliced = sliced.drop("_before").join(held, inside)
-    earlier = Window.partitionBy(*inside).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sliced.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    held = None
+    for step in range(_DIGITS):
+        cells = rows.withColumn("_cell", F.shiftright("_bits", 16 * (_DIGITS - 1 - step)))
+        if held is None:
+            counted = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_count"))
+            whole, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_cell")
+            counted = counted.withColumns({"_rows": F.sum("_count").over(whole), "_start": F.lit(0).cast("bigint")})
+        else:
+            upper = held.withColumnRenamed("_cell", "_upper")
+            under = cells.withColumn("_upper", F.shiftright("_cell", 16)).join(upper, [*keys, "_upper"])
+            counted = under.groupBy(*keys, "_upper", "_rows", "_start", "_cell").agg(F.count(F.lit(1)).alias("_count"), F.min("_value").alias("_value"))
+            earlier = Window.partitionBy(*keys, "_upper").orderBy("_cell")
+        before = F.col("_start") + F.coalesce(F.sum("_count").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = counted.withColumn("_before", before).where(wanted)
+        if step == _DIGITS - 1:
+            break
+        held = cut_lineage(found.select(*keys, "_rows", "_cell", F.col("_before").alias("_start")))
     picks = [
         F.min(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_count")), F.col("_value"))).alias(f"_r{i}")
         for i, r in enumerate(ranks)
     ]
-    picked = ranked.groupBy(*keys, "_rows").agg(*picks)
-    rows = []
+    picked = found.groupBy(*keys, "_rows").agg(*picks)
+    out = []
     for i, p in enumerate(probabilities):
         at = (F.col("_rows") - 1) * F.lit(p)
         low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        rows.append(F.struct(F.lit(p).alias("probability"), (low + (high - low) * (at - F.floor(at))).alias("quantile")))
-    return picked.select(*group, F.inline(F.array(*rows)))
+        out.append(F.struct(F.lit(p).alias("probability"), (low + (high - low) * (at - F.floor(at))).alias("quantile")))
+    return picked.select(*group, F.inline(F.array(*out)))
 
 
 def quantile_columns(

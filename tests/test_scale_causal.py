@@ -33,6 +33,32 @@ def test_hash_positions_are_the_sorted_hash_order(spark):
 PROBS = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 
 
+def test_ordered_bits_are_the_binary_form(spark):
+    import struct
+
+    rng = np.random.default_rng(8)
+    values = [0.0, -0.0, 1.0, -1.0, 2.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1023, np.nextafter(2.0**-1022, 0), 1.7976931348623157e308,
+              float("inf"), float("-inf"), 0.1, 1 / 3, np.nextafter(8.0, 0), np.nextafter(8.0, 9), 1e18, 123456.789]
+    values += rng.integers(0, 2**63, 500, dtype=np.uint64).view(np.float64).tolist()
+    values = [v for v in map(float, values) if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", scale.ordered_bits(F.col("v")).alias("b")).collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.b == (-bits if r.v < 0 else bits), r.v
+    top = spark.sql("select double('nan') v").select(scale.ordered_bits(F.col("v")).alias("b")).first().b
+    assert top > 2047 << 52
+
+
+def test_quantiles_of_values_far_apart(spark):
+    """Nearly all values share one slice of the range; no window holds more than one digit's."""
+    rng = np.random.default_rng(3)
+    values = [*rng.random(3000) * 1e6, 1e18, -1e300, 5e-324, 0.0, -0.0, *([7.25] * 500)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = [r.quantile for r in scale.exact_quantiles(df, [], "v", PROBS).orderBy("probability").collect()]
+    assert got == pytest.approx([np.quantile(values, p) for p in sorted(PROBS)], rel=1e-12, abs=1e-12)
+    assert scale.exact_quantiles(df.limit(0), [], "v", PROBS).count() == 0
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(5)
     values = np.concatenate([rng.lognormal(0, 2, 9000), np.full(6000, 1.5), rng.normal(1.5, 1e-9, 3000)])
