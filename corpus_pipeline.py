@@ -35,9 +35,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a smaller document holds; n_chars follows the text."""
+    """Documents without the lines that a smaller document holds; n_chars follows the text.
+
+    A document that loses lines and has no word left goes: all its lines live on in smaller
+    documents, as those of an exact copy do.  One that was blank before stays as it was.
+    """
     with scratch_of(prepared(spark), "corpus pipeline"):
         kept = line_index.without_repeated_lines(docs, n_lines="lines_", n_dropped="dropped_")
+        kept = kept.where((F.col("dropped_") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
         return kept.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
