@@ -1,6 +1,6 @@
 import os
 
-from llm_cases import jaccard_components, kept_lines
+from llm_cases import ascii_words, jaccard_components, kept_lines
 
 import corpus_pipeline
 from stayline.llm import fertility
@@ -23,12 +23,29 @@ def test_stages_follow_each_other(session):
     good = {r.doc_id for r in fertility.judged(table(session, SMALL, "documents")).where("kept").collect()}
     assert rules == {i: texts[i] for i in good}
     assert set(graded) < set(rules)
-    assert lined == {i: t for i, (_, _, t) in kept_lines(graded).items()}
+    assert lined == {i: t for i, (_, n, t) in kept_lines(graded).items() if not n or ascii_words(t)}
     _, reach = jaccard_components(lined, 5, 80)
     assert unique == {i: t for i, t in lined.items() if reach[i] == i}
     assert {r.doc_id for r in packed} == set(unique)
 
 
+def test_copies_leave_no_empty_documents(session):
+    """Exact copies and documents made of others' lines go; what was blank before stays."""
+    a = "\n".join(f"the {w} line of the first document" for w in ("one", "two", "three"))
+    b = "\n".join(f"the {w} line of the second document" for w in ("four", "five", "six"))
+    mixed = a.split("\n")[1] + "\n \n" + b.split("\n")[2]
+    rows = [(1, a), (2, b), (3, a), (4, a.upper()), (5, mixed), (6, mixed + "\nand a line of its own here"), (7, ""), (8, None), (9, " \n\t"), (10, b + "\n")]
+    docs = session.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lined = session.createDataFrame(corpus_pipeline.line_dedup(session, docs, SMALL).toArrow())
+    assert {r.doc_id: r.text for r in lined.collect()} == {1: a, 2: b, 6: " \nand a line of its own here", 7: "", 8: "", 9: " \n\t"}
+    packed = corpus_pipeline.best_fit_packing(session, lined, SMALL).collect()
+    assert {r.doc_id for r in packed if r.length == 1} == {7, 8}
+
+
+def test_no_piece_is_an_end_token_alone(session):
+    assert corpus_pipeline.run(session, SMALL).where("length = 1").count() == 0
+
+
 def test_empty_documents(session):
     docs = table(session, SMALL, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
