@@ -120,10 +120,11 @@ def windowed_signals(
         aggregates.append(
             F.min_by(_payload(first.payload), F.when(F.col(f"_is_{first.count_name}"), rank)).alias(f"_first{i}")
         )
-    found = matched.groupBy(stay).agg(*aggregates)
+    # a stay has one set of keys: grouped by both, rows stay where the join has put them
+    found = matched.groupBy(stay, *[k for k in keys if k != stay]).agg(*aggregates)
     for i, first in enumerate(firsts):
         found = found.withColumns({name: F.col(f"_first{i}.{name}") for name in first.payload}).drop(f"_first{i}")
-    return found
+    return found.drop(*[k for k in keys if k != stay])
 
 
 def first_match(

@@ -306,9 +306,12 @@ REQUIRED_COLUMNS = {
     "procedureevents": ("stay_id", "starttime", "itemid"),
 }
 NOTE_REQUIRED = ("subject_id", "hadm_id", "charttime", "text")
-# clustering of the silver files: join keys and sort columns
+# clustering of the silver files: bucket keys and sort columns
 SILVER_LAYOUT = {
-    "labevents": (("subject_id", "hadm_id"), ("itemid", "charttime")),
+    "prescriptions": (("subject_id",), ("starttime",)),
+    "labevents": (("subject_id",), ("itemid", "charttime")),
+    "microbiologyevents": (("subject_id",), ("charttime",)),
+    "emar": (("subject_id",), ("charttime",)),
     "chartevents": (("stay_id",), ("itemid", "charttime")),
     "inputevents": (("stay_id",), ("itemid",)),
     "procedureevents": (("stay_id",), ("itemid",)),

@@ -6,6 +6,8 @@ write at a stage boundary is up to the caller (``stayline.sources.sinks``).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayline.functions.text import code_root, contains_any, first_label, included, lowered, matches
@@ -35,20 +37,56 @@ def raw_tables(spark: SparkSession, root: str, names=None) -> Tables:
     return out
 
 
-def to_silver(tables: Tables, folder: str) -> None:
-    """Convert once: a gzip file is one task, Parquet is splittable, typed and prunable."""
+def _silver_name(folder: str, name: str) -> str:
+    return f"silver_{hashlib.md5(folder.encode()).hexdigest()[:12]}_{name}"
+
+
+def to_silver(tables: Tables, folder: str, *, buckets: int | None = None) -> None:
+    """Convert once: a gzip file is one task, Parquet is splittable, typed and prunable.
+
+    Event tables become bucketed tables (by default as many buckets as the session has
+    shuffle partitions), so the stages join and aggregate them where they lie.  A table with
+    a key too large for one bucket is clustered by key without buckets instead, which adaptive
+    execution can split; other tables are plain.  The layout is kept beside the files.
+    """
+    layouts = []
     for name, df in tables.items():
         keys, order = fv.SILVER_LAYOUT.get(name, (("subject_id",), ()))
         keys = [k for k in keys if k in df.columns]
-        if keys:
+        n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if name in fv.SILVER_LAYOUT and keys and sinks.even_over(df, keys, n):
+            sinks.to_buckets(df, _silver_name(folder, name), f"{folder}/{name}", keys, list(order), n)
+            layouts.append((name, keys, [*keys, *order], n))
+        elif keys:
             sinks.to_silver(df, f"{folder}/{name}", keys, list(order))
         else:
             sinks.write_parquet(df, f"{folder}/{name}")
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        schema = "name string, keys array<string>, sort array<string>, buckets int"
+        sinks.write_json(spark.createDataFrame(layouts, schema).coalesce(1), f"{folder}/layout")
 
 
 def silver_tables(spark: SparkSession, folder: str, names=None) -> Tables:
+    """The converted tables; bucketed ones are made known to the session's catalog first."""
     configure(spark)
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in names or fv.RAW_FILES}
+    # a bucket key is part of the join key: the other side is dealt by that part, too
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    layouts = {r["name"]: r for r in spark.read.schema("name string, keys array<string>, sort array<string>, buckets int").json(f"{folder}/layout").collect()}
+    out = {}
+    for name in names or fv.RAW_FILES:
+        files = spark.read.parquet(f"{folder}/{name}")
+        if name in layouts:
+            table, layout = _silver_name(folder, name), layouts[name]
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+            quoted = {k: ", ".join(f"`{c}`" for c in layout[k]) for k in ("keys", "sort")}
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet LOCATION '{folder}/{name}' "
+                f"CLUSTERED BY ({quoted['keys']}) SORTED BY ({quoted['sort']}) INTO {layout['buckets']} BUCKETS"
+            )
+            files = spark.table(table)
+        out[name] = files
+    return out
 
 
 # ------------------------------------------------------------------------------- cohort

@@ -22,6 +22,24 @@ def to_silver(df: DataFrame, path: str, keys: Sequence[str], sort: Sequence[str]
     write_parquet(ordered, path)
 
 
+def even_over(df: DataFrame, keys: Sequence[str], buckets: int) -> bool:
+    """Whether no key has more rows than an average bucket: one bucket is one task's work."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    rows, most = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    return not rows or most <= max(rows / buckets, 1)
+
+
+def to_buckets(df: DataFrame, name: str, path: str, keys: Sequence[str], sort: Sequence[str], buckets: int) -> None:
+    """Write a typed table as the bucketed table ``name`` with its files under ``path``.
+
+    Rows are dealt by the buckets' own hash first, so every bucket is one file.  Joins and
+    aggregations on the keys then need no shuffle of this table.
+    """
+    spread = df.repartition(buckets, *keys)
+    writer = spread.write.mode("overwrite").format("parquet").option("path", path).option("compression", "zstd")
+    writer.bucketBy(buckets, *keys).sortBy(*keys, *sort).saveAsTable(name)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 

@@ -1,6 +1,7 @@
 """All stages on invented tables, from gzip CSV to the robustness summary."""
 
 import json
+import re
 from datetime import timedelta
 
 import pytest
@@ -232,3 +233,48 @@ def test_files_round_trip(spark, world, analysed):
     assert [r["predictor_name"] for r in records(specs)] == ["gold", "x"]
     with pytest.raises(ck.ContractError):
         src.manifest_rows(spark, f"{world['root']}/manifest.json", "assignments")
+
+
+def between_scan_and_stay(df, table):
+    """The plan nodes between the scan of a silver table and the first grouping by stay."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    out = []
+    for at, line in enumerate(lines):
+        if "FileScan" in line and f"_{table}[" in line.replace(f"_{table} [", f"_{table}["):
+            own, level = [], depth[at]
+            for above in range(at, -1, -1):
+                if depth[above] < level or above == at:
+                    level = depth[above]
+                    own.append(lines[above])
+                    if re.search(r"Aggregate\(keys?=\[stay_id", lines[above]) and "functions=[partial_" not in lines[above]:
+                        break
+            out.append(own)
+    return out
+
+
+def test_events_stay_where_they_lie(spark, world):
+    """No exchange between an event scan and its signals, though the cohort is not broadcast."""
+    tables, cohorts = world["tables"], world["cohorts"]
+    merged = cohorts["cohort"].hint("merge")
+    rules = study.rule_signals(merged, tables, include_vitals=True)
+    for name in ("labevents", "microbiologyevents", "emar", "chartevents"):
+        paths = between_scan_and_stay(rules, name)
+        assert paths, name
+        for path in paths:
+            assert "Bucketed: true" in path[0] and any("Join" in line for line in path) and "Aggregate(key" in path[-1]
+            assert not any("Exchange" in line and "Broadcast" not in line for line in path), path
+    plain = {n: spark.read.parquet(f"{world['root']}/silver/{n}") for n in tables}
+    want = study.rule_signals(cohorts["cohort"], plain, include_vitals=True)
+    assert rules.exceptAll(want).isEmpty() and want.exceptAll(rules).isEmpty() and rules.count() > 100
+
+
+def test_a_hot_key_gets_no_bucket_of_its_own(spark, tmp_path):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("subject_id"), F.lit("IV").alias("route"))
+    even = spark.range(3000).select(F.col("id").alias("stay_id"), F.lit(1).alias("itemid"))
+    study.to_silver({"emar": rows.withColumn("charttime", F.lit("x")), "inputevents": even}, str(tmp_path), buckets=8)
+    out = study.silver_tables(spark, str(tmp_path), ["emar", "inputevents"])
+    plan = {n: df.select(df.columns)._jdf.queryExecution().executedPlan().toString() for n, df in out.items()}
+    assert out["emar"].count() == out["inputevents"].count() == 3000
+    assert "Bucketed: true" in out["inputevents"].groupBy("stay_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" not in plan["emar"]
