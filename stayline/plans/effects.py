@@ -139,7 +139,7 @@ def causal_stage(
 
     failures: dict[tuple[str, str], str] = {}
     hazard = ca.weighted_hazard_ratios(weighted, WEIGHTINGS, failures=failures)
-    for (dataset, weighting), why in failures.items():
+    for (dataset, weighting), why in sorted(failures.items(), reverse=True):  # the first by name stays
         status[dataset] = f"{weighting}: {why}"
     curves = ca.weighted_survival(weighted, weight="stabilized_weight_primary")
     summary = _summary(rows.sparkSession, weighted, hazard, sizes, status, kinds, severe_overlap_width)
