@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stayline.bindings import Bound, micros, rounded, table
 from stayline.bindings.effects import units
@@ -72,6 +72,46 @@ UNION ALL SELECT 'folders', 1, 1, 'note_tasks'
 UNION ALL SELECT 'manifest', count(DISTINCT r), count(DISTINCT r), max(r) FROM rv"""
 
 
+def array_outputs(spark, sf):
+    """Model outputs written as files of one JSON array each and read back in splits."""
+    path = f"{shared_folder(spark)}/stayline-arrays-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents")
+    found = F.struct((F.col("lang") == "en").alias("suspected_sepsis"), F.col("source").alias("infection_source"))
+    row = F.struct(F.col("doc_id").cast("string").alias("task_id"), F.col("text").alias("raw_response_text"), found.alias("normalized_extraction"))
+    file = F.pmod("doc_id", F.lit(16)).alias("file")
+    inside = Window.partitionBy("file").orderBy("doc_id")
+    lines = docs.select("doc_id", file, F.to_json(row).alias("row")).withColumns(
+        {"first": F.row_number().over(inside) == 1, "last": F.lead("doc_id").over(inside).isNull()}
+    )
+    line = F.concat(F.when(F.col("first"), "[").otherwise(","), "row", F.when(F.col("last"), "]").otherwise(""))
+    dealt = lines.select("file", "doc_id", line.alias("value")).repartition("file").sortWithinPartitions("file", "doc_id")
+    dealt.select("file", "value").write.partitionBy("file").text(path)
+    back = tables.model_outputs(spark, path, array=True)
+    return back.select(
+        "task_id", F.md5("raw_response_text").alias("text_md5"), F.col("normalized_extraction.suspected_sepsis").alias("suspected_sepsis"),
+        F.col("normalized_extraction.infection_source").alias("infection_source"),
+    )
+
+
+_SQL_ARRAY = """SELECT CAST(doc_id AS VARCHAR) AS task_id, md5(text) AS text_md5, lang = 'en' AS suspected_sepsis, source AS infection_source FROM documents"""
+
+
+def label_rows(spark, sf):
+    """Reviewer files read together: each row's place in its file."""
+    path = f"{shared_folder(spark)}/stayline-labels-{uuid.uuid4().hex}"
+    reviews = raw_reviews(spark, sf).withColumn("file", F.col("reviewer_id"))
+    sorted_rows = reviews.repartition("file").sortWithinPartitions("file", "task_id")
+    sorted_rows.write.partitionBy("file").option("header", True).option("escape", '"').csv(path)
+    back = tables.label_files(spark, [path], ("task_id", "reviewer_id", "annotation_status"))
+    return back.select("reviewer_id", "task_id", "row_number")
+
+
+_SQL_ROWS = """WITH lab AS (SELECT 'doc-' || d.doc_id AS task_id, quality = 1 AS good, toxic, lang, n_chars FROM labels JOIN documents d USING (doc_id)),
+rv AS (SELECT task_id, 'rev b' AS r FROM lab UNION ALL SELECT task_id, 'rev a' FROM lab WHERE n_chars > 700
+  UNION ALL SELECT task_id, 'rev c' FROM lab WHERE lang IN ('de', 'es') UNION ALL SELECT task_id, 'rev d' FROM lab WHERE lang = 'es' AND n_chars > 3000)
+SELECT r AS reviewer_id, task_id, 1 + row_number() OVER (PARTITION BY r ORDER BY task_id) AS row_number FROM rv"""
+
+
 def note_policy(spark, sf):
     """Documents of the one language domain that the policy approves."""
     docs = table(spark, sf, "documents")
@@ -190,6 +230,8 @@ t AS (SELECT stay_id, string_agg('[Note ' || rk || ']' || chr(10) || 'note_id: '
 SELECT 'stay-' || stay_id AS task_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS chars FROM t"""
 
 QUERIES = {
+    "array_outputs": Bound(array_outputs, _SQL_ARRAY),
+    "label_rows": Bound(label_rows, _SQL_ROWS),
     "artifact_files": Bound(artifact_files, _SQL_FILES),
     "note_policy": Bound(
         note_policy,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stayline.functions.text import lowered
 from stayline.operators.checks import ContractError, require_columns
+from stayline.session import cut_lineage
+from stayline.sources.arrays import json_array
 
 # The columns of the task and extraction files.
 TASK_SCHEMA = (
@@ -45,30 +47,52 @@ def note_table(spark: SparkSession, path: str, required: Iterable[str]) -> DataF
     return require_columns(spark.read.parquet(path), required, path)
 
 
-def task_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """Task bundles from JSON lines; blank lines are skipped."""
+def numbered(scan: DataFrame, number: str = "row_number", *, first: int = 1, path: str = "source_path") -> DataFrame:
+    """A file scan with each row's file and its number in that file.
+
+    Rows are counted per split of a file; running totals over the splits give each its first
+    number.  Inside a split rows are numbered as they are read, so nothing is sorted and only
+    one row per split is shuffled.
+    """
+    placed = scan.select(
+        "*", F.col("_metadata.file_path").alias(path), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    splits = placed.groupBy(path, "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(path).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(path, "_split", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    # written once, so Spark sees how few they are
+    joined = placed.join(cut_lineage(starts), [path, "_split"])
+    return joined.select(*scan.columns, path, (F.col("_at") + F.col("_shift") + first).alias(number))
+
+
+def task_bundles(spark: SparkSession, path: str, *, first: int | None = None) -> DataFrame:
+    """Task bundles from JSON lines; blank lines are skipped.
+
+    ``first`` keeps that many tasks, in the order of file names and lines.
+    """
     tasks = spark.read.schema(TASK_SCHEMA).option("mode", "FAILFAST").json(path)
-    return tasks.where(F.col("task_id").isNotNull())
+    if first is None:
+        return tasks.where(F.col("task_id").isNotNull())
+    lines = numbered(tasks).where(F.col("task_id").isNotNull())
+    return lines.orderBy("source_path", "row_number").limit(first).select(*tasks.columns)
 
 
 def model_outputs(spark: SparkSession, path: str | Sequence[str], *, array: bool = False) -> DataFrame:
     """Extraction rows, from JSON lines or (``array``) from files that hold one JSON array."""
-    reader = spark.read.schema(EXTRACTION_SCHEMA)
-    return (reader.option("multiLine", True) if array else reader).json(path)
+    if array:
+        return json_array(spark, path, EXTRACTION_SCHEMA)
+    return spark.read.schema(EXTRACTION_SCHEMA).json(path)
 
 
 def label_files(spark: SparkSession, paths: Sequence[str], required: Iterable[str]) -> DataFrame:
-    """Label CSVs read together, each row with the file it came from.
+    """Label CSVs read together, each row with the file it came from and its number there
+    (the header is row 1).
 
     The column order may differ between files, so files with different headers are read
     apart and united by name.
     """
-    frames = [
-        text_table(spark, path, required, multiline=True).withColumn(
-            "source_path", F.col("_metadata.file_path")
-        )
-        for path in paths
-    ]
+    frames = [numbered(text_table(spark, path, required, multiline=True), first=2) for path in paths]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)

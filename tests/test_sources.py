@@ -22,6 +22,54 @@ def test_model_outputs_as_array_and_lines(spark, tmp_path):
         assert got[1]["normalized_extraction"] is None
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_an_array_file_is_read_in_many_splits(spark, tmp_path, indent):
+    import random
+
+    rng = random.Random(2)
+    odd = ['{', '}', '"', "\\", '\\"', "},{", "[", "é", "\n", " plain text "]
+    rows = [{"task_id": f"t{i}", "raw_response_text": "".join(rng.choice(odd) for _ in range(rng.randrange(30))),
+             "normalized_extraction": {"suspected_sepsis": True, "infection_source": "}{"} if i % 3 else None} for i in range(3000)]
+    (tmp_path / "a.json").write_text(" " + json.dumps(rows, indent=indent) + "\n")
+    (tmp_path / "b.json").write_text("[]")
+    (tmp_path / "c.json").write_text(json.dumps([{"task_id": "last", "raw_response_text": "}"}]))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        scan = spark.read.option("lineSep", "}").text(str(tmp_path / "a.json"))
+        assert scan.rdd.getNumPartitions() > 10
+        got = src.model_outputs(spark, str(tmp_path), array=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert len(got) == 3001
+    texts = {r.task_id: r.raw_response_text for r in got}
+    assert texts == {r["task_id"]: r["raw_response_text"] for r in rows} | {"last": "}"}
+    assert sum(r.normalized_extraction is not None and r.normalized_extraction.infection_source == "}{" for r in got) == 2000
+    (tmp_path / "d.json").write_text('[{"task_id": "cut')
+    with pytest.raises(Exception):
+        src.model_outputs(spark, str(tmp_path / "d.json"), array=True).collect()
+
+
+def test_rows_are_numbered_per_file(spark, tmp_path):
+    for name, n in (("x", 5000), ("y", 1), ("z", 700)):
+        (tmp_path / f"{name}.csv").write_text("k,v\n" + "".join(f"{name}{i},{'w' * (i % 40)}\n" for i in range(n)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        scan = spark.read.option("header", True).csv(str(tmp_path))
+        assert scan.rdd.getNumPartitions() > 8
+        got = src.numbered(scan, first=2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert len(got) == 5701 and all(r.row_number == int(r.k[1:]) + 2 and r.source_path.endswith(f"{r.k[0]}.csv") for r in got)
+
+
+def test_first_tasks_in_file_order(spark, tmp_path):
+    for name, ids in (("a", (5, 3)), ("b", (1, 2))):
+        (tmp_path / f"{name}.jsonl").write_text("\n\n".join(json.dumps({"task_id": f"t{i}"}) for i in ids))
+    assert {r.task_id for r in src.task_bundles(spark, str(tmp_path), first=3).collect()} == {"t5", "t3", "t1"}
+
+
 def test_task_bundles_and_blank_lines(spark, tmp_path):
     lines = [json.dumps({"task_id": f"t{i}", "notes": [{"note_id": "n", "charttime": None, "text": "x"}]}) for i in (3, 1, 2)]
     (tmp_path / "t.jsonl").write_text("\n\n".join(lines))
@@ -33,6 +81,7 @@ def test_label_files_with_different_columns(spark, tmp_path):
     (tmp_path / "b.csv").write_text("reviewer_id,task_id,extra\nq,2,x\n")
     got = records(src.label_files(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], ["task_id", "reviewer_id"]), "task_id")
     assert got[0]["evidence_span"] == 'two\nlines, "quoted"' and got[0]["extra"] is None
+    assert got[0]["row_number"] == got[1]["row_number"] == 2
     assert got[1]["reviewer_id"] == "q" and got[1]["source_path"].endswith("b.csv")
     with pytest.raises(ContractError):
         src.text_table(spark, str(tmp_path / "a.csv"), ["nope"])
