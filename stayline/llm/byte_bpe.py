@@ -371,7 +371,7 @@ def _through(docs, id_col, text_col, vocabulary, ranks, words, schema, columns)
 
     def work(it: Iterator[pa.RecordBatch]):
         bpe = once(
-            ("byte_bpe", vocabulary, key),
+            ("byte_bpe", vocabulary, ranks, key),
             lambda: ByteBpe(
                 public_tokenizers.path(vocabulary), Lexicon.mapped(shared.value), ranks and public_tokenizers.path(ranks)
             ),

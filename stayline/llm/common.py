@@ -63,6 +63,13 @@ def scratch_of(spark: SparkSession, owner: str) -> Iterator[None]:
         _OWNER.pop()
 
 
+def require_free(df: DataFrame, *names: str) -> None:
+    """Stop before any job where a result column has the name of a column that stays."""
+    held = {c.lower() for c in df.columns}
+    if taken := [n for n in names if n.lower() in held]:
+        raise ValueError(f"columns exist already, choose other names or rename them: {', '.join(taken)}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a lost executor then
     costs a re-read.  Column pruning and filters still reach the files."""

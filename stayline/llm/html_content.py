@@ -86,6 +86,9 @@ class Lines(HTMLParser):
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self._open = [_Open("", 0, False, None)]
+        # places in the open stack, by tag and of all blocks: no end tag scans the stack
+        self._places: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
         self.parents = [0]
         self._texts: list[str] = []
         self._tags = self._made = 0
@@ -117,14 +120,12 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag not in INLINE:
             self._flush()
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at].tag == tag:
-                if any(o.skipped for o in self._open[at:]) or tag not in INLINE:
-                    self._flush()
-                del self._open[at:]
-                return
-            if tag in INLINE and self._open[at].tag not in INLINE:
-                return  # an inline end tag closes nothing beyond its block
+        places = self._places.get(tag)
+        if not places or tag in INLINE and self._blocks and self._blocks[-1] > places[-1]:
+            return  # not open, or an inline end tag beyond its block
+        if any(o.skipped for o in self._open[places[-1] :]) or tag not in INLINE:
+            self._flush()
+        self._cut(places[-1])
 
     def handle_data(self, data):
         if not self._open[-1].skipped:
@@ -143,16 +144,22 @@ class Lines(HTMLParser):
         article = top.article if top.article is not None else self._made if tag in ARTICLES else None
         self.parents.append(top.block)
         block = top.block if tag in INLINE or tag in _LEAVES else self._made
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag not in INLINE:
+            self._blocks.append(len(self._open))
         self._open.append(_Open(tag, self._made, skipped, article, block, top.code or tag in ("pre", "code")))
 
+    def _cut(self, at):
+        for gone in self._open[at:]:
+            self._places[gone.tag].pop()
+            if gone.tag not in INLINE:
+                self._blocks.pop()
+        del self._open[at:]
+
     def _close_open(self, tag):
         """A paragraph, item or cell ends the one before it in the same container."""
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at].tag == tag:
-                del self._open[at:]
-                return
-            if self._open[at].tag not in INLINE:
-                return
+        if self._blocks and self._open[self._blocks[-1]].tag == tag:
+            self._cut(self._blocks[-1])
 
     def _flush(self):
         if text := " ".join("".join(self._texts).split()):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.common import BLANKS, arrow_schema, batches, record_batch, written
+from stayline.llm.common import BLANKS, arrow_schema, batches, record_batch, require_free, written
 
 _NO_ID = (1 << 63) - 1
 _KEYS_A_BLOCK = 100_000
@@ -246,6 +246,7 @@ def without_repeated_lines(
     Rows of equal ids are one document; rows without an id are one document after all
     others.  An empty table gives an empty result.
     """
+    require_free(docs, n_lines, n_dropped)
     blocks = written(line_blocks(docs, id_col, text_col, least), "line-blocks")
     index = written(line_index(blocks), "line-index")
     lost = probed(blocks, index).groupBy("id").agg(F.collect_set("key").alias("lost"))

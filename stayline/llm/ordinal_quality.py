@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.common import Memo, arrow_schema, batches, once, record_batch
+from stayline.llm.common import Memo, arrow_schema, batches, once, record_batch, require_free
 
 _EDGES = ".,;:!?\"'()[]{}«»„“”…"
 _LOWER, _UPPER, _DIGIT, _RUN = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
@@ -170,6 +170,7 @@ def scored(
     empty texts are scored like any text without words.  Without a model nothing is known:
     the two numbers are null and every row is kept.
     """
+    require_free(docs, expected, tail, kept)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: features of many texts
     name = uuid.uuid4().hex
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.common import arrow_schema, batches, once, record_batch, written
+from stayline.llm.common import arrow_schema, batches, once, record_batch, require_free, written
 
 #: The two libraries are known to agree on these characters; texts with others take the slower one.
 _COMMON = re.compile("[^\x00-\uffff]")
@@ -75,7 +75,7 @@ def token_pieces(
 
     def work(it: Iterator[pa.RecordBatch]):
         encoder = once(
-            ("text_ids", vocabulary),
+            ("text_ids", vocabulary, ranks),
             lambda: TextIds(public_tokenizers.path(vocabulary), ranks and public_tokenizers.path(ranks)),
         )
         for batch in it:
@@ -145,6 +145,7 @@ def packed(
     a repeated task packs them the same way.  An empty table gives an empty result; columns
     of the two new names must not exist.
     """
+    require_free(pieces, "sequence_id", "offset")
     tasks = max(1, math.ceil(pieces.count() / per_task))
     spread = F.xxhash64(*pieces.columns)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"

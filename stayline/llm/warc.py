@@ -62,19 +62,22 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page_id: int | None, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{copy}')}>"
+def _record_id(page_id: int | None, payload_digest: str, copy: int | str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{payload_digest}/{copy}')}>"
 
 
-def record_bytes(page: Page, date: str, copy: int = 0) -> bytes:
-    """A whole record: header, block and the two closing line ends."""
+def record_bytes(page: Page, date: str, copy: int | str = 0) -> bytes:
+    """A whole record: header, block and the two closing line ends.
+
+    ``copy`` tells records of one page and payload apart; a revisit refers to copy 0.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {page.payload_bytes}\r\n\r\n"
     revisit = page.record_type == "revisit"
     block = http.encode() + (b"" if revisit else page.payload)
     head = [
         VERSION,
         f"WARC-Type: {page.record_type}",
-        f"WARC-Record-ID: {_record_id(page.page_id, copy)}",
+        f"WARC-Record-ID: {_record_id(page.page_id, page.payload_digest, copy)}",
         f"WARC-Date: {date}",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{page.payload_digest}",
@@ -85,7 +88,7 @@ def record_bytes(page: Page, date: str, copy: int = 0) -> bytes:
     if page.page_id is not None:
         head.append(f"X-Page-ID: {page.page_id}")
     if revisit:
-        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {_record_id(page.refers_to, 0)}", f"X-Refers-To-Page: {page.refers_to}"]
+        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {_record_id(page.refers_to, page.payload_digest, 0)}", f"X-Refers-To-Page: {page.refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -213,12 +216,14 @@ def write_archives(
         narrow.join(first_of_equal_payloads(narrow, "id", "sha"), "sha").where("id > first")
         .select(F.col("id").alias("again"), F.col("sha").alias("again_sha"), "first").distinct()
     )
-    # ids are as good as unique, so the wide rows have no hot key
-    wide = plain.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
+    # ids are as good as unique, so the wide rows have no hot key; records of one id and payload
+    # meet in one task, which numbers them, and rows without an id go anywhere
+    apart = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    wide = plain.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).repartition("id", "sha", apart)
     rows = wide.join(revisits, (wide.id == revisits.again) & (wide.sha == revisits.again_sha), "left").select("id", "url", "html", "first")
 
     def work(it: Iterator[pa.RecordBatch]):
-        task, counter = TaskContext.get(), [0]
+        task, counter, copies = TaskContext.get(), [0], {}
 
         def records():
             for batch in it:
@@ -226,7 +231,12 @@ def write_archives(
                     payload = html.encode()
                     page = Page(page_id, url, payload, len(payload), digest(payload), "response" if first is None else "revisit", first)
                     counter[0] += 1
-                    yield record_bytes(page, date)
+                    if page_id is None:
+                        copy = f"{task.partitionId()}-{counter[0]}"
+                    else:
+                        key = page_id, page.payload_digest
+                        copy = copies[key] = copies.get(key, -1) + 1
+                    yield record_bytes(page, date, copy)
 
         store, base = fs.FileSystem.from_uri(address)
         store.create_dir(base, recursive=True)

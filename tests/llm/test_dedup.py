@@ -164,3 +164,17 @@ def test_estimates_are_unbiased_and_bounded():
     assert np.allclose(np.diag(estimates), 1, atol=1e-4)
     true = units @ units.T >= 0.3
     assert rotation_codes.possible(signs, factors, turned, 0.3)[true].all()
+
+
+def test_clashing_names_stop_before_any_job(session):
+    from stayline.llm import ordinal_quality, packing
+
+    docs = session.createDataFrame([(1, "a line")], "doc_id long, text string")
+    for names, run in (
+        (("n_lines", "N_Dropped"), line_index.without_repeated_lines),
+        (("offset", "sequence_id"), lambda df: packing.packed(df.withColumn("length", df.doc_id))),
+        (("kept", "expected_grade"), lambda df: ordinal_quality.scored(df, None)),
+    ):
+        for name in names:
+            with pytest.raises(ValueError, match="columns exist already"):
+                run(docs.withColumn(name, docs.doc_id))

@@ -168,8 +168,36 @@ def test_without_an_article_all_lines_of_the_container_stay():
     assert html_content.main_text(deep).count("x") == 30_000
 
 
+def test_stray_end_tags_take_no_time():
+    import time
+
+    started = time.perf_counter()
+    for page in ("<div></p>" * 60_000, "<u><div>" + "<b></u>" * 60_000, "<b>" * 30_000 + "<li></li>" * 30_000, "<p><b></p>" * 30_000):
+        html_content.main_text(page + "word")
+    assert time.perf_counter() - started < 60  # hours where every end tag scans the open stack
+    assert html_content.main_text("<p>a<b>b</p>c</b>d</u><i>e</p>") == "ab cde"
+
+
 def test_odd_pages():
     assert html_content.main_text("plain text") == "plain text" and html_content.main_text("<article></article>") == ""
     assert html_content.main_text("<p>a<b>b</b>c<p>d<i>e") == "abc de"
     assert html_content.main_text("<ul><li>one<li>two</ul>") == "one two"
     assert html_content.main_text("&lt;p&gt; &#233;&eacute;") == "<p> éé"
+
+
+def test_record_ids_are_unique_and_revisits_find_their_target(session):
+    from pyarrow import fs
+
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (None, "w", "same"), (None, "w", "same"), (3, "x", "own"), (1, "u", "other")]
+    manifest = warc.write_archives(session.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    ids, refers, first = [], set(), set()
+    for r in manifest.collect():
+        store, path = fs.FileSystem.from_uri(r.archive)
+        with store.open_input_stream(path, compression=None) as stream:
+            for raw in warc.archive_records(stream):
+                head = dict(line.split(": ", 1) for line in raw.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+                ids.append(head["WARC-Record-ID"])
+                refers |= {head["WARC-Refers-To"]} if "WARC-Refers-To" in head else set()
+                if head.get("X-Page-ID") == "1" and head["WARC-Type"] == "response" and head["WARC-Payload-Digest"].endswith(warc.digest(b"same")):
+                    first.add(head["WARC-Record-ID"])
+    assert len(ids) == len(set(ids)) == len(rows) and len(first) == 2 and len(refers) == 1 and refers < first
