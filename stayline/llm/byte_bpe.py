@@ -8,14 +8,14 @@ worker maps it into memory and walks it byte by byte.  Words it does not hold ar
 exactly, pair of lowest rank first.  The lexicon only saves time: its size is a parameter
 and never changes a result.
 
-Texts are cut at every single blank before a non-blank and at every single line end, where
-the pre-tokenizer always starts a new token, so equal words are encoded once per worker
+Texts are cut where the pre-tokenizer always starts a new token: where white space begins,
+and before the last character of longer white space.  So every text, however it is spaced,
+goes through the automaton word by word, and equal words are encoded once per worker
 generation.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import mmap
@@ -32,11 +32,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.common import Memo, batches, once
+from stayline.llm.common import Memo, batches, once, written
 
-#: White space beyond ASCII's; a text that holds any is pre-tokenized whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_DOUBLE = (*(" " + c for c in " \n\t\r\x0b\x0c"), "\n\n", "\t\n", "\r\n", "\x0b\n", "\x0c\n", "\n\t", "\n\r", "\n\x0b", "\n\x0c")
+#: White space as the pre-tokenizer knows it.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_SPACE}]+")
+#: White space other than single blanks and line ends between words.
+_UNEVEN = re.compile(f"[{_SPACE}]{{2,}}|[^\\S \\n]|^[{_SPACE}]|[{_SPACE}]\\Z")
+#: White space to some libraries only; a text that holds any is pre-tokenized whole.
+_DISPUTED = re.compile("[\x1c-\x1f]")
 #: From here on, the letters that the tokenizers library knows differ from those of ``regex``.
 _UNSURE = re.compile("[^\x00-\u0557]")
 _FLUSH = 200_000
@@ -142,12 +146,12 @@ class Lexicon:
 class ByteBpe:
     """Encoding and decoding with a byte-level BPE vocabulary file of the tokenizers library.
 
-    Words that the lexicon does not hold are merged exactly, pair of lowest rank first: by
-    tiktoken if the vocabulary is also there as ranks, else (and for letters that libraries
-    may class differently) by the merges here, on the tokenizers library's pre-tokens.
+    Words that the lexicon does not hold are merged exactly, pair of lowest rank first; where
+    they hold letters that libraries may class differently, on the tokenizers library's
+    pre-tokens.
     """
 
-    def __init__(self, file: str, lexicon: Lexicon | None = None, rank_file: str | None = None):
+    def __init__(self, file: str, lexicon: Lexicon | None = None):
         from tokenizers import Tokenizer
 
         with open(file, encoding="utf-8") as f:
@@ -173,16 +177,9 @@ class ByteBpe:
         self.pieces = [b""] * size
         for token, i in [*vocabulary.items(), *self.special.items()]:
             self.pieces[i] = bytes(self.byte_of[c] for c in token) if all(c in self.byte_of for c in token) else token.encode()
-        self.lexicon, self.ranked = lexicon, None
-        if rank_file is not None:
-            import tiktoken
-
-            with open(rank_file, "rb") as f:
-                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            self.ranked = tiktoken.Encoding(
-                rank_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-            )
+        self.lexicon = lexicon
         self._words = Memo(self._word, 600_000)
+        self._others = Memo(self._run, 50_000)
         self._tokens = Memo(self._token, 300_000)
         self._segments = Memo(self._segment, 200_000)
 
@@ -202,22 +199,19 @@ class ByteBpe:
         return b"".join([pieces[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
     def _plain(self, text: str) -> bytes:
-        if uneven(text):
-            return self._exact(text)
-        first, *rest = words_of(text)
-        return b"".join([self._exact(first), *map(self._words.__getitem__, rest)])
+        if _DISPUTED.search(text):
+            return self._run(text)
+        if not _UNEVEN.search(text):
+            first, *rest = words_of(text)
+            return b"".join([self._others[first], *map(self._words.__getitem__, rest)])
+        words, others = self._words, self._others
+        return b"".join([words[key] if key is not None else others[unit] for unit, key in units_of(text)])
 
     def _word(self, word: str) -> bytes:
         text = word if word[:1] == "\n" else " " + word
         if self.lexicon is not None and (found := self.lexicon.find(text.encode())) is not None:
             return found
-        return self._exact(text)
-
-    def _exact(self, text: str) -> bytes:
-        """Pre-tokens and merges without the lexicon."""
-        if self.ranked is None or _UNSURE.search(text):
-            return self._run(text)
-        return np.array(self.ranked.encode_ordinary(text), dtype="<u4").tobytes()
+        return self._run(text)
 
     def _run(self, text: str) -> bytes:
         return b"".join(map(self._tokens.__getitem__, self.pre_tokens(text)))
@@ -278,9 +272,27 @@ class ByteBpe:
         return [s for s in symbols if s]
 
 
-def uneven(text: str) -> bool:
-    """Whether white space other than single blanks and line ends between words occurs."""
-    return text[0] == " " or text[-1] in " \n" or any(d in text for d in _DOUBLE) or bool(_ODD_SPACE.search(text))
+def units_of(text: str) -> Iterator[tuple[str, str | None]]:
+    """The units of any text, each beginning where a pre-token begins: words with the white
+    space before them, longer white space but for its last character, white space at the end.
+    Beside each its key among the words (as in ``words_of``), None if it is none."""
+    at = 0
+    for run in _RUN.finditer(text):
+        start, end = run.span()
+        if start > at:
+            yield text[at:start], _key(text[at:start])
+        if end == len(text):
+            yield text[start:], None
+            return
+        if end - start > 1:
+            yield text[start : end - 1], None
+        at = end - 1
+    if at < len(text):
+        yield text[at:], _key(text[at:])
+
+
+def _key(unit: str) -> str | None:
+    return unit[1:] if unit[0] == " " else unit if unit[0] == "\n" else None
 
 
 def words_of(text: str) -> list[str]:
@@ -304,7 +316,8 @@ def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         for batch in it:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(w for w in words_of(text) if len(w) <= 64)
+                    words = words_of(text)[1:] if not _UNEVEN.search(text) else (k for _, k in units_of(text) if k)
+                    counts.update(w for w in words if len(w) <= 64)
                 if len(counts) >= _FLUSH:
                     yield {"word": list(counts), "n": list(counts.values())}
                     counts.clear()
@@ -314,26 +327,31 @@ def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(
-    docs: DataFrame, *, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json",
-    ranks: str | None = "byte_bpe_50k.tiktoken", words: int = 200_000,
+    docs: DataFrame, *, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", words: int = 200_000,
 ) -> bytes:
-    """The automaton image of the ``words`` most frequent words (at most; ties by text).
+    """The automaton image of the most frequent words, at most ``words`` of them.
 
-    The counts are over all texts; only this bounded list reaches the driver.  Words of more
-    than 64 characters are never listed.
+    The counts are over all texts.  How many words have which count gives the least count
+    whose words still fit; all words with that count or more are taken, so no task sorts
+    words and only this bounded list reaches the driver.  Words of more than 64 characters
+    are never listed.
     """
-    top = (
-        word_counts(docs, text_col=text_col).where("word != ''")
-        .orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()["word"].to_pylist()
-    )
-    bpe = ByteBpe(public_tokenizers.path(vocabulary), rank_file=ranks and public_tokenizers.path(ranks))
+    counts = written(word_counts(docs, text_col=text_col).where("word != ''"), "word-counts")
+    classes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("n")).limit(words).collect()
+    least, room = None, words
+    for r in classes:
+        if (room := room - r["size"]) < 0:
+            break
+        least = r["n"]
+    top = counts.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist() if least else []
+    bpe = ByteBpe(public_tokenizers.path(vocabulary))
     texts = [w if w[0] == "\n" else " " + w for w in top]
     return Lexicon.compiled({t.encode(): np.frombuffer(bpe.encode(t), "<u4").tolist() for t in texts})
 
 
 def encoded(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", words: int = 200_000,
+    vocabulary: str = "byte_bpe_50k.json", words: int = 200_000,
 ) -> DataFrame:
     """Per row: ``id_col``, ids (array of long), decoded (string).
 
@@ -344,12 +362,12 @@ def encoded(
     def columns(ids: list[bytes], bpe: ByteBpe) -> dict:
         return {"ids": [np.frombuffer(x, "<u4").tolist() for x in ids], "decoded": list(map(bpe.decode, ids))}
 
-    return _through(docs, id_col, text_col, vocabulary, ranks, words, "ids array<long>, decoded string", columns)
+    return _through(docs, id_col, text_col, vocabulary, words, "ids array<long>, decoded string", columns)
 
 
 def encoding_digests(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", words: int = 200_000,
+    vocabulary: str = "byte_bpe_50k.json", words: int = 200_000,
 ) -> DataFrame:
     """As ``encoded``, but n_tokens and the SHA-256 of the ids (little-endian unsigned 4-byte
     integers) and of the decoded text instead of both."""
@@ -361,20 +379,18 @@ def encoding_digests(
             "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
         }
 
-    return _through(docs, id_col, text_col, vocabulary, ranks, words, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    return _through(docs, id_col, text_col, vocabulary, words, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
 
 
-def _through(docs, id_col, text_col, vocabulary, ranks, words, schema, columns) -> DataFrame:
-    image = build_lexicon(docs, text_col=text_col, vocabulary=vocabulary, ranks=ranks, words=words)
+def _through(docs, id_col, text_col, vocabulary, words, schema, columns) -> DataFrame:
+    image = build_lexicon(docs, text_col=text_col, vocabulary=vocabulary, words=words)
     key = hashlib.sha256(image).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(image)  # bounded by ``words``
 
     def work(it: Iterator[pa.RecordBatch]):
         bpe = once(
-            ("byte_bpe", vocabulary, ranks, key),
-            lambda: ByteBpe(
-                public_tokenizers.path(vocabulary), Lexicon.mapped(shared.value), ranks and public_tokenizers.path(ranks)
-            ),
+            ("byte_bpe", vocabulary, key),
+            lambda: ByteBpe(public_tokenizers.path(vocabulary), Lexicon.mapped(shared.value)),
         )
         for batch in it:
             yield {id_col: batch.column(0)} | columns(list(map(bpe.encode, batch.column(1).to_pylist())), bpe)
