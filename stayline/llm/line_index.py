@@ -94,24 +94,26 @@ def _joined(h1: np.ndarray, h2: np.ndarray) -> bytes:
 
 
 def line_blocks(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """One row per block of documents: their ids, distinct keys per document, and the keys."""
+    """One row per block of documents: their ids, marks (hashes of the texts), distinct keys
+    per document, and the keys."""
 
     def work(it: Iterator[pa.RecordBatch]):
-        block, ids, sizes, keys = TaskContext.get().partitionId() << 32, [], [], []
+        block, ids, marks, sizes, keys = TaskContext.get().partitionId() << 32, [], [], [], []
         for batch in it:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                 own = {k for k in line_keys(text, least) if k}
                 ids.append(_NO_ID if doc is None else doc)
+                marks.append(mark)
                 sizes.append(len(own))
                 keys.extend(own)
                 if len(keys) >= _KEYS_A_BLOCK:
-                    yield {"block": [block], "ids": [ids], "sizes": [sizes], "keys": [b"".join(keys)]}
-                    block, ids, sizes, keys = block + 1, [], [], []
+                    yield {"block": [block], "ids": [ids], "marks": [marks], "sizes": [sizes], "keys": [b"".join(keys)]}
+                    block, ids, marks, sizes, keys = block + 1, [], [], [], []
         if ids:
-            yield {"block": [block], "ids": [ids], "sizes": [sizes], "keys": [b"".join(keys)]}
+            yield {"block": [block], "ids": [ids], "marks": [marks], "sizes": [sizes], "keys": [b"".join(keys)]}
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return batches(source, "block long, ids array<long>, sizes array<int>, keys binary", work)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    return batches(source, "block long, ids array<long>, marks array<long>, sizes array<int>, keys binary", work)
 
 
 def _distinct(ids: list[int], sizes: list[int], raw: bytes):
@@ -139,7 +141,7 @@ def line_index(blocks: DataFrame) -> DataFrame:
     shards = max(_LEAST_SHARDS, math.ceil(total / _KEYS_A_SHARD))
 
     def keys(it: Iterator[pa.RecordBatch]):
-        for _, ids, sizes, raw in _rows(it):
+        for _, ids, _, sizes, raw in _rows(it):
             h1, h2, low, _, n = _distinct(ids, sizes, raw)
             if len(h1):
                 yield {
@@ -173,12 +175,15 @@ def line_index(blocks: DataFrame) -> DataFrame:
 
 
 def probed(blocks: DataFrame, index: DataFrame) -> DataFrame:
-    """(id, key): the keys that each document loses, because a smaller document holds them."""
+    """(id, mark, key): the keys that each text loses, because a smaller document holds them.
+
+    Rows of one id share the decision on a key, but a text is told only of its own keys.
+    """
     shards = (index.agg(F.max("shards")).first()[0]) or _LEAST_SHARDS
     ask = arrow_schema("shard long, block long, keys binary, highs binary")
 
     def questions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, sizes, raw in _rows(it):
+        for block, ids, _, sizes, raw in _rows(it):
             h1, h2, _, high, _ = _distinct(ids, sizes, raw)
             shard = h1 % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
@@ -211,7 +216,7 @@ def probed(blocks: DataFrame, index: DataFrame) -> DataFrame:
         return pa.Table.from_batches([record_batch(out, told)])
 
     answers = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "block long, keys binary, lows binary")
-    lost = arrow_schema("id long, key binary")
+    lost = arrow_schema("id long, mark long, key binary")
 
     def decide(block: pa.Table, answers: pa.Table) -> pa.Table:
         first = {
@@ -219,18 +224,19 @@ def probed(blocks: DataFrame, index: DataFrame) -> DataFrame:
             for raw, lows in zip(answers["keys"].to_pylist(), answers["lows"].to_pylist())
             for i, low in zip(range(0, len(raw), 16), np.frombuffer(lows, "<i8").tolist())
         }
-        out: dict[str, list] = {"id": [], "key": []}
+        out: dict[str, list] = {"id": [], "mark": [], "key": []}
         for row in block.to_pylist() if first else []:
             at, raw = 0, row["keys"]
-            for doc, n in zip(row["ids"], row["sizes"]):
+            for doc, mark, n in zip(row["ids"], row["marks"], row["sizes"]):
                 for i in range(at, at + 16 * n, 16):
                     if first.get(raw[i : i + 16], doc) < doc:
                         out["id"].append(doc)
+                        out["mark"].append(mark)
                         out["key"].append(raw[i : i + 16])
                 at += 16 * n
         return pa.Table.from_batches([record_batch(out, lost)])
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(decide, "id long, key binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(decide, "id long, mark long, key binary")
 
 
 def without_repeated_lines(
@@ -244,16 +250,20 @@ def without_repeated_lines(
     counts of lines before and of dropped lines get the names given (other columns may not
     have them).  A null or empty text is one empty line and comes back as an empty text.
     Rows of equal ids are one document; rows without an id are one document after all
-    others.  An empty table gives an empty result.
+    others; the lost keys are gathered per id and text, never over all rows of an id.  An
+    empty table gives an empty result.
     """
     require_free(docs, n_lines, n_dropped)
     blocks = written(line_blocks(docs, id_col, text_col, least), "line-blocks")
     index = written(line_index(blocks), "line-index")
-    lost = probed(blocks, index).groupBy("id").agg(F.collect_set("key").alias("lost"))
+    lost = probed(blocks, index).groupBy("id", "mark").agg(F.collect_set("key").alias("lost"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    lost = lost.select(F.col("id").alias("lost_id"), "lost")
-    plain = docs.toDF(*names).withColumn("own_id", F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(_NO_ID)))
-    joined = plain.join(lost, plain.own_id == lost.lost_id, "left").select(*names, "lost")
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("mark").alias("lost_mark"), "lost")
+    plain = docs.toDF(*names).withColumns({
+        "own_id": F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(_NO_ID)),
+        "own_mark": F.xxhash64(names[docs.columns.index(text_col)]),
+    })
+    joined = plain.join(lost, (F.col("own_id") == F.col("lost_id")) & (F.col("own_mark") == F.col("lost_mark")), "left").select(*names, "lost")
     kinds = dict(docs.dtypes) | {text_col: "string"}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + f", `{n_lines}` long, `{n_dropped}` long"
     arrow, text_at = arrow_schema(schema), docs.columns.index(text_col)

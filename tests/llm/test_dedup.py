@@ -1,7 +1,11 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from llm_cases import EDGES, by_row, edge_docs, jaccard_components, kept_lines, near_copy_docs, smallest_reachable
 
+from pyspark.sql import functions as F
+
 from stayline.llm import bottom_k, line_index, rotation_codes
 from stayline.llm.components import components
 
@@ -83,6 +87,26 @@ def test_lines_edges(session):
     }
 
 
+def test_lines_of_many_rows_without_id_or_with_one_id(session):
+    # every text is told of its own keys only, whatever shares its id
+    texts = [f"line number {i} of this text\nshared by everything\nonly here {i % 7} and there" for i in range(300)]
+    rows = [(1, "\n".join(f"only here {i} and there" for i in range(5)))] + [(None, t) for t in texts] + [(9, t) for t in texts[:50]]
+    docs = session.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    first: dict[str, int] = {}
+    order = lambda doc: 1 << 62 if doc is None else doc
+    for doc, text in rows:
+        for line in text.split("\n"):
+            first[line] = min(first.get(line, 1 << 62), order(doc))
+    want = Counter()
+    for doc, text in rows:
+        kept = [x for x in text.split("\n") if first[x] == order(doc)]
+        want[(doc, len(text.split("\n")) - len(kept), "\n".join(kept))] += 1
+    assert by_row(line_index.without_repeated_lines(docs), "doc_id", "n_dropped", "text") == want
+    blocks = line_index.line_blocks(docs, "doc_id", "text", 10)
+    lost = line_index.probed(blocks, line_index.line_index(blocks)).groupBy("id", "mark").agg(F.count_distinct("key").alias("n"))
+    assert max(r.n for r in lost.collect()) <= 3
+
+
 def test_line_keys():
     keys = line_index.line_keys("ÄÖÜ  ABCDEFG \n\tÄÖÜ  abcdefg\nähnlich\n1234567890\n123456789", 10)
     assert keys[0] == keys[1] is not None and keys[2] is None and keys[3] is not None and keys[4] is None
