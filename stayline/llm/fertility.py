@@ -19,13 +19,15 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayline.llm.common import BLANKS, Memo, batches, once, written
 
 SYMBOLS = b"#*$%&|<>"
 _WINDOW = 8
 _MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+#: Cells a unit for the percentiles of a measure.
+_GRID = {"chars_per_token": 4096, "byte_share": 65_536, "token_entropy": 4096}
 _SCRIPTS = (
     "LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "BENGALI", "TAMIL", "TELUGU", "THAI", "CJK",
     "HIRAGANA", "KATAKANA", "HANGUL", "ARMENIAN", "GEORGIAN", "ETHIOPIC",
@@ -89,14 +91,43 @@ def shortest_half(percentiles: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(50)), half))
 
 
+def percentiles(rows: DataFrame, group: str, grid: dict[str, int | None]) -> DataFrame:
+    """Per group: 101 percentiles of each column of ``grid`` (an array under the column's name)
+    and rows_, the number of rows.
+
+    Values are counted in cells of 1/grid (None: 1/256 of a doubling) and a percentile is the
+    least value of the cell that holds its rank.  Counts and least values don't depend on the
+    order of rows or of partial results, so a repeated task gives the same bands.  A window
+    holds the cells of one column and group, whose number the measures' ranges bound.
+    """
+    cells = [
+        F.floor(F.col(c).cast("double") * n) if n else F.floor(F.log2(F.greatest(F.col(c), F.lit(1)).cast("double")) * 256)
+        for c, n in grid.items()
+    ]
+    columns = [F.struct(F.lit(c).alias("column"), cell.alias("cell"), F.col(c).cast("double").alias("value")) for c, cell in zip(grid, cells)]
+    counted = (
+        rows.select(group, F.inline(F.array(*columns))).where("value IS NOT NULL")
+        .groupBy(group, "column", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
+    )
+    whole = Window.partitionBy(group, "column")
+    summed = counted.withColumns({"upto": F.sum("n").over(whole.orderBy("cell")), "all": F.sum("n").over(whole)})
+    first, last = F.expr("(upto - n) * 100 div all + int(upto > n)"), F.expr("upto * 100 div all")
+    ranked = summed.where(first <= last).withColumn("at", F.explode(F.sequence(first, last)))
+    lists = [
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("at", "value")))), lambda x: x["value"]).alias(c)
+        for c in grid
+    ]
+    return ranked.groupBy(group).agg(*lists, F.max("all").alias("rows_"))
+
+
 def reference(passed: DataFrame) -> DataFrame:
     """One row per band of ``passed``: the shortest half of each measure, the median number
     of words and the number of rows.  Rows equal in all of these (copies) count once."""
-    found = passed.select("band", "n_words", *_MEASURES).distinct().groupBy("band").agg(
-        *[F.percentile_approx(m, [i / 100 for i in range(101)], 10_000).alias(m) for m in _MEASURES],
-        F.percentile_approx("n_words", 0.5, 10_000).alias("words_"), F.count(F.lit(1)).alias("rows_"),
+    found = percentiles(passed.select("band", "n_words", *_MEASURES).distinct(), "band", {"n_words": None} | _GRID)
+    return found.select(
+        "band", F.get("n_words", F.lit(50)).cast("long").alias("words_"), "rows_",
+        *[shortest_half(F.col(m)).alias(f"{m}_half") for m in _MEASURES],
     )
-    return found.select("band", "words_", "rows_", *[shortest_half(F.col(m)).alias(f"{m}_half") for m in _MEASURES])
 
 
 def repeated_words(words: list[bytes], window: int = _WINDOW) -> int:

@@ -83,6 +83,27 @@ def test_bands_reject_labelled_junk_of_the_tables(session):
     assert found.get(0, 0) >= 30 and found.get(1, 0) <= 0.05 * found[0]
 
 
+def test_percentiles_by_brute_force(session):
+    rng = np.random.default_rng(8)
+    rows = [("en", float(v), int(w)) for v, w in zip(rng.normal(5, 1, 777), rng.integers(1, 9000, 777))]
+    rows += [("de", 0.0, 0), ("fr", None, 7), ("fr", 2.5, 7), ("fr", -2.5, 8), ("fr", 2.5, 7)]
+    df = session.createDataFrame(rows, "band string, v double, w long")
+    got = {}
+    for parts in (1, 7):
+        found = fertility.percentiles(df.repartition(parts), "band", {"w": None, "v": 1 << 30}).collect()
+        got[parts] = {r.band: (r.w, r.v, r.rows_) for r in found}
+    assert got[1] == got[7] and set(got[1]) == {"en", "de", "fr"}
+    for band, (w, v, n) in got[1].items():
+        exact = sorted(r[1] for r in rows if r[0] == band and r[1] is not None)
+        words = sorted(r[2] for r in rows if r[0] == band)
+        assert n == len(words) and len(v) == len(w) == 101
+        assert v == [exact[max(0, -(-i * len(exact) // 100) - 1)] for i in range(101)]
+        for i, found in enumerate(w):  # the least value of the cell of the exact one
+            true = words[max(0, -(-i * n // 100) - 1)]
+            assert found in words and true / 2 ** (1 / 256) <= found <= true
+    assert fertility.percentiles(df.limit(0), "band", {"v": 4}).count() == 0
+
+
 def test_script_of():
     assert fertility.script_of("the house 12") == "LATIN" and fertility.script_of("дом и сад") == "CYRILLIC"
     assert fertility.script_of("中文字符") == "CJK" and fertility.script_of("12 !") == "NONE"
