@@ -7,12 +7,13 @@ reaches the driver: it receives per-dataset scalars only (means, counts, Newton
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
+from pyspark.ml.feature import Interaction, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayline.functions.typing import round6
@@ -106,41 +107,52 @@ class PropensityFit:
     rows: int
 
 
-def _likelihood_sums(
-    design: DataFrame, features: Sequence[str], treatment: str, dataset: str, betas: dict[str, np.ndarray]
-) -> dict[str, np.ndarray]:
-    """Per dataset: rows, negative log likelihood, gradient and upper half of the Hessian.
+def _design_vectors(design: DataFrame, features: Sequence[str], treatment: str, dataset: str) -> DataFrame:
+    """Dataset, treatment, inputs, the row's vector (intercept first) and its products."""
+    inputs = [f"x_{i}" for i in range(len(features))]
+    narrow = design.select(
+        F.col(dataset).cast("string").alias("dataset"), F.col(treatment).cast("double").alias("y"), F.lit(1.0).alias("one"),
+        *[F.col(f).cast("double").alias(c) for f, c in zip(features, inputs)],
+    )
+    # a missing value becomes NaN, so its dataset's likelihood is not finite
+    assembler = VectorAssembler(inputCols=["one", *inputs], outputCol="x", handleInvalid="keep")
+    doubled = assembler.transform(narrow).withColumn("same", F.col("x"))
+    return Interaction(inputCols=["x", "same"], outputCol="outer").transform(doubled).drop("one", "same")
 
-    Every task adds up its batches, so a dataset sends one short list of numbers per task.
-    """
-    upper = np.triu_indices(len(features) + 1)
-
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in it:
-            names, codes = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            x = np.column_stack([np.ones(len(y)), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])])
-            for code, name in enumerate(names):
-                xd, yd = x[codes == code], y[codes == code]
-                score = xd @ betas[name]
-                p = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
-                loss = np.logaddexp(0, score).sum() - (yd * score).sum()
-                hessian = (xd * (p * (1 - p))[:, None]).T @ xd
-                part = np.concatenate([[len(yd), loss], xd.T @ (yd - p), hessian[upper]])
-                sums[name] = sums[name] + part if name in sums else part
-        for name, part in sums.items():
-            yield pa.RecordBatch.from_pydict(
-                {"dataset": [name] * len(part), "at": pa.array(range(len(part)), pa.int32()), "value": part}
-            )
 
-    narrow = design.select(
-        F.col(dataset).cast("string"), F.col(treatment).cast("double"), *[F.col(f).cast("double") for f in features]
+def _likelihood_sums(vectors: DataFrame, betas: dict[str, np.ndarray]) -> dict[str, tuple[int, float, np.ndarray, np.ndarray]]:
+    """Per dataset: rows, negative log likelihood, gradient and Hessian.
+
+    The vector sums are built-in aggregates, combined in the tasks: a dataset sends one
+    partial sum per task.  Weights of a vector sum may not be negative or all zero, hence
+    two sums for the gradient and a smallest weight far below any other.
+    """
+    # one list per open fit of this call
+    fitted = F.create_map(*[F.lit(v) for d, beta in betas.items() for v in (d, beta.tolist())])
+    rows = vectors.where(F.col("dataset").isin(*betas)).withColumn("beta", F.try_element_at(fitted, "dataset"))
+    inputs = [c for c in vectors.columns if c.startswith("x_")]
+    linear = reduce(lambda a, b: a + b, [F.col("beta")[i + 1] * F.col(c) for i, c in enumerate(inputs)], F.col("beta")[0])
+    rows = rows.withColumn("score", linear)
+    score = F.col("score")
+    bounded = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), score))
+    rows = rows.withColumn("p", F.when(score.isNotNull() & ~F.isnan(score), 1 / (1 + F.exp(-bounded))).otherwise(0.5))
+
+    def weight(value: Column) -> Column:
+        return F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(1e-200))
+
+    y, p = F.col("y"), F.col("p")
+    # a missing treatment or score has no likelihood
+    loss = F.coalesce(F.greatest(score, F.lit(0.0)) + F.log1p(F.exp(-F.abs(score))) - y * score, F.lit(math.nan))
+    summed = rows.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(loss).alias("loss"),
+        Summarizer.sum(F.col("x"), weight(y)).alias("observed"), Summarizer.sum(F.col("x"), weight(p)).alias("expected"),
+        Summarizer.sum(F.col("outer"), weight(p * (1 - p))).alias("hessian"),
     )
-    summed = narrow.mapInArrow(work, "dataset string, at int, value double").groupBy("dataset", "at").agg(F.sum("value").alias("value"))
-    out = {name: np.zeros(2 + len(features) + 1 + len(upper[0])) for name in betas}
+    out = {}
     for r in summed.collect():  # fits x (features squared) numbers
-        out[r["dataset"]][r["at"]] = r["value"]
+        size = len(betas[r["dataset"]])
+        gradient = r["observed"].toArray() - r["expected"].toArray()
+        out[r["dataset"]] = (r["rows"], r["loss"], gradient, r["hessian"].toArray().reshape(size, size))
     return out
 
 
@@ -163,27 +175,28 @@ def fit_propensities(
     fits: dict[str, PropensityFit] = {}
     failed: dict[str, str] = {}
     penalty = np.diag([0.0] + [1.0] * len(features))
-    upper = np.triu_indices(size)
+    vectors = _design_vectors(design, features, treatment, dataset)
     for step in range(1, max_iter + 1):
         open_ = {d: b for d, b in betas.items() if d not in fits and d not in failed}
         if not open_:
             break
-        sums = _likelihood_sums(design.where(F.col(dataset).isin(*open_)), features, treatment, dataset, open_)
+        sums = _likelihood_sums(vectors, open_)
         for d, beta in open_.items():
-            rows, loss = int(sums[d][0]), sums[d][1] + 0.5 * beta @ penalty @ beta
-            if not rows or not math.isfinite(loss):
-                failed[d] = "no_rows" if not rows else "not_finite"
+            if d not in sums:
+                failed[d] = "no_rows"
+                continue
+            rows, loss, gradient, hessian = sums[d]
+            loss += 0.5 * beta @ penalty @ beta
+            if not math.isfinite(loss):
+                failed[d] = "not_finite"
                 continue
             if loss > best[d] + 1e-9 * abs(best[d]):
                 steps[d] = steps[d] / 2
                 betas[d] = beta - steps[d]
                 continue
             best[d] = loss
-            hessian = np.zeros((size, size))
-            hessian[upper] = sums[d][2 + size :]
-            hessian = hessian + np.triu(hessian, 1).T + penalty
             try:
-                steps[d] = np.linalg.solve(hessian, sums[d][2 : 2 + size] - penalty @ beta)
+                steps[d] = np.linalg.solve(hessian + penalty, gradient - penalty @ beta)
             except np.linalg.LinAlgError:
                 failed[d] = "singular"
                 continue

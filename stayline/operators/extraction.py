@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from stayline.functions.times import label_time_text, lenient_time
 from stayline.functions.typing import as_double, blank_to_null, lenient_bool, round6
@@ -17,37 +14,29 @@ ANSWER_KEYS = ("suspected_sepsis", "suspicion_time", "infection_source", "eviden
 
 
 def first_json_object(text: Column) -> Column:
-    """First JSON object found in free text, as JSON text; NULL when there is none.
+    """Members of the first JSON object in free text, as a map of texts; NULL without one.
 
-    Most answers begin with the object; the built-in parser reads those.  Only the others,
-    where an object has to be looked for at the braces, run over Arrow batches.
-    The helper is defined here so that it travels to the executors with the plan.
+    The text is cut before every brace that may open an object.  The built-in parser tries
+    the pieces' places in turn; it stops at the object's end, so what follows is no matter,
+    and no further place is tried once an object is found.  An object inside a broken one
+    counts.  A repeated name has all its values: ``member`` takes the last.
     """
+    strict = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
+    members = "map<string,string>"
 
-    def decoded(value: str | None) -> str | None:
-        at = value.find("{") if value is not None else -1
-        while at >= 0:
-            try:
-                found, _ = json.JSONDecoder().raw_decode(value, at)
-            except json.JSONDecodeError as error:
-                # an unended string runs to the end of the text, from any brace before it
-                if error.msg.startswith("Unterminated string") and '"' not in value[error.pos + 1 :]:
-                    at = max(at, error.pos - 1)
-                found = None
-            except (ValueError, RecursionError):
-                found = None
-            if isinstance(found, dict):
-                return json.dumps(found, ensure_ascii=False)
-            at = value.find("{", at + 1)
-        return None
-
-    def over_batch(texts: pd.Series) -> pd.Series:
-        return pd.Series([decoded(value) for value in texts], dtype=object)
-
-    whole = F.trim(text)
-    simple = F.when(whole.startswith("{"), F.try_parse_json(whole)).cast("string")
-    searched = F.pandas_udf(over_batch, StringType())(F.when(simple.isNull(), text))
-    return F.coalesce(simple, searched)
+    def tried(state: Column, piece: Column) -> Column:
+        opened = state["found"].isNull() & piece.startswith("{")
+        found = F.when(opened, F.from_json(F.substr(text, state["at"]), members, strict))
+        return F.struct(F.coalesce(state["found"], found).alias("found"), (state["at"] + F.length(piece)).alias("at"))
+
+    start = F.struct(F.lit(None).cast(members).alias("found"), F.lit(1).alias("at"))
+    return F.aggregate(F.split(text, r'(?=\{[ \t\n\r]*["}])'), start, tried, lambda state: state["found"])
+
+
+def member(members: Column, name: str) -> Column:
+    """Value of a name in a map from ``first_json_object``: the last one given."""
+    named = F.filter(F.map_entries(members), lambda entry: entry["key"] == name)
+    return F.try_element_at(named, F.lit(-1))["value"]
 
 
 def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataFrame:
@@ -57,12 +46,10 @@ def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataF
     missing object is a parse error, a missing key or a broken contract a schema error,
     an unreadable value a request error.
     """
-    fields = answers.withColumn("_json", first_json_object(F.col(text))).withColumn(
-        "_map", F.from_json("_json", "map<string,string>")
-    )
+    fields = answers.withColumn("_map", first_json_object(F.col(text)))
 
     def raw(key: str) -> Column:
-        return F.element_at("_map", key)
+        return member(F.col("_map"), key)
 
     missing = F.lit(False)
     for key in ANSWER_KEYS:
@@ -84,7 +71,7 @@ def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataF
         F.col("_time").isNull() | F.col("_source").isNull() | F.col("_evidence").isNull()
     )
     error = (
-        F.when(F.col("_json").isNull(), F.lit("no_json_object"))
+        F.when(F.col("_map").isNull(), F.lit("no_json_object"))
         .when(F.col("_missing"), F.lit("missing_keys"))
         .when(F.col("_positive").isNull(), F.lit("unreadable_boolean"))
         .when(F.col("_bad_time"), F.lit("unreadable_time"))
@@ -111,7 +98,7 @@ def parsed_answers(answers: DataFrame, text: str = "raw_response_text") -> DataF
         staged.withColumn("error_kind", error)
         .withColumn("extraction_status", status)
         .withColumn("normalized_extraction", F.when(F.col("error_kind").isNull(), normalized))
-        .drop("_json", "_map", "_missing", "_positive", "_time", "_bad_time", "_source", "_evidence", "_confidence")
+        .drop("_map", "_missing", "_positive", "_time", "_bad_time", "_source", "_evidence", "_confidence")
     )
 
 

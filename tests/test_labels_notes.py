@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,40 @@ def test_answers(spark):
         "suspected_sepsis": True, "suspicion_time": "2024-01-01 10:00:00+00:00", "infection_source": "lung",
         "evidence_span": "x", "confidence": 0.123457}
     assert got[8]["normalized_extraction"]["infection_source"] is None
+
+
+def _decoded(text):
+    at = text.find("{")
+    while at >= 0:
+        try:
+            found, _ = json.JSONDecoder().raw_decode(text, at)
+        except ValueError:
+            found = None
+        if isinstance(found, dict):
+            return found
+        at = text.find("{", at + 1)
+    return None
+
+
+def test_first_json_object_against_the_decoder(spark):
+    rng = random.Random(3)
+    parts = ["{", "}", '"', "a", ":", ",", "1", " ", "\n", "\\", "[", "]", '{"a":', '{"b":2}', '"x"', "null", "true", "\u00e9", "'"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)]
+    texts += ['say {this} {"a": "x"} end', '{"a":1,"a":2}', '{"a": {"b": 1}, oops} tail', "{'a': 1}", '{"a":"never ends', "", "{" * 2000]
+    members = ex.first_json_object(F.col("text"))
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string").select(
+        "i", members.isNull().alias("none"), ex.member(members, "a").alias("a"), ex.member(members, "b").alias("b")
+    )
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+    def text_of(value):
+        if value is None or isinstance(value, str):
+            return value
+        return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+    wanted = [_decoded(t) for t in texts] + [None]
+    assert sum(w is not None for w in wanted) > 500
+    got = sorted(df.collect())
+    assert [tuple(r) for r in got] == [
+        (i, w is None, *(text_of(w.get(k)) if w is not None else None for k in "ab")) for i, w in enumerate(wanted)
+    ]

@@ -166,6 +166,33 @@ def test_many_ties_are_chunked(spark):
     assert abs(score / info) < 1e-8
 
 
+def test_fits_of_several_datasets_without_python_workers(spark):
+    """Datasets that fit, hold a missing value, one arm only, or no rows at all."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2))
+    y = (rng.random(600) < 1 / (1 + np.exp(-(0.5 + x @ [1.0, -2.0])))).astype(float)
+    rows = [("good", float(t), float(a), float(b)) for t, (a, b) in zip(y, x)]
+    rows += [("missing", 1.0, 0.5, None), ("missing", 0.0, 0.1, 0.2), ("untold", None, 0.1, 0.2), ("treated", 1.0, 0.1, 0.2)]
+    df = spark.createDataFrame(rows, "dataset string, treatment double, a double, b double")
+    names = ["good", "missing", "untold", "empty"]
+    fits, failed, scored = ca.fit_propensities(df, ["a", "b"], datasets=names)
+    assert failed == {"missing": "not_finite", "untold": "not_finite", "empty": "no_rows"}
+    z, beta = np.column_stack([np.ones(600), x]), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ beta))
+        penalty = np.diag([0.0, 1.0, 1.0])
+        beta += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ beta)
+    assert [fits["good"].intercept, *fits["good"].coefficients] == pytest.approx(beta.tolist(), abs=1e-8)
+    assert scored.count() == 600
+    sums = ca._likelihood_sums(ca._design_vectors(df, ["a", "b"], "treatment", "dataset"), {"treated": np.zeros(3)})
+    rows, loss, gradient, hessian = sums["treated"]
+    assert (rows, loss) == (1, pytest.approx(math.log(2)))
+    assert gradient == pytest.approx([0.5, 0.05, 0.1])
+    assert hessian == pytest.approx(0.25 * np.outer([1, 0.1, 0.2], [1, 0.1, 0.2]))
+    plan = ca._design_vectors(df, ["a", "b"], "treatment", "dataset")._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 def test_diverging_effect_fails_loudly(spark):
     df = survival_frame(spark, np.array([1, 1, 0, 0]), np.array([1.0, 2.0, 3.0, 3.0]), np.array([1, 1, 0, 0]), np.ones(4))
     with pytest.raises(ca.ConvergenceError):
