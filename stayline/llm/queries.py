@@ -107,14 +107,59 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper < l.doc_id)
   sha256(coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (WHERE keeper IS NULL OR keeper >= l.doc_id), '')) AS kept_sha256
 FROM line l LEFT JOIN firsts USING (k) GROUP BY l.doc_id"""
 
+_LINKS_SQL = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, label, e FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE label IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (
+  SELECT vec_id AS node, vec_id AS start FROM embeddings UNION SELECT b, start FROM reached JOIN link ON node = a),
+component AS (SELECT node, min(start) AS component_id FROM reached GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN component ON vec_id = node LEFT JOIN degree ON vec_id = a"""
+
+_COPIES_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, hash(s) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS s FROM word)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * common.n >= 85 * (p.n + q.n - common.n)),
+either AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reached AS (
+  SELECT doc_id AS node, doc_id AS start FROM documents UNION SELECT b, start FROM reached JOIN either ON node = a),
+component AS (SELECT node, min(start) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN component ON d.doc_id = node LEFT JOIN size ON size.doc_id = d.doc_id"""
+
+_ARCHIVES_SQL = """
+WITH payload AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS hex,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+part AS (SELECT *, [('0x' || substr(hex, 1 + 5 * i, 5))::INTEGER for i in range(0, 8)] AS parts FROM payload)
+SELECT page_id, octet_length(body) AS payload_bytes, list_aggregate([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v >> 15), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 10) & 31), 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 5) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v & 31), 1)
+    for v in parts], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM part"""
+
 QUERIES: dict[str, Bound] = {
     "op1_token_counts": Bound(token_counts),
     "op2_encode_decode": Bound(encode_decode),
-    "op3_embedding_links": Bound(embedding_links),
+    "op3_embedding_links": Bound(embedding_links, _LINKS_SQL),
     "op4_quality_grades": Bound(quality_grades),
     "op5_page_text": Bound(page_text),
-    "op6_near_copies": Bound(near_copies),
-    "op7_page_archives": Bound(page_archives),
+    "op6_near_copies": Bound(near_copies, _COPIES_SQL),
+    "op7_page_archives": Bound(page_archives, _ARCHIVES_SQL),
     "op8_sequences": Bound(sequences),
     "op9_quality_rules": Bound(quality_rules),
     "op10_repeated_lines": Bound(repeated_lines, _LINES_SQL),
