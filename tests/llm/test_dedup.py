@@ -177,17 +177,32 @@ def test_vectors_by_brute_force(session, monkeypatch, bits):
     assert rotation_codes.near_duplicates(empty).count() == 0
 
 
-def test_estimates_are_unbiased_and_bounded():
-    rng = np.random.default_rng(8)
-    units = rng.standard_normal((400, 64))
-    units /= np.linalg.norm(units, axis=1, keepdims=True)
-    turned, signs, factors = rotation_codes.coded(units, rotation_codes.rotation(64))
-    estimates = signs @ turned.T / (8 * factors[:, None])
-    off = ~np.eye(400, dtype=bool)
-    assert abs((estimates - units @ units.T)[off].mean()) < 0.002
-    assert np.allclose(np.diag(estimates), 1, atol=1e-4)
-    true = units @ units.T >= 0.3
-    assert rotation_codes.possible(signs, factors, turned, 0.3)[true].all()
+@pytest.mark.parametrize("dim", [64, 100, 768])
+def test_estimates_are_unbiased_and_bounded(dim):
+    errors = []
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        units = rng.standard_normal((400, dim))
+        units[200:] = units[:200] + rng.standard_normal((200, dim)) * rng.choice([0.05, 0.2, 0.5, 1], (200, 1))
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        made = rotation_codes.Codes.of(units)
+        codes = rotation_codes.Codes.read(made.rows(), dim)
+        assert all((a == b).all() for a, b in ((codes.code, made.code), (codes.planes, made.planes), (codes.numbers, made.numbers)))
+        assert len(made.rows()[0]) <= dim * 5 / 8 + 52
+        true = units @ units.T
+        errors.append((codes.estimates(codes) - true)[~np.eye(400, dtype=bool)].mean())
+        for cosine in (0.3, 0.7, 0.95, 0.98):
+            assert codes.possible(codes, cosine)[true >= cosine].all()
+        assert codes.possible(codes, 0.98)[true < 0.3].mean() < 1e-3
+    assert abs(np.mean(errors)) < 0.001  # three standard errors
+
+
+def test_double_vectors_are_not_rounded(session):
+    a = np.array([1.0, 0.0, 0.0])
+    cosine = lambda x: [x, (1 - x * x) ** 0.5, 0.0]
+    rows = [(1, a.tolist(), 1), (2, cosine(0.98 + 1e-10), 1), (3, cosine(0.98 - 1e-10), 2), (4, a.tolist(), 2), (5, [1e300, 0.0, 0.0], 2)]
+    got = rotation_codes.near_duplicates(session.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
 
 
 def test_clashing_names_stop_before_any_job(session):
