@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from llm_cases import ascii_words, jaccard_components, kept_lines
 
 import corpus_pipeline
