@@ -214,13 +214,14 @@ def write_archives(
     narrow = plain.where(F.octet_length("html") >= least_bytes).select("id", F.sha1(F.encode("html", "UTF-8")).alias("sha"))
     revisits = (
         narrow.join(first_of_equal_payloads(narrow, "id", "sha"), "sha").where("id > first")
-        .select(F.col("id").alias("again"), F.col("sha").alias("again_sha"), "first").distinct()
+        .select(F.col("id").cast("string").alias("again"), F.col("sha").alias("again_sha"), "first").distinct()
     )
     # ids are as good as unique, so the wide rows have no hot key; records of one id and payload
-    # meet in one task, which numbers them, and rows without an id go anywhere
-    apart = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
-    wide = plain.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).repartition("id", "sha", apart)
-    rows = wide.join(revisits, (wide.id == revisits.again) & (wide.sha == revisits.again_sha), "left").select("id", "url", "html", "first")
+    # meet in one task, which numbers them, and rows without an id go anywhere.  The join has
+    # the same keys, so it does not move the rows again
+    place = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    wide = plain.withColumns({"place": place, "sha": F.sha1(F.encode("html", "UTF-8"))}).repartition("place", "sha")
+    rows = wide.join(revisits, (wide.place == revisits.again) & (wide.sha == revisits.again_sha), "left").select("id", "url", "html", "first")
 
     def work(it: Iterator[pa.RecordBatch]):
         task, counter, copies = TaskContext.get(), [0], {}
