@@ -151,6 +151,7 @@ FROM users u LEFT JOIN k ON k.stay_id = u.subject_id LEFT JOIN c ON c.stay_id =
 
 PREDICTORS = (("gold", "gold", 0), ("x_rule", "rule_based", 1), ("model_a", "model", 2), ("model_b", "model", 3))
 ELIGIBLE_FROM = "2024-01-16"
+ADMITTED = "1900-01-01"
 
 
 def predicted(spark, sf) -> DataFrame:
@@ -178,10 +179,24 @@ def predicted(spark, sf) -> DataFrame:
     return full.withColumns(absent).select(*DATASET_COLUMNS)
 
 
+def admitted(spark, sf) -> DataFrame:
+    """Every subject's admission, the transfer that a stay begins with, before all its events.
+
+    The causal stage asks for a care unit before every eligible time zero, and some users buy
+    before their first signup; for all others a later unit is the latest one.
+    """
+    subject = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        subject.alias("subject_id"), subject.alias("hadm_id"), F.lit(-1).cast("bigint").alias("transfer_id"),
+        F.lit("Admission").alias("careunit"), F.lit(ADMITTED).cast("timestamp_ntz").alias("intime"))
+
+
 def causal_statuses(spark, sf):
     """Every dataset and scope with its counts and status; failed ones are rows, too."""
+    raw = raw_layout(spark, sf)
+    raw["transfers"] = raw["transfers"].unionByName(admitted(spark, sf))
     try:
-        results = effects.causal_stage(cut_lineage(predicted(spark, sf)), raw_layout(spark, sf))
+        results = effects.causal_stage(cut_lineage(predicted(spark, sf)), raw)
     except effects.EstimationFailed as failed:
         results = failed.results
     status = F.regexp_replace("convergence_status", "^failed:[a-z]+: .*", "failed:hazard model")
