@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from stayline.bindings import Bound, micros, rounded, table
 from stayline.bindings.effects import units
@@ -78,14 +78,8 @@ def array_outputs(spark, sf):
     docs = table(spark, sf, "documents")
     found = F.struct((F.col("lang") == "en").alias("suspected_sepsis"), F.col("source").alias("infection_source"))
     row = F.struct(F.col("doc_id").cast("string").alias("task_id"), F.col("text").alias("raw_response_text"), found.alias("normalized_extraction"))
-    file = F.pmod("doc_id", F.lit(16)).alias("file")
-    inside = Window.partitionBy("file").orderBy("doc_id")
-    lines = docs.select("doc_id", file, F.to_json(row).alias("row")).withColumns(
-        {"first": F.row_number().over(inside) == 1, "last": F.lead("doc_id").over(inside).isNull()}
-    )
-    line = F.concat(F.when(F.col("first"), "[").otherwise(","), "row", F.when(F.col("last"), "]").otherwise(""))
-    dealt = lines.select("file", "doc_id", line.alias("value")).repartition("file").sortWithinPartitions("file", "doc_id")
-    dealt.select("file", "value").write.partitionBy("file").text(path)
+    file = F.coalesce(F.pmod("doc_id", F.lit(16)), F.lit(16))  # the last for rows without an id
+    sinks.write_arrays(docs.select("doc_id", F.to_json(row).alias("row")), file, 17, path)
     back = tables.model_outputs(spark, path, array=True)
     return back.select(
         "task_id", F.md5("raw_response_text").alias("text_md5"), F.col("normalized_extraction.suspected_sepsis").alias("suspected_sepsis"),

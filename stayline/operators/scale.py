@@ -87,8 +87,10 @@ def running_total(
         *keys,
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_offset_{n}") for n in totals],
     )
+    # the rows lie by these keys already; they compress so well that Spark would take them for
+    # the small side, broadcast them all and join them in the few tasks of the offsets
     return (
-        inside.join(offsets, keys)
+        inside.hint("merge").join(offsets, keys)
         .withColumns({n: F.col(f"_offset_{n}") + F.col(n) for n in totals})
         .drop(*[f"_offset_{n}" for n in totals])
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from stayline.functions.text import file_safe
@@ -70,6 +70,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_arrays(df: DataFrame, file: Column, files: int, path: str) -> None:
+    """``files`` JSON files that each hold one array, of the rows (column ``row``, JSON texts)
+    whose ``file`` is its number; a file without rows is not written.
+
+    A task writes the rows of one file as they reach it: brackets and commas follow from the
+    row's place in the task and the rows counted for the file before, so no task sorts or
+    holds rows, and the order inside a file is not defined.
+    """
+    rows = df.select(file.cast("int").alias("_file"), "row")
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))  # at most one a file
+    dealt = rows.join(F.broadcast(counts), "_file").repartitionById(files, "_file")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of the row in its partition
+    placed = dealt.select("row", "_rows", at.alias("_at"))
+    opened = F.when(F.col("_at") == 0, "[").otherwise(",")
+    closed = F.when(F.col("_at") + 1 == F.col("_rows"), "]").otherwise("")
+    placed.select(F.concat(opened, "row", closed).alias("value")).write.text(path)
+
+
 def write_per_key(df: DataFrame, key: str, path: str, *, kind: str = "parquet") -> None:
     """One folder per key value, the key made safe for a path.
 

@@ -24,6 +24,13 @@ def test_running_total_equals_a_plain_prefix_sum(spark, buckets):
         assert down[g, t] == sum(v for gg, tt, _, _, v in rows if gg == g and tt > t)
 
 
+def test_running_total_broadcasts_no_rows(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("g"), "id", F.floor(F.col("id") / 10).alias("b"), F.lit(1).alias("v"))
+    out = scale.running_total(df, ["g"], "id", ["b"], {"s": "v"})
+    assert sorted(r["s"] for r in out.collect()) == sorted([*range(1, 51)] * 2)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hash_positions_are_the_sorted_hash_order(spark):
     keys = [f"k{i}" for i in range(500)]
     got = {r["k"]: r["p"] for r in records(scale.hash_positions(spark.createDataFrame([(k,) for k in keys], "k string"), "k", "9", "p"))}

@@ -1,7 +1,9 @@
+import glob
+import hashlib
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from helpers import records
 from stayline.operators.checks import ContractError
@@ -111,3 +113,32 @@ def test_silver_is_complete(spark, tmp_path):
 def test_empty_placeholder_keeps_its_types(spark):
     df = src.empty_table(spark, "stay_id bigint, at timestamp_ntz")
     assert df.count() == 0 and dict(df.dtypes)["at"] == "timestamp_ntz"
+
+
+def test_array_files_are_written_without_holding_a_file(spark, tmp_path, monkeypatch):
+    from stayline.bindings import artifacts
+
+    ids = [*range(200), 7, 7, 16, None, None]
+    texts = [None if i % 50 == 3 else f'}} "{i}" [,\n' for i in range(len(ids))]
+    docs = [(d, t, "en" if i % 2 else None, "web") for i, (d, t) in enumerate(zip(ids, texts))]
+    schema = "doc_id bigint, text string, lang string, source string"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    plans, folders, write = [], [], DataFrameWriter.text
+
+    def text(self, path, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        folders.append(path)
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "text", text)
+    got = artifacts.array_outputs(spark, str(tmp_path)).collect()
+    want = [(d if d is None else str(d), t and hashlib.md5(t.encode()).hexdigest(), None if not i % 2 else True, "web")
+            for i, (d, t) in enumerate(zip(ids, texts))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    files = glob.glob(f"{folders[0]}/**/*.txt", recursive=True)
+    arrays = [json.load(open(f, encoding="utf-8")) for f in files]
+    assert len(arrays) == 17 and sum(map(len, arrays)) == len(ids)
+    for rows in arrays:
+        assert len({r.get("task_id") and int(r["task_id"]) % 16 for r in rows}) == 1
+    assert len(plans) == 1 and "Exchange" in plans[0]
+    assert "Window" not in plans[0] and "Sort" not in plans[0].replace("SortAggregate", "")
